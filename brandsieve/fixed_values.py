@@ -11,7 +11,11 @@ BLANKS = (
 )
 # The same set as the inside of a regex character class (valid in Java and RE2).
 BLANK_CLASS = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-BLANK = f"[{BLANK_CLASS}]"
+# One blank, for Java regexes: plain ASCII blanks first, the rare ones behind one range test.
+BLANK = (
+    r"[\s\x1C-\x1F[\x{85}-\x{3000}&&"
+    r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]]"
+)
 WORD = r"[\p{L}\p{N}_]"
 
 # Gibberish weights in tenths, and the score a text must exceed.

@@ -34,20 +34,23 @@ def readability_score(name: Column) -> Column:
     )
 
 
-def relevance_score(low_name: Column, known: Column) -> Column:
-    """400 per shared word (at most 1000), 200 per word pair where one holds the other, at most 1000."""
-    name_words = F.array_distinct(F.regexp_extract_all(low_name, F.lit("([a-z]+)"), F.lit(1)))
-
-    def score(mine: Column) -> Column:
-        shared = F.least(F.lit(1000), 400 * F.size(F.array_intersect(known, mine)))
-        pairs = F.aggregate(
-            F.filter(known, lambda w: F.char_length(w) >= 4),
-            F.lit(0),
-            lambda total, w: total + F.size(F.filter(mine, lambda d: w.contains(d) | d.contains(w))),
-        )
-        return F.least(F.lit(1000), shared + 200 * pairs)
+def name_words(low_name: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(low_name, F.lit("([a-z]+)"), F.lit(1)))
+
 
-    return let(name_words, score)
+def relevance_score(mine: Column, known: Column, long_known: Column) -> Column:
+    """400 per shared word (at most 1000), 200 per pair where one word holds the other, at most 1000.
+
+    ``mine`` are the words of the name, ``known`` those of the description and ``long_known``
+    the latter's words of four letters and more, which alone take part in pairs.
+    """
+    shared = F.least(F.lit(1000), 400 * F.size(F.array_intersect(mine, known)))
+    pairs = F.aggregate(
+        mine,
+        F.lit(0),
+        lambda found, d: found + F.size(F.filter(long_known, lambda w: w.contains(d) | d.contains(w))),
+    )
+    return F.least(F.lit(1000), shared + 200 * pairs)
 
 
 def tld_score(domain: Column) -> Column:
@@ -56,27 +59,47 @@ def tld_score(domain: Column) -> Column:
     return F.coalesce(F.try_element_at(table, ending), F.lit(V.OTHER_TLD_SCORE))
 
 
-def memorability_score(low_name: Column) -> Column:
-    vowels = F.char_length(F.regexp_replace(low_name, "[^aeiou]", ""))
-    consonants = F.char_length(F.regexp_replace(low_name, r"[aeiou]|\P{L}", ""))
+def memorability_score(low_name: Column, vowels: Column, consonants: Column) -> Column:
     # 0.3 <= vowels / consonants <= 0.8, kept in integers
     balanced = (vowels * 10 >= consonants * 3) & (vowels * 10 <= consonants * 8)
     base = F.when((consonants == 0) | balanced, 1000).otherwise(700)
     return base - F.when(low_name.rlike("[bcdfghjklmnpqrstvwxyz]{4}"), 300).otherwise(0)
 
 
-def factors(domain: Column, known: Column) -> Column:
-    """Struct of the five factors; ``known`` is :func:`description_words` of the description."""
+def word_sets(description: Column) -> Column:
+    """Struct of the description's distinct words, and of those with four letters and more."""
+    return let(
+        description_words(description),
+        lambda known: F.struct(
+            known.alias("known"), F.filter(known, lambda w: F.char_length(w) >= 4).alias("long_known")
+        ),
+    )
+
+
+def factors(domain: Column, sets: Column) -> Column:
+    """Struct of the five factors; ``sets`` is :func:`word_sets` of the description."""
     def build(parts: Column) -> Column:
         return F.struct(
             length_score(parts["name"]).alias("length"),
             readability_score(parts["name"]).alias("readability"),
-            relevance_score(parts["low"], known).alias("relevance"),
+            relevance_score(parts["mine"], sets["known"], sets["long_known"]).alias("relevance"),
             tld_score(domain).alias("tld"),
-            memorability_score(parts["low"]).alias("memorability"),
+            memorability_score(parts["low"], parts["vowels"], parts["consonants"]).alias("memorability"),
+        )
+
+    def measure(name: Column) -> Column:
+        return let(
+            F.lower(name),
+            lambda low: F.struct(
+                name.alias("name"),
+                low.alias("low"),
+                name_words(low).alias("mine"),
+                F.char_length(F.regexp_replace(low, "[^aeiou]+", "")).alias("vowels"),
+                F.char_length(F.regexp_replace(low, r"[aeiou]+|\P{L}+", "")).alias("consonants"),
+            ),
         )
 
-    return let(F.struct(name_part(domain).alias("name"), F.lower(name_part(domain)).alias("low")), build)
+    return let(let(name_part(domain), measure), build)
 
 
 def total(scores: Column) -> Column:
@@ -87,11 +110,11 @@ def total(scores: Column) -> Column:
 
 def suggestions(domains: Column, description: Column) -> Column:
     """``array<struct<domain, confidence>>`` sorted by confidence, best first, ties in given order."""
-    def ranked(known: Column) -> Column:
+    def ranked(sets: Column) -> Column:
         scored = F.transform(
             domains,
             lambda d, i: F.struct(
-                (-total(factors(d, known))).alias("order"), i.alias("position"), d.alias("domain")
+                (-let(factors(d, sets), total)).alias("order"), i.alias("position"), d.alias("domain")
             ),
         )
         return F.transform(
@@ -99,4 +122,4 @@ def suggestions(domains: Column, description: Column) -> Column:
             lambda s: F.struct(s["domain"].alias("domain"), (-s["order"] / 1000.0).alias("confidence")),
         )
 
-    return let(description_words(description), ranked)
+    return let(word_sets(description), ranked)

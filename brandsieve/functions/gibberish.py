@@ -3,7 +3,8 @@
 The score is the weight of the heaviest rule that fires, less a discount when a business
 word occurs. All rules are native expressions: literals use ``contains``, a regex runs only
 behind a cheap literal test where one exists, and ``CASE WHEN`` goes from heavy to light, so
-most rules are skipped for texts that an earlier rule decides.
+most rules are skipped for texts that an earlier rule decides. Wide character classes stand
+behind a single-range class, and runs are tried from their first character only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from brandsieve import fixed_values as V
 from brandsieve.functions.text import contains_any, trim_ws
 
 _GAP = f"{V.BLANK}+"
+# Single ranges around the glyphs and the scripts.
+_GLYPH_SPAN = r"[\x{2588}-\x{266F}]"
+_SCRIPT_SPAN = r"[\x{0370}-\x{9FFF}]"
 
 
 def rules(text: Column, low: Column) -> dict[str, Column]:
@@ -50,25 +54,29 @@ def rules(text: Column, low: Column) -> dict[str, Column]:
             | low.contains(",,,")
             | low.rlike(V.SHOUT_RUN)
             | low.rlike(V.RULE_RUN)
-            | low.rlike(V.GLYPHS)
+            | (low.rlike(_GLYPH_SPAN) & low.rlike(V.GLYPHS))
         ),
-        "long_word": text.rlike(f"[^{V.BLANK_CLASS}]{{26}}"),
+        "long_word": text.rlike(r"(?<!\S)\S{26}") & text.rlike(f"[^{V.BLANK_CLASS}]{{26}}"),
         "random": (
             low.rlike(V.LETTERS_ONLY)
             | low.rlike(V.DIGITS_ONLY)
             | low.rlike(V.SPECIAL_RUN)
-            | low.rlike(V.ALNUM_RUN)
             | low.rlike(V.MIXED_START)
         ),
         "few_letters": (F.char_length(text) > 10)
         & (F.char_length(F.regexp_replace(text, r"\P{L}+", "")) * 2 < F.char_length(text)),
-        "scripts": low.rlike(V.SCRIPT_CHARS),
+        "scripts": low.rlike(_SCRIPT_SPAN) & low.rlike(V.SCRIPT_CHARS),
         "tech": contains_any(low, V.TECH_WORDS)
         | reduce(or_, [low.contains(a) & low.rlike(f"{a}{_GAP}{b}") for a, b in V.TECH_PHRASES]),
         "short": F.char_length(trim_ws(text)) < 10,
     }
 
 
+def alnum_run(low: Column) -> Column:
+    """A part of the random rule that never decides a score: such a run is a long word already."""
+    return low.rlike("(?<![a-z0-9])" + V.ALNUM_RUN)
+
+
 def business_word(low: Column) -> Column:
     return contains_any(low, V.BUSINESS_WORDS)
 
@@ -103,7 +111,9 @@ def add_gibberish_score(df: DataFrame, text_col: str, *, score_col: str = "score
 def add_gibberish_rules(df: DataFrame, text_col: str, *, prefix: str = "rule_") -> DataFrame:
     """Add one boolean column per rule, plus the business-word test, for inspection."""
     prepared = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_low", F.lower("_text"))
-    fired = rules(F.col("_text"), F.col("_low")) | {"business": business_word(F.col("_low"))}
+    low = F.col("_low")
+    fired = rules(F.col("_text"), low)
+    fired |= {"random": fired["random"] | alnum_run(low), "business": business_word(low)}
     return prepared.withColumns({prefix + name: test for name, test in fired.items()}).drop("_text", "_low")
 
 

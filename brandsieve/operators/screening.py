@@ -81,7 +81,11 @@ def add_response(df: DataFrame, text_col: str, *, domains_col: str = "target_dom
         .withColumn("http_code", F.when(F.col("status") == "error", 500).otherwise(200))
         .withColumn(
             "suggestions",
-            suggestions(F.when(F.col("status") == "success", domains).otherwise(no_strings()), F.col(text_col)),
+            # The text is null, and its words are not gathered, where nothing is suggested.
+            suggestions(
+                F.when(F.col("status") == "success", domains).otherwise(no_strings()),
+                F.when(F.col("status") == "success", F.col(text_col)),
+            ),
         )
     )
 

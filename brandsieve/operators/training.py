@@ -116,10 +116,10 @@ def add_class_weight(df: DataFrame, label_col: str = "label") -> DataFrame:
     return df.withColumn("weight", rows / (present * mine))
 
 
-def token_ids(text: Column, *, vocabulary: int = 30_000) -> Column:
-    """Default tokenizer: lower-case words, each hashed to an id in [0, vocabulary)."""
+def token_ids(text: Column, max_length: int, *, vocabulary: int = 30_000) -> Column:
+    """Default tokenizer: the first lower-case words, each hashed to an id in [0, vocabulary)."""
     return F.transform(
-        words(F.lower(text)),
+        F.slice(words(F.lower(text)), 1, max_length),
         lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(vocabulary)).cast("int"),
     )
 

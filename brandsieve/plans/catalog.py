@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brandsieve import fixed_values as V
 from brandsieve.functions import candidates as C
 from brandsieve.functions import prompts, verdicts
-from brandsieve.functions.confidence import description_words, factors, suggestions, tld_score, total
+from brandsieve.functions.confidence import factors, suggestions, tld_score, total, word_sets
 from brandsieve.functions.gibberish import add_gibberish_rules, add_gibberish_score, drop_low_quality, is_gibberish, low_quality
 from brandsieve.functions.text import base_name, percent, preview, strings, trim_ws
 from brandsieve.functions.unsafe import add_blocklist_check, add_keyword_check, censored, safe_domains
@@ -198,8 +198,8 @@ def joined_pieces(spark: SparkSession, sf: str) -> DataFrame:
 def confidence_factors(spark: SparkSession, sf: str) -> DataFrame:
     scored = (
         views.candidates(spark, sf)
-        .withColumn("known", description_words(F.col("description")))
-        .withColumn("f", factors(F.col("domain"), F.col("known")))
+        .withColumn("sets", word_sets(F.col("description")))
+        .withColumn("f", factors(F.col("domain"), F.col("sets")))
     )
     names = list(V.CONFIDENCE_WEIGHTS)
     return scored.select(
@@ -596,7 +596,7 @@ def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def _tokens(spark: SparkSession, sf: str, max_length: int = 200) -> DataFrame:
     items = views.training(spark, sf)
     prompt = prompts.training_prompt(F.col("business_description"), F.col("target_domains"))
-    return training.add_tokens(items, training.token_ids(prompt), max_length=max_length).select(
+    return training.add_tokens(items, training.token_ids(prompt, max_length), max_length=max_length).select(
         "doc_id", "input_ids", "attention_mask", "labels"
     )
 
@@ -614,7 +614,7 @@ def token_prepare(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def token_truncate_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    tokens = training.add_tokens(docs, training.token_ids(F.col("text")), max_length=128)
+    tokens = training.add_tokens(docs, training.token_ids(F.col("text"), 128), max_length=128)
     return tokens.select("doc_id", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 
