@@ -8,19 +8,24 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written intermediates, as the cluster names it.
 
     ``spark.checkpoint.dir`` is read from the session. Only a local master without that
-    setting, as in tests, gets a temporary folder, which is then set for the session.
+    setting, as in tests, gets a temporary folder, the same one for the whole application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="brandsieve-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="brandsieve-")
+    return _local_folders[application]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
