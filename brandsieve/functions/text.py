@@ -76,5 +76,8 @@ def hash_fraction(col: Column, seed: int | str = 42) -> Column:
 
 
 def text_key(col: Column) -> Column:
-    """Fixed-width digest of a text, so joins and groupings move 64 characters and no documents."""
-    return F.sha2(col, 256)
+    """Fixed-width digest of a text, so joins and groupings move 64 characters and no documents.
+
+    It is never null; otherwise each join would hash every text once more in a null filter.
+    """
+    return F.coalesce(F.sha2(col, 256), F.lit(""))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandsieve import fixed_values as V
-from brandsieve.functions.text import contains_any, trim_ws
+from brandsieve.functions.text import contains_any, let, trim_ws
 
 
 def _keyword_hits(low: Column):
@@ -117,4 +117,4 @@ def safe_domains(domains: Column) -> Column:
         ),
         lambda d: d["name"],
     )
-    return F.when(F.size(kept) == 0, F.array(F.lit(V.NO_SAFE_MARK))).otherwise(kept)
+    return let(kept, lambda k: F.when(F.size(k) == 0, F.array(F.lit(V.NO_SAFE_MARK))).otherwise(k))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brandsieve import fixed_values as V
 from brandsieve.operators.training import classification_metrics
+from brandsieve.session import new_path
 
 
 class MacroF1(Evaluator):
@@ -31,29 +32,38 @@ def train_classifier(
     label_col: str = "label",
     weight_col: str = "weight",
     *,
-    features: int = 1 << 18,
+    features: int = 1 << 16,
     regularisation: tuple[float, ...] = (0.001, 0.01),
     validation: float = 0.2,
     seed: int = 42,
 ) -> PipelineModel:
     """Fit, keeping the regularisation with the best macro F1 on a held-out share.
 
-    Words are hashed, so no vocabulary is gathered; the text features are fitted once and
-    only the regression is fitted per setting.
+    Words are hashed, so no vocabulary is gathered. The texts are read once: their word
+    counts are written to the shared folder, and everything that iterates reads that table,
+    which also survives a lost executor.
     """
-    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=rf"[\p{{L}}\p{{N}}_]+", gaps=False)
+    spark = df.sparkSession
+    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=rf"{V.WORD}+", gaps=False)
     frequencies = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features)
-    idf = IDF(inputCol="_tf", outputCol="features", minDocFreq=2)
-    text_model = Pipeline(stages=[words, frequencies, idf]).fit(_prepared(df, text_col))
-    vectors = text_model.transform(_prepared(df, text_col)).select(
-        "features", F.col(label_col).cast("double").alias("label"), F.col(weight_col).alias("weight")
-    )
+    counts_path = new_path(spark, "word-counts")
+    frequencies.transform(words.transform(_prepared(df, text_col))).select(
+        "_tf", F.col(label_col).cast("double").alias("label"), F.col(weight_col).alias("weight")
+    ).write.parquet(counts_path)
+    counts = spark.read.parquet(counts_path)
+    idf = IDF(inputCol="_tf", outputCol="features", minDocFreq=2).fit(counts)
     regression = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=30)
     grid = ParamGridBuilder().addGrid(regression.regParam, list(regularisation)).build()
     search = TrainValidationSplit(
-        estimator=regression, estimatorParamMaps=grid, evaluator=MacroF1(), trainRatio=1 - validation, seed=seed
+        estimator=regression,
+        estimatorParamMaps=grid,
+        evaluator=MacroF1(),
+        trainRatio=1 - validation,
+        seed=seed,
+        parallelism=len(grid),
     )
-    return PipelineModel([*text_model.stages, search.fit(vectors).bestModel])
+    best = search.fit(idf.transform(counts).select("features", "label", "weight")).bestModel
+    return PipelineModel([words, frequencies, idf, best])
 
 
 def _prepared(df: DataFrame, text_col: str) -> DataFrame:

@@ -8,27 +8,38 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000  # a key is hot when it holds more than 1/HOT_SHARE of the rows
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, *, spread_by: Column) -> DataFrame:
+def lookup_join(
+    rows: DataFrame, table: DataFrame, key: str, *, spread_by: Column, spread: int | None = None
+) -> DataFrame:
     """Left join of ``rows`` to ``table`` (one row per ``key``), exact under any skew.
 
-    At most ``HOT_SHARE`` keys can hold more than 1/HOT_SHARE of all rows, so the table rows
-    of the hot keys are few by construction and may be broadcast. Hot rows take their match
-    from there and enter the shuffled join under a scattered key that matches nothing; the
-    rest meets the table on the key itself. Whether that join shuffles or broadcasts is left
-    to the planner, which knows the measured sizes.
+    At most ``HOT_SHARE`` keys can hold more than 1/HOT_SHARE of all rows, so the hot keys may
+    be broadcast whatever the data. Rows of a hot key are spread over ``spread`` derived keys
+    (the shuffle partitions by default) and the table row of that key is repeated for each of
+    them; all other rows meet the table on the key itself. Whether the join itself shuffles
+    or broadcasts is left to the planner, which knows the measured sizes.
     """
+    spread = spread or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = [c for c in table.columns if c != key]
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hot_keys = (
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT_SHARE > total).select(key)
+    hot = (
+        rows.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") * HOT_SHARE > total)
+        .select(F.col(key).alias("_hot_key"))
     )
-    known = table.join(F.broadcast(hot_keys), key, "left_semi").select(key, F.struct(*values).alias("_hot"))
-    hot = hot_keys.join(known, key, "left").select(F.col(key).alias("_hot_key"), "_hot")
-    cold = table.select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))
-    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
-        "_probe",
-        F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(F.concat(F.lit("hot-"), spread_by.cast("string"))),
+
+    def flagged(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+
+    def derived(slot: Column) -> Column:
+        return F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(F.concat_ws("#", F.col(key), slot))
+
+    probes = flagged(rows).withColumn("_probe", derived(F.pmod(F.xxhash64(spread_by), F.lit(spread))))
+    slots = F.when(F.col("_hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(spread - 1)))
+    targets = (
+        flagged(table)
+        .select(key, "_hot_key", *values, F.explode_outer(slots).alias("_slot"))
+        .select(derived(F.col("_slot")).alias("_target"), *values)
     )
-    joined = met.join(cold, F.col("_probe") == F.col("_cold_key"), "left")
-    found = F.coalesce(F.col("_hot"), F.col("_cold"))
-    return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
+    return probes.join(targets, F.col("_probe") == F.col("_target"), "left").select(*rows.columns, *values)

@@ -15,6 +15,8 @@ from brandsieve.functions.text import let, no_strings, trim_ws, words
 from brandsieve.functions.unsafe import add_keyword_check, safe_domains
 
 GATES = ("error", "blocked", "filtered", "pass")
+BROADCAST_BYTES = 64 << 20  # measured size up to which a blocklist is broadcast
+SALTS = 16
 
 
 def add_gate(df: DataFrame, text_col: str, *, legitimate: Column | None = None) -> DataFrame:
@@ -95,19 +97,23 @@ def match_blocklist(df: DataFrame, text_col: str, id_col: str, blocklist: DataFr
 
     Terms are single words, or up to ``max_parts`` words joined by hyphens; other terms stop
     the job rather than pass unnoticed. Each text contributes its distinct words, so the join
-    sees a word once per text. The planner broadcasts the list while its measured size allows.
-    Otherwise both sides shuffle by word, common words that are not listed included, so words
-    carry a salt on the text side that the list repeats.
+    sees a word once per text. The list is measured first and broadcast up to
+    ``BROADCAST_BYTES``. Beyond that both sides shuffle by word, frequent words that are not
+    listed included, so words carry a salt on the text side that the list repeats.
     """
-    salts = 16
     terms = blocklist.select(F.lower("term").alias("_term")).distinct()
+    size = terms.agg(F.sum(F.octet_length("_term") + 16)).first()[0] or 0
+    small = size <= BROADCAST_BYTES
+    salts = 1 if small else SALTS
     shape = F.col("_term").rlike(rf"^{V.WORD}+(?:-{V.WORD}+){{0,{max_parts - 1}}}\z")
     terms = terms.select(
         F.when(shape, F.col("_term")).otherwise(F.raise_error(F.concat(F.lit("unsupported term: "), "_term"))).alias("_term"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    chains = F.regexp_extract_all(low, F.lit(rf"({V.WORD}+(?:-{V.WORD}+)+)"), F.lit(1))
+    chains = F.when(
+        low.contains("-"), F.regexp_extract_all(low, F.lit(rf"({V.WORD}+(?:-{V.WORD}+)+)"), F.lit(1))
+    ).otherwise(no_strings())
 
     def joined_parts(chain: Column) -> Column:
         return let(
@@ -123,11 +129,12 @@ def match_blocklist(df: DataFrame, text_col: str, id_col: str, blocklist: DataFr
         )
 
     found = F.array_distinct(F.concat(words(low), F.flatten(F.transform(chains, joined_parts))))
-    spoken = df.select(F.col(id_col), F.explode(found).alias("_term")).withColumn(
+    # The outer form: explode alone adds a filter on its input, which would split every text again.
+    spoken = df.select(F.col(id_col), F.explode_outer(found).alias("_term")).withColumn(
         "_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
     )
     return (
-        spoken.join(terms, ["_term", "_salt"])
+        spoken.join(F.broadcast(terms) if small else terms, ["_term", "_salt"])
         .groupBy(id_col)
         .agg(F.count(F.lit(1)).alias("n_terms"), F.min("_term").alias("first_term"))
     )

@@ -210,7 +210,8 @@ def confidence_factors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ranked(df: DataFrame) -> DataFrame:
-    return df.select("entry_id", F.posexplode("s").alias("p", "s")).select(
+    # The outer form: posexplode alone adds a filter on its input, which would score every row again.
+    return df.select("entry_id", F.posexplode_outer("s").alias("p", "s")).where(F.col("p").isNotNull()).select(
         "entry_id",
         (F.col("p") + 1).cast("bigint").alias("rank"),
         F.col("s.domain").alias("domain"),
