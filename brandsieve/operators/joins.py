@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_BYTES = 64 << 20  # measured size up to which a lookup table is broadcast
 HOT_SHARE = 1000  # a key is hot when it holds more than 1/HOT_SHARE of the rows
 
 
+def measured_bytes(table: DataFrame) -> int:
+    """Size of a small-looking table as JSON text, from one aggregate."""
+    return table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+
+
 def lookup_join(
-    rows: DataFrame, table: DataFrame, key: str, *, spread_by: Column, spread: int | None = None
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    *,
+    spread_by: Column,
+    spread: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left join of ``rows`` to ``table`` (one row per ``key``), exact under any skew.
 
-    At most ``HOT_SHARE`` keys can hold more than 1/HOT_SHARE of all rows, so the hot keys may
+    The table is measured first. Up to ``broadcast_bytes`` it is broadcast, and the rows are
+    neither shuffled nor read twice. A larger table is joined by shuffle, with hot keys split:
+    at most ``HOT_SHARE`` keys can hold more than 1/HOT_SHARE of all rows, so the hot keys may
     be broadcast whatever the data. Rows of a hot key are spread over ``spread`` derived keys
     (the shuffle partitions by default) and the table row of that key is repeated for each of
-    them; all other rows meet the table on the key itself. Whether the join itself shuffles
-    or broadcasts is left to the planner, which knows the measured sizes.
+    them; all other rows meet the table on the key itself.
     """
+    if measured_bytes(table) <= broadcast_bytes:
+        return rows.join(F.broadcast(table), key, "left").select(*rows.columns, *[c for c in table.columns if c != key])
     spread = spread or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = [c for c in table.columns if c != key]
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -13,9 +13,9 @@ from brandsieve.functions.confidence import suggestions
 from brandsieve.functions.gibberish import add_gibberish_score, is_gibberish
 from brandsieve.functions.text import let, no_strings, trim_ws, words
 from brandsieve.functions.unsafe import add_keyword_check, safe_domains
+from brandsieve.operators.joins import BROADCAST_BYTES, measured_bytes
 
 GATES = ("error", "blocked", "filtered", "pass")
-BROADCAST_BYTES = 64 << 20  # measured size up to which a blocklist is broadcast
 SALTS = 16
 
 
@@ -102,8 +102,7 @@ def match_blocklist(df: DataFrame, text_col: str, id_col: str, blocklist: DataFr
     listed included, so words carry a salt on the text side that the list repeats.
     """
     terms = blocklist.select(F.lower("term").alias("_term")).distinct()
-    size = terms.agg(F.sum(F.octet_length("_term") + 16)).first()[0] or 0
-    small = size <= BROADCAST_BYTES
+    small = measured_bytes(terms) <= BROADCAST_BYTES
     salts = 1 if small else SALTS
     shape = F.col("_term").rlike(rf"^{V.WORD}+(?:-{V.WORD}+){{0,{max_parts - 1}}}\z")
     terms = terms.select(

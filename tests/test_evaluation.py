@@ -34,11 +34,11 @@ def test_truth_by_text_then_position(spark):
     assert {r["entry_id"]: r["category"] for r in got.collect()} == {1: "nsfw", 60: "gibberish", 99: "gibberish"}
 
 
-@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
-def test_lookup_under_skew(spark, broadcast):
+@pytest.mark.parametrize(("limit", "planner"), [(1 << 20, "-1"), (0, "-1"), (0, "10485760")])
+def test_lookup_under_skew(spark, limit, planner):
     """A third of the rows on one key, another hot key without a match, and a long tail."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", planner)
     try:
         rows = spark.range(30_000).select(
             "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "missing").otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("k")
@@ -46,7 +46,8 @@ def test_lookup_under_skew(spark, broadcast):
         table = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v")).union(
             spark.createDataFrame([("hot", -1)], "k string, v long")
         )
-        got = {r["id"]: r["v"] for r in lookup_join(rows, table, "k", spread_by=F.col("id")).collect()}
+        joined = lookup_join(rows, table, "k", spread_by=F.col("id"), broadcast_bytes=limit)
+        got = {r["id"]: r["v"] for r in joined.collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(got) == 30_000

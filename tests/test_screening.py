@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brandsieve.functions.unsafe import add_blocklist_check, add_keyword_check
+from brandsieve.operators import screening
 from brandsieve.operators.screening import add_gate, add_response, match_blocklist
 
 
@@ -38,7 +39,9 @@ def test_blocklist(spark, text, censored):
     assert (row["is_unsafe"], row["censored_version"]) == (censored is not None, censored)
 
 
-def test_blocklist_table(spark):
+@pytest.mark.parametrize("limit", [screening.BROADCAST_BYTES, -1])
+def test_blocklist_table(spark, monkeypatch, limit):
+    monkeypatch.setattr(screening, "BROADCAST_BYTES", limit)
     docs = spark.createDataFrame([(1, "a-b-c SCAM x"), (2, "nothing"), (3, "b-c"), (4, None)], "id long, t string")
     terms = spark.createDataFrame([("scam",), ("b-c",), ("B-C",)], "term string")
     got = {r["id"]: (r["n_terms"], r["first_term"]) for r in match_blocklist(docs, "t", "id", terms).collect()}
