@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandsieve import fixed_values as V
@@ -50,6 +50,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fixed(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows with ``columns`` computed at this point of the plan.
+
+    The optimizer moves a filter below the projections that compute its columns, and copies
+    their expressions into it for every mention. It does not move one below a generator.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*columns))))
+
+
 def preview(col: Column, n: int) -> Column:
     return F.substring(col, 1, n)
 

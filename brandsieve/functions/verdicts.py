@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandsieve import fixed_values as V
-from brandsieve.functions.text import trim_ws
+from brandsieve.functions.text import fixed, let, trim_ws
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _VERDICT = "classification string, agrees_with_dataset boolean, domain_scores map<string,string>"
@@ -38,8 +38,10 @@ def json_part(verdict: Column) -> Column:
 
 def _domain_score(raw: Column) -> Column:
     """Mean of the five criteria (a missing one counts 0), or the bare number; null when neither."""
-    detailed = F.from_json(raw, _CRITERIA, _STRICT)
-    mean = sum((F.coalesce(detailed[c], F.lit(0.0)) for c in V.CRITERIA), F.lit(0.0)) / len(V.CRITERIA)
+    mean = let(
+        F.from_json(raw, _CRITERIA, _STRICT),
+        lambda rated: sum((F.coalesce(rated[c], F.lit(0.0)) for c in V.CRITERIA), F.lit(0.0)) / len(V.CRITERIA),
+    )
     return F.when(raw.startswith("{"), mean).otherwise(raw.try_cast("double"))
 
 
@@ -109,10 +111,11 @@ def add_single_verdict(df: DataFrame, verdict_col: str) -> DataFrame:
 def add_list_verdict(df: DataFrame, verdict_col: str) -> DataFrame:
     """Add ``valid`` and ``ratings`` for a verdict on a list of domains; one bad entry spoils the list."""
     text = unfenced(F.col(verdict_col))
-    return (
+    rated = (
         df.withColumn("_text", text)
         .withColumn("_entries", F.when(F.col("_text").startswith("["), F.from_json("_text", f"array<{_RATING}>", _STRICT)))
         .withColumn("valid", F.coalesce(F.forall("_entries", lambda e: F.coalesce(_in_range(e), F.lit(False))), F.lit(False)))
         .withColumn("ratings", F.when(F.col("valid"), F.col("_entries")))
         .drop("_text", "_entries")
     )
+    return fixed(rated, "valid", "ratings")  # callers split on ``valid``

@@ -11,7 +11,7 @@ from brandsieve import fixed_values as V
 from brandsieve.functions.candidates import EXTRACTORS
 from brandsieve.functions.confidence import suggestions
 from brandsieve.functions.gibberish import add_gibberish_score, is_gibberish
-from brandsieve.functions.text import let, no_strings, trim_ws, words
+from brandsieve.functions.text import fixed, let, no_strings, trim_ws, words
 from brandsieve.functions.unsafe import add_keyword_check, safe_domains
 from brandsieve.operators.joins import BROADCAST_BYTES, measured_bytes
 
@@ -38,7 +38,8 @@ def add_gate(df: DataFrame, text_col: str, *, legitimate: Column | None = None)
 
 def only_legitimate(df: DataFrame, text_col: str) -> DataFrame:
     """Rows whose text is not gibberish; the explicit filter to put before a model."""
-    return add_gibberish_score(df, text_col, score_col="_score").where(~is_gibberish(F.col("_score"))).drop("_score")
+    scored = fixed(add_gibberish_score(df, text_col, score_col="_score"), "_score")
+    return scored.where(~is_gibberish(F.col("_score"))).drop("_score")
 
 
 def add_domains(

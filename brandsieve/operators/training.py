@@ -109,11 +109,17 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 def add_class_weight(df: DataFrame, label_col: str = "label") -> DataFrame:
     """The balanced weight as a column, for two labels, from one scalar."""
-    n = label_counts(df, label_col).select(F.struct("positives", "negatives").alias("n")).scalar()
-    rows = n["positives"] + n["negatives"]
-    present = (n["positives"] > 0).cast("int") + (n["negatives"] > 0).cast("int")
-    mine = F.when(F.col(label_col) == 1, n["positives"]).otherwise(n["negatives"])
-    return df.withColumn("weight", rows / (present * mine))
+    positives, negatives = F.col("positives"), F.col("negatives")
+    rows = positives + negatives
+    present = (positives > 0).cast("int") + (negatives > 0).cast("int")
+    weights = F.struct(
+        F.try_divide(rows, present * positives).alias("positive"),
+        F.try_divide(rows, present * negatives).alias("negative"),
+    )
+    weight = label_counts(df, label_col).select(weights.alias("weights")).scalar()
+    return df.withColumn(
+        "weight", F.when(F.col(label_col) == 1, weight["positive"]).otherwise(weight["negative"])
+    )
 
 
 def token_ids(text: Column, max_length: int, *, vocabulary: int = 30_000) -> Column:
