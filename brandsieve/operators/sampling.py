@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,47 +13,59 @@ from brandsieve.functions.text import stable_hash
 _DIGITS = 4  # hex digits per level: 65,536 counters
 
 
-def _edge(hashed: DataFrame, width: int, wanted: int) -> tuple[str, int] | None:
-    """The hash prefix that holds the ``wanted``-th smallest hash, and how many hashes come before it.
+def _any(tests: list[Column]) -> Column:
+    return reduce(or_, tests, F.lit(False))
+
+
+def _edges(hashed: DataFrame, width: int, wanted: dict) -> dict:
+    """Per stratum the prefix that holds its ``wanted``-th smallest hash, and how many hashes precede it.
 
-    The window runs over at most 65,536 counters, never over rows; one row reaches the driver.
+    The window runs over at most 65,536 counters per stratum, never over rows; one row per
+    stratum reaches the driver.
     """
-    counted = hashed.groupBy(F.substring("_hash", 1, width).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    running = counted.withColumn("upto", F.sum("n").over(Window.orderBy("prefix")))
-    edge = (
-        running.where(F.col("upto") >= wanted)
+    counted = hashed.groupBy("_stratum", F.substring("_hash", 1, width).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    running = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("_stratum").orderBy("prefix")))
+    reached = _any([(F.col("_stratum") == s) & (F.col("upto") >= k) for s, k in wanted.items()])
+    edges = (
+        running.where(reached)
+        .groupBy("_stratum")
         .agg(F.min(F.struct("prefix", (F.col("upto") - F.col("n")).alias("before"))).alias("edge"))
-        .first()["edge"]
+        .collect()
     )
-    return None if edge is None else (edge["prefix"], edge["before"])
+    return {r["_stratum"]: r["edge"] for r in edges}
 
 
-def in_sample(pool: DataFrame, id_col: str, k: int, *, seed: int = 42) -> Column:
-    """Predicate on ``id_col``: is the id among the ``k`` of the pool with the smallest seeded hashes?
+def in_samples(pool: DataFrame, id_col: str, stratum_col: str, wanted: dict, *, seed: int = 42) -> Column:
+    """Predicate: is a row among the ``wanted[stratum]`` rows of its stratum with the smallest seeded hashes?
 
-    Two counting passes over the ids narrow the k-th hash down to an eight-digit prefix; the
-    few ids under it (about one in four billion) are ranked, and the k-th (hash, id) is the
-    cut. The result is a filter against that constant, so the sampled rows are never
-    shuffled, sorted or limited into one task, however large k is. A k above the size of the
-    pool keeps everything.
+    Meant for a handful of strata. Two counting passes over the ids narrow each k-th hash
+    down to an eight-digit prefix; the few ids under it (about one in four billion) are
+    ranked, and the k-th (hash, id) is the cut. The result is a filter against those
+    constants, so the sampled rows are never shuffled, sorted or limited into one task,
+    however large k is. A k above the size of a stratum keeps all of it.
     """
-    if k <= 0:
-        return F.lit(False)
-    hashed = pool.select(id_col, stable_hash(F.col(id_col), seed).alias("_hash"))
-    left = k
+    hashed = pool.select(id_col, F.col(stratum_col).alias("_stratum"), stable_hash(F.col(id_col), seed).alias("_hash"))
+    left = {s: k for s, k in wanted.items() if k > 0}
+    whole = []
     for width in (_DIGITS, 2 * _DIGITS):
-        edge = _edge(hashed, width, left)
-        if edge is None:
-            return F.lit(True)
-        prefix, before = edge
-        hashed, left = hashed.where(F.substring("_hash", 1, width) == prefix), left - before
-    cut = (
-        hashed.withColumn("_rank", F.row_number().over(Window.orderBy("_hash", id_col)))
-        .where(F.col("_rank") == left)
-        .first()
-    )
-    mine = stable_hash(F.col(id_col), seed)
-    return (mine < cut["_hash"]) | ((mine == cut["_hash"]) & (F.col(id_col) <= cut[id_col]))
+        edges = _edges(hashed, width, left)
+        whole += [s for s in left if s not in edges]
+        left = {s: k - edges[s]["before"] for s, k in left.items() if s in edges}
+        inside = [(F.col("_stratum") == s) & (F.substring("_hash", 1, width) == edges[s]["prefix"]) for s in left]
+        hashed = hashed.where(_any(inside))
+    ranked = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy("_stratum").orderBy("_hash", id_col)))
+    cuts = ranked.where(_any([(F.col("_stratum") == s) & (F.col("_rank") == k) for s, k in left.items()])).collect()
+    mine, ident, stratum = stable_hash(F.col(id_col), seed), F.col(id_col), F.col(stratum_col)
+    chosen = [
+        (stratum == c["_stratum"]) & ((mine < c["_hash"]) | ((mine == c["_hash"]) & (ident <= c[id_col]))) for c in cuts
+    ]
+    return _any(chosen + [stratum == s for s in whole])
+
+
+def take_sample(df: DataFrame, id_col: str, k: int, *, seed: int = 42) -> DataFrame:
+    """The k rows with the smallest seeded hashes: a random sample of exact size, without replacement."""
+    rows = df.withColumn("_one", F.lit(1))
+    return rows.where(in_samples(rows, id_col, "_one", {1: k}, seed=seed)).drop("_one")
 
 
 def shuffled(df: DataFrame, id_col: str, *, seed: int = 42) -> DataFrame:

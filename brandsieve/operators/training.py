@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brandsieve import fixed_values as V
 from brandsieve.functions.text import hash_fraction, words
-from brandsieve.operators.sampling import in_sample
+from brandsieve.operators.sampling import in_samples
 
 
 def label_of(source: Column) -> Column:
@@ -39,7 +39,7 @@ def balance(df: DataFrame, id_col: str, label_col: str = "label", *, tail: int =
     Of surplus positives the last ``tail`` by id are kept and the rest is sampled; if the
     target is not above ``tail``, the oldest of that tail are kept. Surplus negatives are
     sampled. Which rows stay is decided by filters against a few constants that small
-    aggregates find beforehand (see :func:`brandsieve.operators.sampling.in_sample`); no
+    aggregates find beforehand (see :func:`brandsieve.operators.sampling.in_samples`); no
     class is gathered in one task.
     """
     counts = label_counts(df, label_col).first()
@@ -51,13 +51,13 @@ def balance(df: DataFrame, id_col: str, label_col: str = "label", *, tail: int =
         last = positives.orderBy(ident.desc()).limit(tail)
         if target > tail:
             start = last.agg(F.min(id_col)).first()[0]
-            sampled = in_sample(positives.where(ident < start), id_col, target - tail, seed=seed)
-            keep_positive = (ident >= start) | sampled
+            older = df.where((label == 1) & (ident < start))
+            keep_positive = (ident >= start) | in_samples(older, id_col, label_col, {1: target - tail}, seed=seed)
         else:
             kept = last.orderBy(id_col).limit(target).agg(F.min(id_col), F.max(id_col)).first()
             keep_positive = ident.between(*kept)
     if counts["negatives"] > target:
-        keep_negative = in_sample(df.where(label == 0), id_col, target, seed=seed)
+        keep_negative = in_samples(df, id_col, label_col, {0: target}, seed=seed)
     return df.where(F.when(label == 1, keep_positive).otherwise(keep_negative))
 
 
@@ -84,10 +84,7 @@ def split_exact(
         test_ones += spare
     else:
         test_zeros += spare
-    label = F.col(label_col)
-    in_test = F.when(label == 1, in_sample(df.where(label == 1), id_col, test_ones, seed=seed)).otherwise(
-        in_sample(df.where(label == 0), id_col, test_zeros, seed=seed)
-    )
+    in_test = in_samples(df, id_col, label_col, {1: test_ones, 0: test_zeros}, seed=seed)
     return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 

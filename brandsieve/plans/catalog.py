@@ -552,7 +552,7 @@ def stratified_split_exact(spark: SparkSession, sf: str) -> DataFrame:
 def random_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A tenth of the documents, of exact size, by seeded hash."""
     docs = table(spark, sf, "documents")
-    return docs.where(sampling.in_sample(docs, "doc_id", docs.count() // 10)).select("doc_id", "lang")
+    return sampling.take_sample(docs, "doc_id", docs.count() // 10).select("doc_id", "lang")
 
 
 @query
