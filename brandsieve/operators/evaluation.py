@@ -155,7 +155,7 @@ def success_rate(outputs: DataFrame, *, by: str | None = None, domains_col: str
     return counted.withColumn("success_rate", _ratio(F.col("successful"), F.col("total")) * 100)
 
 
-def pipeline_stats(outputs: DataFrame, *, by: str | None = None, domains_col: str = "target_domains") -> DataFrame:
+def generation_stats(outputs: DataFrame, *, by: str | None = None, domains_col: str = "target_domains") -> DataFrame:
     """Legitimate and gibberish rows as told by their output, with percentages."""
     stats = success_rate(outputs, by=by, domains_col=domains_col)
     return stats.select(

@@ -46,7 +46,9 @@ def add_model_output(
 ) -> DataFrame:
     """Add ``predict(model, prompts, **options)`` as a column, and the error of rows that failed.
 
-    ``load`` runs once per task. ``options`` carries sampling parameters.
+    ``load`` runs once per task. ``options`` carries sampling parameters. A task holds one
+    Arrow batch of prompts at a time; for long prompts lower
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``.
     """
     settings = dict(options or {})
 

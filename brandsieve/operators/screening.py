@@ -15,7 +15,6 @@ from brandsieve.functions.text import fixed, let, no_strings, trim_ws, words
 from brandsieve.functions.unsafe import add_keyword_check, safe_domains
 from brandsieve.operators.joins import BROADCAST_BYTES, measured_bytes
 
-GATES = ("error", "blocked", "filtered", "pass")
 SALTS = 16
 
 

@@ -12,7 +12,7 @@ from brandsieve.functions import candidates as C
 from brandsieve.functions import prompts, verdicts
 from brandsieve.functions.confidence import factors, suggestions, tld_score, total, word_sets
 from brandsieve.functions.gibberish import add_gibberish_rules, add_gibberish_score, drop_low_quality, is_gibberish, low_quality
-from brandsieve.functions.text import base_name, percent, preview, strings, trim_ws
+from brandsieve.functions.text import preview, trim_ws
 from brandsieve.functions.unsafe import add_blocklist_check, add_keyword_check, censored, safe_domains
 from brandsieve.operators import dedup, evaluation, sampling, screening, training
 from brandsieve.operators.classifier import add_prediction, train_classifier
@@ -395,8 +395,8 @@ def success_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def pipeline_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.pipeline_stats(views.outputs(spark, sf), by="model_version")
+def generation_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.generation_stats(views.outputs(spark, sf), by="model_version")
 
 
 @query
@@ -802,7 +802,7 @@ def report_scan(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(table_path)
     sinks.write_report(rows, evaluation.summarize(rows), path)
     found = reports.read_reports(spark, {v: f"{path}/summary/version={v}" for v in [*V.CAPABILITIES, "v9"]})
-    return found.withColumn("report", F.concat(sinks.report_name(F.concat(F.lit("out/model_"), "model_version", F.lit("_output.jsonl"))), F.lit(".json")))
+    return found.withColumn("report", F.concat(sinks.report_name(F.concat(F.lit("out/names_"), "model_version", F.lit(".jsonl"))), F.lit(".json")))
 
 
 @query

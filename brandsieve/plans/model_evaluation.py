@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from brandsieve.functions.verdicts import add_verdict
 from brandsieve.operators.evaluation import add_capabilities, add_category, evaluation_rows, summarize

@@ -537,14 +537,14 @@ add("versions_side_by_side", "SELECT " + ", ".join(
     f"max(overall_accuracy) FILTER (model_version = '{v}') AS {v}" for v in V.CAPABILITIES) + " FROM v_comparison")
 add("success_rate", """SELECT model_version, count(*) AS total, count(*) FILTER (len(target_domains) > 0) AS successful,
   count(*) FILTER (len(target_domains) > 0)::DOUBLE / count(*) * 100 AS success_rate FROM v_outputs GROUP BY 1""")
-add("pipeline_stats", """SELECT model_version, count(*) AS processed, count(*) FILTER (len(target_domains) > 0) AS legitimate,
+add("generation_stats", """SELECT model_version, count(*) AS processed, count(*) FILTER (len(target_domains) > 0) AS legitimate,
   count(*) FILTER (len(target_domains) = 0) AS gibberish,
   count(*) FILTER (len(target_domains) > 0)::DOUBLE / count(*) * 100 AS legitimate_pct,
   count(*) FILTER (len(target_domains) = 0)::DOUBLE / count(*) * 100 AS gibberish_pct,
   count(*) FILTER (len(target_domains) > 0) AS with_domains FROM v_outputs GROUP BY 1""")
 add("source_breakdown", """SELECT coalesce(source, 'unknown') AS source, count(*) AS n,
   count(*)::DOUBLE / (SELECT count(*) FROM documents) * 100 AS share_pct FROM documents GROUP BY 1""")
-add("report_scan", "SELECT *, 'evaluated_model_' || model_version || '_output.json' AS report FROM v_summary")
+add("report_scan", "SELECT *, 'evaluated_names_' || model_version || '.json' AS report FROM v_summary")
 
 # --- verdicts ------------------------------------------------------------------------------
 
