@@ -28,9 +28,9 @@ def lookup_join(
     The table is measured first. Up to ``broadcast_bytes`` it is broadcast, and the rows are
     neither shuffled nor read twice. A larger table is joined by shuffle, with hot keys split:
     at most ``HOT_SHARE`` keys can hold more than 1/HOT_SHARE of all rows, so the hot keys may
-    be broadcast whatever the data. Rows of a hot key are spread over ``spread`` derived keys
-    (the shuffle partitions by default) and the table row of that key is repeated for each of
-    them; all other rows meet the table on the key itself.
+    be broadcast whatever the data. Rows of a hot key take one of ``spread`` slots (the
+    shuffle partitions by default) and the table row of that key is repeated for each slot;
+    all other keys have slot 0 only. Null keys match nothing and are spread too.
     """
     if measured_bytes(table) <= broadcast_bytes:
         return rows.join(F.broadcast(table), key, "left").select(*rows.columns, *[c for c in table.columns if c != key])
@@ -47,14 +47,9 @@ def lookup_join(
     def flagged(df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
 
-    def derived(slot: Column) -> Column:
-        return F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(F.concat_ws("#", F.col(key), slot))
-
-    probes = flagged(rows).withColumn("_probe", derived(F.pmod(F.xxhash64(spread_by), F.lit(spread))))
+    spare = F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int")
+    scattered = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    probes = flagged(rows).withColumn("_slot", F.when(scattered, spare).otherwise(0))
     slots = F.when(F.col("_hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(spread - 1)))
-    targets = (
-        flagged(table)
-        .select(key, "_hot_key", *values, F.explode_outer(slots).alias("_slot"))
-        .select(derived(F.col("_slot")).alias("_target"), *values)
-    )
-    return probes.join(targets, F.col("_probe") == F.col("_target"), "left").select(*rows.columns, *values)
+    targets = flagged(table).select(key, *values, F.explode_outer(slots).alias("_slot"))
+    return probes.join(targets, [key, "_slot"], "left").select(*rows.columns, *values)
