@@ -298,15 +298,19 @@ add("nsfw_keyword", """SELECT doc_id, hit IS NOT NULL AS is_unsafe,
 FROM c""", c=f"""SELECT doc_id, length({trim('text')}) < 3 AS short,
   CASE WHEN length({trim('text')}) >= 3 THEN {unsafe_case(_LOW, lambda c, k: q(c + '/' + k))} END AS hit FROM v_unsafe""")
 
+EDGE_BEFORE, EDGE_AFTER = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 _ANY_LISTED = r"(^|[^\p{L}\p{N}_])(" + "|".join(V.BLOCKLIST) + r")($|[^\p{L}\p{N}_])"
 add("nsfw_blocklist", f"""SELECT doc_id, NOT short AND listed AS is_unsafe,
   CASE WHEN short THEN {q(V.REASON_SHORT)} WHEN listed THEN {q(V.REASON_LISTED)} ELSE {q(V.REASON_NOT_LISTED)} END AS reason,
   CASE WHEN short THEN 'length_check' ELSE 'better_profanity' END AS method
 FROM c""", c=f"SELECT doc_id, length({trim('text')}) < 3 AS short, {match('lower(text)', _ANY_LISTED)} AS listed FROM v_unsafe")
 
-add("nsfw_blocklist_table", """SELECT doc_id, count(*) AS n_terms, min(term) AS first_term FROM v_unsafe, terms
-WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || term || '($|[^\\p{L}\\p{N}_])') GROUP BY doc_id""",
-    terms=f"SELECT unnest({names(V.BLOCKLIST)}) AS term")
+# One constant pattern per term: DuckDB compiles a pattern from a column anew for every row.
+_EACH_LISTED = ", ".join(
+    f"CASE WHEN {match('lower(text)', EDGE_BEFORE + t + EDGE_AFTER)} THEN {q(t)} END" for t in V.BLOCKLIST
+)
+add("nsfw_blocklist_table", "SELECT doc_id, len(hits) AS n_terms, list_min(hits) AS first_term FROM h WHERE len(hits) > 0",
+    h=f"SELECT doc_id, list_filter([{_EACH_LISTED}], lambda x: x IS NOT NULL) AS hits FROM v_unsafe")
 
 # RE2 consumes the character before a hit, so words are masked one at a time between kept separators.
 add("nsfw_censor", "SELECT doc_id, md5(t) AS censored_md5, length(t) AS censored_chars FROM c", c=f"""
