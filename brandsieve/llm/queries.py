@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brandsieve.llm import simhash
+from brandsieve.llm import mixing, packing, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,5 +15,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_read(spark, sf_dir, "documents"))
+
+
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op7_fair_mix": op7_fair_mix,
+    "op9_best_two_fit": op9_best_two_fit,
+}
+ORACLES = {"op7_fair_mix": mixing.ORACLE}
