@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brandsieve.llm import mixing, packing, simhash
+from brandsieve.llm import chat, mixing, packing, quality, secret_scan, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,17 +15,34 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(_read(spark, sf_dir, "documents"))
+
+
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_read(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_conversations(chat.probe(_read(spark, sf_dir, "conversations"))).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_secret_scan": op4_secret_scan,
     "op7_fair_mix": op7_fair_mix,
+    "op8_quality": op8_quality,
     "op9_best_two_fit": op9_best_two_fit,
+    "op10_chat_format": op10_chat_format,
 }
-ORACLES = {"op7_fair_mix": mixing.ORACLE}
+ORACLES = {"op7_fair_mix": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
