@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brandsieve.llm import chat, mixing, neighbours, packing, quality, secret_scan, simhash
+from brandsieve.llm import chat, language_model, mixing, neighbours, packing, quality, secret_scan, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_read(spark, sf_dir, "documents"))
 
 
+def op5_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_read(spark, sf_dir, "embeddings"))
 
@@ -44,6 +48,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_secret_scan": op4_secret_scan,
+    "op5_elias_fano_lm": op5_elias_fano_lm,
     "op6_cross_polytope": op6_cross_polytope,
     "op7_fair_mix": op7_fair_mix,
     "op8_quality": op8_quality,
