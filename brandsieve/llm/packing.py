@@ -28,42 +28,62 @@ LENGTH = 1024
 END = 2
 GROUP = 8192
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Ids of words that a worker remembers; forgetting costs time only.
-_REMEMBERED, _LONGEST = 400_000, 64
-_ODD = re.compile(r"\s |\s\Z| \s|\A\s")
+#: Words whose ids a worker remembers (forgetting costs time only), the longest of them, and
+#: words tokenised as one text.
+_REMEMBERED, _LONGEST, _JOINED = 800_000, 64, 1000
+_ODD = re.compile(r"\s "), re.compile(r" \s")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _odd(text: str) -> bool:
+    """Whether some blank isn't between two characters that are no white space."""
+    return text[0].isspace() or text[-1].isspace() or any(p.search(text) for p in _ODD)
+
+
 class WordIds:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer's pattern never joins what lies before and after a single blank between two
-    characters that are no white space, so texts are split there, and each distinct part is
-    tokenised once.
+    characters that are no white space, so texts are split there and each distinct part is
+    tokenised once. New parts are tokenised many to a text: the only tokens of it that start
+    with a blank are the first ones of the parts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(parts), 4096):
-            for found in self.tokenizer.encode_batch(parts[at : at + 4096], add_special_tokens=False):
-                yield np.array(found.ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.known: dict[str, bytes] = {}  # of parts with a blank before them
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        plain = [p for p in parts if " " not in p and not p[0].isspace() and not p[-1].isspace()]
+        learned = {}
+        for at in range(0, len(plain), _JOINED):
+            some = plain[at : at + _JOINED]
+            ids = self._ids(" " + " ".join(some))
+            starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(starts) == len(some):
+                raw = ids.tobytes()
+                learned.update(zip(some, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
+        return learned | {p: self._ids(" " + p).tobytes() for p in parts if p not in learned}
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        split = [(_BETWEEN.split(x) if _ODD.search(x) else x.split(" ")) if x else [] for x in texts]
-        parts = {" " + p for x in split for p in x[1:]}
-        parts.update(x[0] for x in split if x)
-        new = [p for p in parts if p not in self.known]
+        split = [(_BETWEEN.split(x) if _odd(x) else x.split(" ")) if x else [] for x in texts]
+        parts = set().union(*(x[1:] for x in split))
+        new = list(parts.difference(self.known))
         if len(self.known) + len(new) > _REMEMBERED:
-            self.known = {}
-            new = list(parts)
-        ids = dict(zip(new, self._encode(new)))
-        self.known.update((k, v) for k, v in ids.items() if len(k) <= _LONGEST)
-        get = (self.known | ids if any(len(k) > _LONGEST for k in ids) else self.known).__getitem__
+            self.known, new = {}, list(parts)
+        learned = self._learn(new)
+        self.known.update(learned)
+        get = self.known.__getitem__
         for x in split:
-            yield b"".join([get(x[0]), *map(get, map(" ".__add__, x[1:]))]) if x else b""
+            yield b"".join([self._ids(x[0]).tobytes(), *map(get, x[1:])]) if x else b""
+        for p in [p for p in learned if len(p) > _LONGEST]:
+            del self.known[p]
 
 
 @lru_cache(maxsize=2)
