@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from brandsieve.llm import chat, language_model, mixing, neighbours, packing, quality, secret_scan, simhash
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from brandsieve.llm import (
+    chat,
+    hamming,
+    language_model,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    token_counts,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +26,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"))
+
+
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return hamming.nearest_codes(vectors.select("vec_id", hamming.sign_code(F.col("embedding")).alias("code")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_read(spark, sf_dir, "documents"))
 
@@ -47,6 +67,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_token_counts": op2_token_counts,
+    "op3_hamming_top_k": op3_hamming_top_k,
     "op4_secret_scan": op4_secret_scan,
     "op5_elias_fano_lm": op5_elias_fano_lm,
     "op6_cross_polytope": op6_cross_polytope,
@@ -55,4 +77,4 @@ QUERIES = {
     "op9_best_two_fit": op9_best_two_fit,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES = {"op7_fair_mix": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
+ORACLES = {"op3_hamming_top_k": hamming.ORACLE, "op7_fair_mix": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
