@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brandsieve.llm.tables import WORD, cut
+from brandsieve.llm.tables import WORD, cut, free_name
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -175,8 +175,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return (
         docs.alias("r")
         .join(decisions.alias("s"), F.col("r.source").cast("string").eqNullSafe(F.col("s.source")))
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-        .select(*names)
+        .select(*names, F.explode(F.array_repeat(F.lit(1), copies)).alias(free_name(docs, "copy")))
+        .select(docs.columns)
     )
 
 

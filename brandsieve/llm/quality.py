@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from brandsieve.llm.tables import in_fold
+from brandsieve.llm.tables import free_name, in_fold
 
 PLACES = 1 << 18
 ORDERS = (1, 2, 3)
@@ -171,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit_rows
     return Model(np.frombuffer(found["weights"], np.float32), found["bias"], found["slope"], found["offset"])
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents with ``quality_score``, 0 to 1; null texts score like empty ones."""
+def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "quality_score") -> DataFrame:
+    """The documents with a column ``score``, 0 to 1; null texts score like empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def scores(texts: pd.Series) -> pd.Series:
@@ -180,7 +180,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         margins = np.array([weights[features(t)].sum(dtype=float) + bias for t in texts])
         return pd.Series(1 / (1 + np.exp(-np.clip(slope * margins + offset, -700, 700))), dtype="float64")
 
-    return docs.withColumn("quality_score", F.pandas_udf(scores, DoubleType())(F.col(text).cast("string")))
+    return docs.withColumn(score, F.pandas_udf(scores, DoubleType())(F.col(text).cast("string")))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -199,4 +199,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score ``threshold`` or more, with all their columns."""
-    return scored(docs, fit(docs, labels)).where(F.col("quality_score") >= threshold).select(docs.columns)
+    score = free_name(docs, "score")
+    return scored(docs, fit(docs, labels), score=score).where(F.col(score) >= threshold).select(docs.columns)

@@ -25,6 +25,14 @@ def in_fold(key: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it new to the table."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def split_words(text: str | None) -> list[bytes]:
     """The words of a text in UTF-8, A-Z lower-cased; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
