@@ -30,6 +30,7 @@ def rules(text: Column, low: Column) -> dict[str, Column]:
     return {
         "network": (
             (low.rlike(r"\p{Nd}\.\p{Nd}") & low.rlike(edge_before + V.IPV4 + edge_after))
+            | low.contains("127.0.0.1")
             | (low.contains("localhost:") & low.rlike(r"localhost:\p{Nd}"))
             | (low.contains("://") & low.rlike(rf"https?://[^{V.BLANK_CLASS}]"))
             | contains_any(low, V.JAVA_PREFIXES)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from brandsieve import fixed_values as V
 from brandsieve.functions.text import fixed, let, trim_ws
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-_VERDICT = "classification string, agrees_with_dataset boolean, domain_scores map<string,string>"
+_VERDICT = "classification string, agrees_with_dataset string, domain_scores map<string,string>"
 _CRITERIA = ", ".join(f"{c} double" for c in V.CRITERIA)
 _REASONS = f"struct<{', '.join(f'{c}: double' for c in V.CRITERIA)}>"
 _RATING = f"struct<domain: string, score: double, reasons: {_REASONS}>"
@@ -37,14 +37,31 @@ def json_part(verdict: Column) -> Column:
 
 
 def _domain_score(raw: Column) -> Column:
-    """Mean of the five criteria (a missing one counts 0), or the bare number; null when neither."""
-    mean = let(
-        F.from_json(raw, _CRITERIA, _STRICT),
-        lambda rated: sum((F.coalesce(rated[c], F.lit(0.0)) for c in V.CRITERIA), F.lit(0.0)) / len(V.CRITERIA),
+    """Mean of the five criteria, or the bare number; null when neither can be read.
+
+    A criterion that is missing counts 0; one that is null or no number spoils the score.
+    """
+    both = F.struct(
+        F.from_json(raw, f"{_CRITERIA}, _bad string", {**_STRICT, "columnNameOfCorruptRecord": "_bad"}).alias("rated"),
+        F.map_keys(F.from_json(raw, "map<string,string>", _STRICT)).alias("names"),
     )
+
+    def mean(parsed: Column) -> Column:
+        rated = parsed["rated"]
+        nulls = [F.array_contains(parsed["names"], c) & rated[c].isNull() for c in V.CRITERIA]
+        whole = sum((F.coalesce(rated[c], F.lit(0.0)) for c in V.CRITERIA), F.lit(0.0)) / len(V.CRITERIA)
+        return F.when(rated["_bad"].isNull() & ~reduce(or_, nulls), whole)
+
+    mean = let(both, mean)
     return F.when(raw.startswith("{"), mean).otherwise(raw.try_cast("double"))
 
 
+def _truth(flag: Column, named: Column) -> Column:
+    """The flag as the reference takes it: true where it is missing, false where it is null, any
+    other text by whether it says anything."""
+    return F.when(~named, True).otherwise(F.coalesce(~flag.isin("false", "0", "0.0", ""), F.lit(False)))
+
+
 def add_verdict(df: DataFrame, verdict_col: str) -> DataFrame:
     """Add classification, agrees_with_dataset, domain_scores, domain_quality_score and parse_ok.
 
@@ -65,6 +82,13 @@ def add_verdict(df: DataFrame, verdict_col: str) -> DataFrame:
             ),
         )
         .withColumn("_bad", F.col("_v._bad"))
+        .withColumn(
+            "_flagged",
+            F.coalesce(
+                F.array_contains(F.map_keys(F.from_json("_json", "map<string,string>", _STRICT)), "agrees_with_dataset"),
+                F.lit(False),
+            ),
+        )
         .withColumn("_scores", scores)
         .withColumn("parse_ok", F.coalesce(ok, F.lit(False)))
         .withColumn(
@@ -73,7 +97,7 @@ def add_verdict(df: DataFrame, verdict_col: str) -> DataFrame:
         )
         .withColumn(
             "agrees_with_dataset",
-            F.when(F.col("parse_ok"), F.coalesce("_v.agrees_with_dataset", F.lit(True))).otherwise(True),
+            F.when(F.col("parse_ok"), _truth(F.col("_v.agrees_with_dataset"), F.col("_flagged"))).otherwise(True),
         )
         .withColumn(
             "domain_scores", F.when(F.col("parse_ok"), F.coalesce("_v.domain_scores", empty)).otherwise(empty)
@@ -82,7 +106,7 @@ def add_verdict(df: DataFrame, verdict_col: str) -> DataFrame:
             "domain_quality_score",
             F.when(F.col("parse_ok") & (F.size("_scores") > 0), total / F.size("_scores")).otherwise(0.0),
         )
-        .drop("_json", "_v", "_bad", "_scores")
+        .drop("_json", "_v", "_bad", "_scores", "_flagged")
     )
 
 

@@ -1,8 +1,9 @@
 """First-occurrence and append-only-new operators over a normalised text key.
 
-Both group a 64-character digest with ``min(id)``: partial aggregation collapses a hot text
-inside each map task, so no task ever receives all its copies, and documents are moved once,
-by their unique id, to meet the ids that stay.
+Only digests and ids are shuffled: they give the ids that go, usually few, and an anti-join
+takes those out. Ids to drop are written once and counted; up to ``BROADCAST_ROWS`` of them are
+broadcast, so that no text moves. The copies of a hot text meet in no task: their digest is
+counted with partial aggregation, and the join with the count is split where it is skewed.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandsieve.functions.text import text_key, trim_ws
+from brandsieve.session import written_once
 
 
 def normalised_key(text: Column) -> Column:
@@ -18,15 +20,26 @@ def normalised_key(text: Column) -> Column:
     return text_key(F.lower(trim_ws(F.coalesce(text, F.lit("")))))
 
 
+#: Ids of eight bytes or a little more: some 100 MB at most.
+BROADCAST_ROWS = 4_000_000
+
+
+def _without(df: DataFrame, drop: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not to drop; rows with a null id stay."""
+    drop = written_once(drop)
+    if drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        drop = F.broadcast(drop)
+    return df.join(drop, id_col, "left_anti").select(df.columns)
+
+
 def first_occurrence(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Rows with the smallest id among equal normalised texts. Ids must be unique."""
-    first = (
-        df.select(normalised_key(F.col(text_col)).alias("_key"), id_col)
-        .groupBy("_key")
-        .agg(F.min(id_col).alias(id_col))
-        .select(id_col)
+    keyed = written_once(df.select(normalised_key(F.col(text_col)).alias("_key"), id_col))
+    repeated = (
+        keyed.groupBy("_key").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     )
-    return df.join(first, id_col, "left_semi")
+    later = keyed.join(written_once(repeated), "_key").where(F.col(id_col) > F.col("_first"))
+    return _without(df, later.select(id_col), id_col)
 
 
 def _new_ids(batch: DataFrame, target: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -44,7 +57,13 @@ def _new_ids(batch: DataFrame, target: DataFrame, text_col: str, id_col: str) ->
 
 def new_rows(batch: DataFrame, target: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Batch rows whose text is neither in the target nor earlier in the batch."""
-    return batch.join(_new_ids(batch, target, text_col, id_col), id_col, "left_semi")
+    key = normalised_key(F.col(text_col)).alias("_key")
+    offered = written_once(batch.select(key, id_col))
+    known = target.select(key).distinct().withColumn("_known", F.lit(1))
+    first = offered.groupBy("_key").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    gone = written_once(first.join(known, "_key", "left").where("_known = 1 OR _n > 1"))
+    drop = offered.join(gone, "_key").where((F.col("_known") == 1) | (F.col(id_col) > F.col("_first")))
+    return _without(batch, drop.select(id_col), id_col)
 
 
 def append_counts(batch: DataFrame, target: DataFrame, text_col: str, id_col: str) -> DataFrame:

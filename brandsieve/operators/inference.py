@@ -7,13 +7,17 @@ second scan of the table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_LETTERS = str.maketrans("0123456789", "ghijklmnop")
+
 Load = Callable[[], Any]
 Predict = Callable[..., list]
 
@@ -47,8 +51,8 @@ def add_model_output(
     """Add ``predict(model, prompts, **options)`` as a column, and the error of rows that failed.
 
     ``load`` runs once per task. ``options`` carries sampling parameters. A task holds one
-    Arrow batch of prompts at a time; for long prompts lower
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    Arrow batch of prompts at a time, bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``
+    (64 MB by default).
     """
     settings = dict(options or {})
 
@@ -56,14 +60,15 @@ def add_model_output(
     def infer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load()
         for prompts in batches:
-            asked = prompts.dropna()
-            value = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
-            error = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+            answers = [(None, None)] * len(prompts)
+            asked = np.flatnonzero(prompts.notna().to_numpy())
+            texts = prompts.iloc[asked].tolist()
             for start in range(0, len(asked), batch_size):
-                chunk = asked.iloc[start : start + batch_size]
-                for at, (v, e) in zip(chunk.index, _answers(model, predict, chunk.tolist(), settings)):
-                    value.at[at], error.at[at] = v, e
-            yield pd.DataFrame({"value": value, "error": error})
+                found = _answers(model, predict, texts[start : start + batch_size], settings)
+                for at, answer in zip(asked[start : start + batch_size].tolist(), found):
+                    answers[at] = answer
+            values, errors = zip(*answers) if answers else ((), ())
+            yield pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     # A sampling model is not a pure function; this also keeps the plan from calling it twice.
     answer = infer.asNondeterministic()(F.col(prompt_col))
@@ -80,9 +85,9 @@ def load_stub() -> None:
 
 
 def predict_stub(model: None, prompts: list[str], *, endings: tuple[str, ...] = (".com", ".io", ".ai")) -> list[str]:
-    """Deterministic stand-in for a generator: first words of the prompt with fixed endings, one per line."""
+    """Deterministic stand-in for a generator: twelve letters made of the whole prompt's MD5 with fixed endings, one per line."""
     answers = []
     for prompt in prompts:
-        key = "".join(c for c in prompt.lower()[:40] if "a" <= c <= "z")[:12] or "name"
+        key = hashlib.md5(prompt.encode()).hexdigest()[:12].translate(_LETTERS)
         answers.append("\n".join(key + e for e in endings))
     return answers

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brandsieve import fixed_values as V
 from brandsieve.functions.text import hash_fraction, words
 from brandsieve.operators.sampling import in_samples
+from brandsieve.session import written_once
 
 
 def label_of(source: Column) -> Column:
@@ -42,22 +43,23 @@ def balance(df: DataFrame, id_col: str, label_col: str = "label", *, tail: int =
     aggregates find beforehand (see :func:`brandsieve.operators.sampling.in_samples`); no
     class is gathered in one task.
     """
-    counts = label_counts(df, label_col).first()
+    pool = written_once(df.select(id_col, label_col))  # texts are read once, at the end
+    counts = label_counts(pool, label_col).first()
     target = min(counts["positives"], counts["negatives"])
     ident, label = F.col(id_col), F.col(label_col)
     keep_positive = keep_negative = F.lit(True)
     if counts["positives"] > target:
-        positives = df.where(label == 1).select(id_col)
+        positives = pool.where(label == 1).select(id_col)
         last = positives.orderBy(ident.desc()).limit(tail)
         if target > tail:
             start = last.agg(F.min(id_col)).first()[0]
-            older = df.where((label == 1) & (ident < start))
+            older = pool.where((label == 1) & (ident < start))
             keep_positive = (ident >= start) | in_samples(older, id_col, label_col, {1: target - tail}, seed=seed)
         else:
             kept = last.orderBy(id_col).limit(target).agg(F.min(id_col), F.max(id_col)).first()
             keep_positive = ident.between(*kept)
     if counts["negatives"] > target:
-        keep_negative = in_samples(df, id_col, label_col, {0: target}, seed=seed)
+        keep_negative = in_samples(pool, id_col, label_col, {0: target}, seed=seed)
     return df.where(F.when(label == 1, keep_positive).otherwise(keep_negative))
 
 
@@ -73,7 +75,8 @@ def split_exact(
 
     The place left over by rounding down goes to the label with the larger remainder.
     """
-    counts = label_counts(df, label_col).first()
+    pool = written_once(df.select(id_col, label_col))
+    counts = label_counts(pool, label_col).first()
     ones, zeros = counts["positives"], counts["negatives"]
     n = ones + zeros
     wanted = math.ceil(n * test_size)
@@ -84,13 +87,20 @@ def split_exact(
         test_ones += spare
     else:
         test_zeros += spare
-    in_test = in_samples(df, id_col, label_col, {1: test_ones, 0: test_zeros}, seed=seed)
+    in_test = in_samples(pool, id_col, label_col, {1: test_ones, 0: test_zeros}, seed=seed)
     return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 
-def eval_subset(df: DataFrame, id_col: str, n: int = 50) -> DataFrame:
-    """The first n rows by id, as an evaluation set (they stay in the training set too)."""
-    return df.orderBy(id_col).limit(n)
+def eval_subset(df: DataFrame, id_col: str, n: int = 50, *, disjoint: bool = False) -> DataFrame:
+    """The first n rows by id, as an evaluation set.
+
+    They stay in the training set too, unless ``disjoint``: then all rows come back with
+    ``split`` eval or train. Ids must be unique for that.
+    """
+    if not disjoint:
+        return df.orderBy(id_col).limit(n)
+    last = df.select(id_col).orderBy(id_col).limit(n).agg(F.max(id_col)).first()[0]
+    return df.withColumn("split", F.when(F.col(id_col) <= F.lit(last), "eval").otherwise("train"))
 
 
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:

@@ -533,6 +533,11 @@ def class_balance(spark: SparkSession, sf: str) -> DataFrame:
     return training.label_counts(_labelled(spark, sf))
 
 
+@query
+def class_balance_after(spark: SparkSession, sf: str) -> DataFrame:
+    return training.label_counts(training.balance(_labelled(spark, sf), "doc_id"))
+
+
 @query
 def balance_classes(spark: SparkSession, sf: str) -> DataFrame:
     return training.balance(_labelled(spark, sf), "doc_id").select("doc_id", F.col("label").cast("bigint").alias("label"))
@@ -641,6 +646,11 @@ def eval_subset(spark: SparkSession, sf: str) -> DataFrame:
     return training.eval_subset(views.training(spark, sf).select("doc_id", "source"), "doc_id")
 
 
+@query
+def eval_subset_disjoint(spark: SparkSession, sf: str) -> DataFrame:
+    return training.eval_subset(views.training(spark, sf).select("doc_id", "source"), "doc_id", disjoint=True)
+
+
 @query
 def head_projection(spark: SparkSession, sf: str) -> DataFrame:
     first = sampling.head(views.training(spark, sf), "doc_id", 10)
@@ -658,11 +668,24 @@ def dataset_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def classifier_predict(spark: SparkSession, sf: str) -> DataFrame:
-    """Train on the train split, predict the test split."""
-    rows = training.split_by_hash(training.add_class_weight(_labelled(spark, sf)), "doc_id")
-    model = train_classifier(rows.where(F.col("split") == "train"), "business_description")
+    """Balance, split exactly, weigh the train labels, fit, predict the test split.
+
+    Fitted weights can't be reproduced in SQL; the rows, the labels and what must hold of any
+    prediction can. How good the fit is, tests/test_classifier.py asserts on unseen texts.
+    """
+    rows = training.split_exact(training.balance(_labelled(spark, sf), "doc_id"), "doc_id")
+    train = training.add_class_weight(rows.where(F.col("split") == "train"))
+    model = train_classifier(train, "business_description")
     scored = add_prediction(rows.where(F.col("split") == "test"), model, "business_description")
-    return scored.select("doc_id", "label", F.col("result.label").alias("predicted"), "result.is_legitimate", "result.confidence")
+    gibberish, legitimate = F.col("result.probabilities.gibberish"), F.col("result.probabilities.legitimate")
+    return scored.select(
+        "doc_id",
+        F.col("label").cast("bigint").alias("label"),
+        (F.abs(gibberish + legitimate - 1) < 1e-9).alias("sums_to_one"),
+        (F.col("result.confidence") == F.greatest(gibberish, legitimate)).alias("confidence_is_larger"),
+        ((F.col("result.label") == "legitimate") == F.col("result.is_legitimate")).alias("label_agrees"),
+        (F.col("result.is_legitimate") == (legitimate >= gibberish)).alias("likelier_wins"),
+    )
 
 
 # --- inference -----------------------------------------------------------------------------
@@ -692,7 +715,6 @@ def batch_generation(spark: SparkSession, sf: str) -> DataFrame:
     """Screen, ask the stub, parse and answer, for every request."""
     done = generate(
         views.requests(spark, sf), "business_description", load=load_stub, predict=predict_stub,
-        prompt=F.col("business_description"),
     )
     return done.select(
         "event_id", "gate", "status", _joined(F.col("target_domains")).alias("domains"),
@@ -704,24 +726,23 @@ def batch_generation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _description_lines(spark: SparkSession, sf: str) -> str:
-    """Documents as JSON Lines with blank, broken, keyless, aliased and whitespace-only lines among them."""
+    """Every document as a JSON line, with blank, broken, keyless, aliased and whitespace-only lines between them."""
     doc_id, text = F.col("doc_id"), F.col("text")
     path = new_path(spark, "descriptions")
-    table(spark, sf, "documents").select(
-        views.by_remainder(
-            doc_id,
-            [
-                F.lit('{"business_description": "broken'),
-                F.lit("   "),
-                F.lit('{"other": 1}'),
-                F.lit('{"business_description": " \\t "}'),
-                F.to_json(F.struct(text.alias("description"))),
-                F.lit("not json"),
-                F.to_json(F.struct(F.concat(F.lit("  "), text).alias("business_description"))),
-                F.to_json(F.struct(text.alias("business_description"))),
-            ],
-        )
-    ).write.text(path)
+    own = F.when(doc_id % 2 == 0, F.concat(F.lit("  "), text)).otherwise(text)
+    between = views.by_remainder(
+        doc_id,
+        [
+            F.concat(F.lit('{"business_description": "'), F.replace(text, F.lit("\n"), F.lit(" "))),
+            F.lit("   "),
+            F.lit('{"other": 1}'),
+            F.lit('{"business_description": " \\t "}'),
+            F.to_json(F.struct(text.alias("description"))),
+            F.lit("not json"),
+        ],
+    )
+    lines = F.array(F.to_json(F.struct(own.alias("business_description"))), between)
+    table(spark, sf, "documents").select(F.explode(lines)).write.text(path)
     return path
 
 
@@ -808,7 +829,7 @@ def report_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def results_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "results")
-    rows = views.outputs(spark, sf).where(F.col("model_version") == "v4").select("business_description", "target_domains")
+    rows = views.outputs(spark, sf).select("business_description", "target_domains")
     sinks.write_results(rows, path)
     back = json_lines.read_outputs(spark, path)
     return back.select(F.md5("business_description").alias("text_md5"), _joined(F.col("target_domains")).alias("domains"))

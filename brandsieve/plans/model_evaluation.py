@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from brandsieve.functions.verdicts import add_verdict
-from brandsieve.operators.evaluation import add_capabilities, add_category, evaluation_rows, summarize
+from brandsieve.operators.evaluation import add_capabilities, add_category, evaluation_rows
 
 
 def evaluate(outputs: DataFrame, truth: DataFrame, *, fallback: Column, verdict_col: str = "verdict") -> DataFrame:
@@ -13,7 +13,3 @@ def evaluate(outputs: DataFrame, truth: DataFrame, *, fallback: Column, verdict_
     rows = add_category(outputs, truth, "business_description", "entry_id", fallback=fallback)
     judged = add_verdict(add_capabilities(rows), verdict_col).drop(verdict_col)
     return evaluation_rows(judged)
-
-
-def evaluation_summary(outputs: DataFrame, truth: DataFrame, *, fallback: Column, verdict_col: str = "verdict") -> DataFrame:
-    return summarize(evaluate(outputs, truth, fallback=fallback, verdict_col=verdict_col))

@@ -65,27 +65,31 @@ SELECT doc_id, lang, {by_remainder('doc_id', [
     "text || ' redis db.users.find'",
     "text || ' what!!!!!'",
     "replace(text, ' ', '_')",
-    "lower(substr(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 1, 22))",
-    "'12 12 12 12 12 12 12 12 12 12 ' || substr(text, 1, 10)",
-    "'Привет ' || substr(text, 1, 50)",
-    "'Blockchain ' || substr(text, 1, 50)",
-    "substr(text, 1, 6)",
+    "lower(regexp_replace(text, '[^a-zA-Z]', '', 'g'))",
+    "'12 12 ' || regexp_replace(text, '[a-zA-Z]', '', 'g')",
+    "'Привет ' || text",
+    "'Blockchain ' || text",
+    "length(text)::VARCHAR",
     "'Startup app ' || text",
     "'npm   install ' || text",
     "'abc12345xyz ' || text",
-    "'http://x.y startup ' || substr(text, 1, 50)",
+    "'http://x.y startup ' || text",
     "'console.log import os ' || text",
-    "'machine  learning ' || substr(text, 1, 50)",
+    "'machine  learning ' || text",
     "text || ' ,,, '",
     "text",
+    "'host v127.0.0.1 is down now ' || text",
+    "text || ' see 127.0.0.1234 there today'",
+    "lpad(length(text)::VARCHAR, 12, '0')",
 ])} AS text FROM documents"""
 
 VIEWS["v_unsafe"] = f"""
-SELECT doc_id, CASE WHEN doc_id % 16 = 15 THEN ' x ' ELSE text || ' ' || {by_remainder('doc_id', [
+SELECT -1 - doc_id AS doc_id, ' x ' AS text FROM documents WHERE doc_id % 16 = 15
+UNION ALL SELECT doc_id, text || ' ' || {by_remainder('doc_id', [
     "'adult education course'", "'adult shop'", "'weapon safety training'", "'weapon store'", "'money-laundering'",
     "'anti-money-laundering desk'", "'SCAM!'", "'exploit'", "'cheating'", "'a pyramid scheme'",
     "'illegal-criminal mix'", "'method chateau'", "'bomb'", "'meth dealer'", "''", "'x'",
-])} END AS text FROM documents"""
+])} AS text FROM documents"""
 
 _PACKED = "replace(p_name, ' ', '')"
 VIEWS["v_candidates"] = f"""
@@ -109,12 +113,53 @@ SELECT entry_id, description, {by_remainder('entry_id', [
     "'user question assistant' || chr(10) || domain || chr(10) || 'error-' || domain",
 ])} AS response FROM v_candidates"""
 
-VIEWS["v_verdicts"] = f"SELECT doc_id, {by_remainder('doc_id', [q(v) for v in VERDICTS])} AS verdict FROM labels"
+def with_digits(key: str, templates) -> str:
+    chosen = by_remainder(key, [q(t) for t in templates])
+    return f"replace(replace({chosen}, '{{d}}', (({key}) % 10)::VARCHAR), '{{e}}', ((({key}) // 10) % 10)::VARCHAR)"
+
+
+def unfenced(text: str) -> str:
+    t = trim(text)
+    return (
+        f"CASE WHEN contains({t}, '```json') THEN {trim(f"split_part(split_part({t}, '```json', 2), '```', 1)")} "
+        f"WHEN contains({t}, '```') THEN {trim(f"split_part({t}, '```', 2)")} ELSE {t} END"
+    )
+
+
+_NUMERIC = "('DOUBLE', 'UBIGINT', 'BIGINT')"
+
+
+def numeric(value: str, path: str) -> str:
+    """The number at a path, null where something else or nothing stands."""
+    return f"CASE WHEN json_type({value}, '{path}') IN {_NUMERIC} THEN json_extract_string({value}, '{path}')::DOUBLE END"
+
+
+def read_verdicts(table: str) -> str:
+    """The table's columns and what its JSON verdicts say, read by the rules of the reference."""
+    criteria = " + ".join(
+        f"CASE WHEN json_type(v, '$.{c}') IS NULL THEN 0 ELSE {numeric('v', '$.' + c)} END" for c in V.CRITERIA
+    )
+    cut = f"SELECT *, regexp_extract({unfenced('verdict')}, '(?s)\\{{.*\\}}', 0) AS _j FROM {table}"
+    valid = f"SELECT *, CASE WHEN _j <> '' AND json_valid(_j) THEN _j::JSON END AS _v FROM ({cut})"
+    parts = f"""SELECT *, json_extract(_v, '$.domain_scores') AS _ds FROM ({valid})"""
+    rated = f"""SELECT *, list_transform(list_transform(coalesce(json_keys(_ds), []), lambda k: json_extract(_ds, '$."' || k || '"')),
+      lambda v: CASE json_type(v) WHEN 'OBJECT' THEN ({criteria}) / {len(V.CRITERIA)} ELSE {numeric('v', '$')} END) AS _s FROM ({parts})"""
+    checked = f"SELECT *, _v IS NOT NULL AND len(list_filter(_s, lambda x: x IS NULL)) = 0 AS parse_ok FROM ({rated})"
+    return f"""SELECT * EXCLUDE (_j, _v, _ds, _s),
+      CASE WHEN parse_ok THEN coalesce(json_extract_string(_v, '$.classification'), 'legitimate') ELSE 'legitimate' END AS classification,
+      CASE WHEN NOT parse_ok THEN true ELSE CASE json_type(_v, '$.agrees_with_dataset') WHEN 'BOOLEAN' THEN json_extract_string(_v, '$.agrees_with_dataset')::BOOLEAN
+        WHEN 'VARCHAR' THEN json_extract_string(_v, '$.agrees_with_dataset') <> '' WHEN 'NULL' THEN false ELSE true END END AS agrees_with_dataset,
+      CASE WHEN parse_ok AND len(_s) > 0 THEN list_sum(_s) / len(_s) ELSE 0 END::DOUBLE AS domain_quality_score,
+      CASE WHEN parse_ok THEN len(_s) ELSE 0 END AS n_scores FROM ({checked})"""
+
+
+VIEWS["v_verdicts"] = f"SELECT doc_id, {with_digits('doc_id', VERDICTS)} AS verdict FROM labels"
+VIEWS["v_read"] = read_verdicts("v_verdicts")
 
 VIEWS["v_ratings"] = f"""
 SELECT entry_id, description, ['a.com', 'b.ai', domain] AS domains,
-       {by_remainder('entry_id', [q(v) for v in RATINGS])} AS rating_text,
-       {by_remainder('entry_id', [q(v) for v in LIST_RATINGS])} AS list_text
+       {with_digits('entry_id', RATINGS)} AS rating_text,
+       {with_digits('entry_id', LIST_RATINGS)} AS list_text
 FROM v_candidates"""
 
 _PLACE = "CASE WHEN d.doc_id % 100 < 50 THEN 'legit' WHEN d.doc_id % 100 < 80 THEN 'gibberish' ELSE 'nsfw' END"
@@ -128,7 +173,7 @@ _STEM = "'d' || (d.doc_id + 1)"
 _NAMED = f"[{_STEM} || '.com', {_STEM} || '.io', {_STEM} || '.ai']"
 VIEWS["v_outputs"] = f"""
 SELECT c.model_version, c.has_gib, c.has_nsfw, d.doc_id + 1 AS entry_id, d.text AS business_description,
-       {_PLACE} AS positional_category, (d.doc_id + 1) % 6 AS verdict_kind,
+       {_PLACE} AS positional_category, {with_digits('(d.doc_id + 1)', VERDICTS)} AS verdict,
        {by_remainder('(d.doc_id + 1) * 3 + c.v', ["[]::VARCHAR[]", "['NSFW_CONTENT_DETECTED']", "[]::VARCHAR[]",
         "['NSFW_CONTENT_DETECTED']", "['SAFE_DOMAINS_UNAVAILABLE']", _NAMED, _NAMED])} AS target_domains
 FROM documents d CROSS JOIN (VALUES ('v0', 0, true, true), ('v1', 1, false, false), ('v2', 2, true, false),
@@ -138,24 +183,18 @@ VIEWS["v_truth"] = f"""
 SELECT {trim('business_description')} AS k, arg_max(gt_category, entry_id) AS truth_category
 FROM v_entries WHERE gt_category IS NOT NULL GROUP BY 1"""
 
-VIEWS["v_judged"] = """
-SELECT * FROM (VALUES (0, 'legitimate', true, (0.8::DOUBLE + 0.9 + 0.7 + 0.6 + 1.0) / 5, true, 1), (1, 'gibberish', false, 0::DOUBLE, true, 0),
-  (2, 'nsfw', true, 0.375::DOUBLE, true, 2), (3, 'legitimate', true, 0.2::DOUBLE, true, 1),
-  (4, 'legitimate', true, (1.8::DOUBLE + 0.9 + 0.7 + 0.6 + 1.0) / 5, true, 1), (5, 'legitimate', true, 0::DOUBLE, false, 0))
-  AS j(kind, classification, agrees_with_dataset, domain_quality_score, parse_ok, n_scores)"""
-
 VIEWS["v_categorised"] = f"""
 SELECT o.*, coalesce(t.truth_category, o.positional_category) AS category
 FROM v_outputs o LEFT JOIN v_truth t ON {trim('o.business_description')} = t.k"""
 
-VIEWS["v_rows"] = """
-SELECT c.*, j.classification, j.agrees_with_dataset, j.domain_quality_score, j.parse_ok,
+VIEWS["v_rows"] = f"""
+SELECT c.*,
        CASE c.category
          WHEN 'legit' THEN len(c.target_domains) > 0 AND c.target_domains <> ['NSFW_CONTENT_DETECTED']
          WHEN 'gibberish' THEN CASE WHEN c.has_gib THEN len(c.target_domains) = 0
               ELSE len(c.target_domains) > 0 AND c.target_domains <> ['NSFW_CONTENT_DETECTED'] END
          WHEN 'nsfw' THEN c.target_domains = ['NSFW_CONTENT_DETECTED'] ELSE false END AS model_correct
-FROM v_categorised c JOIN v_judged j ON c.verdict_kind = j.kind"""
+FROM ({read_verdicts('v_categorised')}) c"""
 
 _PARTS = ", ".join(
     f"count(*) FILTER (category = '{c}') AS {c}_total, count(*) FILTER (category = '{c}' AND model_correct) AS {c}_correct, "
@@ -181,8 +220,8 @@ FROM v_summary"""
 
 VIEWS["v_requests"] = """
 SELECT event_id, ts, CASE event_id % 10 WHEN 0 THEN '   ' WHEN 1 THEN NULL WHEN 2 THEN event_type || ' ' || props
-       WHEN 3 THEN event_type || ' adult shop' ELSE event_type || ' service for ' || user_id || ' shops' END AS business_description
-FROM events"""
+       WHEN 3 THEN event_type || ' adult shop ' || plain ELSE event_type || ' service for ' || user_id || ' shops ' || plain END AS business_description
+FROM (SELECT *, translate(props, '{}":', '') AS plain FROM events)"""
 
 VIEWS["v_training"] = """
 SELECT d.doc_id, d.text AS business_description,
@@ -227,6 +266,7 @@ def rule_sql(t: str, low: str) -> dict[str, str]:
             match(low, r"localhost:\p{Nd}|https?://[^\t-\r ]"),
             anyof(low, V.JAVA_PREFIXES),
             match(low, rf"(npm|pip|apt){_GAP}install"),
+            f"contains({low}, '127.0.0.1')",
         ]),
         "repeated_char": repeats(t, 11),
         "lorem": f"contains({low}, 'lorem ipsum')",
@@ -552,19 +592,28 @@ add("report_scan", "SELECT *, 'evaluated_names_' || model_version || '.json' AS
 
 # --- verdicts ------------------------------------------------------------------------------
 
-add("verdict_parse", """SELECT doc_id, parse_ok, classification, agrees_with_dataset, n_scores::BIGINT AS n_scores
-FROM v_verdicts JOIN v_judged ON doc_id % 6 = kind""")
-_JSON = "regexp_extract(verdict, '(?s)\\{.*\\}', 0)"
-_CRIT = " + ".join(f"coalesce((v->>'$.{c}')::DOUBLE, 0)" for c in V.CRITERIA)
-add("quality_rollup", """SELECT doc_id, CASE WHEN len(scores) > 0 THEN list_sum(scores) / len(scores) ELSE 0 END AS domain_quality_score FROM s""",
-    j=f"SELECT doc_id, CASE WHEN json_valid({_JSON}) THEN json_extract({_JSON}, '$.domain_scores') END AS ds FROM v_verdicts",
-    m="SELECT doc_id, list_transform(coalesce(json_keys(ds), []), lambda k: json_extract(ds, '$.\"' || k || '\"')) AS parts FROM j",
-    s=f"""SELECT doc_id, list_transform(parts, lambda v: CASE WHEN json_type(v) = 'OBJECT' THEN ({_CRIT}) / 5 ELSE v::VARCHAR::DOUBLE END) AS scores FROM m""")
-_OK = "entry_id % 6 IN (0, 1)"
-add("verdict_validate", f"""SELECT entry_id, {_OK} AS valid, CASE WHEN {_OK} THEN 0.5 ELSE 0 END::DOUBLE AS score,
-  CASE WHEN {_OK} THEN 0.5 ELSE 0 END::DOUBLE AS clarity FROM v_ratings""")
-add("verdict_list", """SELECT entry_id, true AS valid, unnest(['a.com', 'b.ai']) AS domain, 0.5::DOUBLE AS score FROM v_ratings WHERE entry_id % 5 IN (0, 1)
-UNION ALL SELECT entry_id, false, NULL, NULL FROM v_ratings WHERE entry_id % 5 NOT IN (0, 1)""")
+add("verdict_parse", "SELECT doc_id, parse_ok, classification, agrees_with_dataset, n_scores::BIGINT AS n_scores FROM v_read")
+add("quality_rollup", "SELECT doc_id, domain_quality_score FROM v_read")
+
+
+def rated(value: str) -> str:
+    """Is every number of a rating there and between 0 and 1?"""
+    paths = ["$.score", *(f"$.reasons.{c}" for c in V.CRITERIA)]
+    return "(" + " AND ".join(f"coalesce({numeric(value, p)} BETWEEN 0 AND 1, false)" for p in paths) + ")"
+
+
+_RATING_STEPS = {
+    "u": f"SELECT entry_id, description, domains, {unfenced('rating_text')} AS t, {unfenced('list_text')} AS lt FROM v_ratings",
+    "w": """SELECT *, CASE WHEN json_valid(t) THEN t::JSON END AS v,
+      CASE WHEN starts_with(lt, '[') AND json_valid(lt) THEN json_extract(lt::JSON, '$[*]') END AS es FROM u""",
+    "ok": f"""SELECT *, v IS NOT NULL AND {rated('v')} AS valid,
+      es IS NOT NULL AND len(list_filter(es, lambda e: NOT {rated('e')})) = 0 AS list_valid FROM w""",
+}
+add("verdict_validate", f"""SELECT entry_id, valid, CASE WHEN valid THEN {numeric('v', '$.score')} ELSE 0 END::DOUBLE AS score,
+  CASE WHEN valid THEN {numeric('v', '$.reasons.clarity')} ELSE 0 END::DOUBLE AS clarity FROM ok""", **_RATING_STEPS)
+add("verdict_list", f"""SELECT entry_id, true AS valid, json_extract_string(e, '$.domain') AS domain, {numeric('e', '$.score')} AS score
+FROM (SELECT entry_id, unnest(es) AS e FROM ok WHERE list_valid)
+UNION ALL SELECT entry_id, false, NULL, NULL FROM ok WHERE NOT list_valid""", **_RATING_STEPS)
 
 
 def fill(template: str, **values: str) -> str:
@@ -576,7 +625,7 @@ def fill(template: str, **values: str) -> str:
 
 
 add("verdict_requeue", f"""SELECT entry_id, domain, md5({fill(V.SINGLE_JUDGE_PROMPT, domain='domain', text='description')}) AS prompt_md5
-FROM (SELECT entry_id, description, unnest(domains) AS domain FROM v_ratings WHERE entry_id % 5 NOT IN (0, 1))""")
+FROM (SELECT entry_id, description, unnest(domains) AS domain FROM ok WHERE NOT list_valid)""", **_RATING_STEPS)
 
 # --- deduplication -------------------------------------------------------------------------
 
@@ -619,19 +668,33 @@ def hashed(expr: str) -> str:
     return f"md5({expr}::VARCHAR || '|42')"
 
 
-add("balance_classes", """SELECT doc_id, label::BIGINT AS label FROM k WHERE CASE WHEN label = 0 THEN n <= target OR any_rank <= target
+VIEWS["v_balanced"] = f"""
+SELECT doc_id, label FROM (
+  SELECT b.*, target, CASE WHEN back > 50 THEN row_number() OVER (PARTITION BY label, back > 50 ORDER BY {hashed('doc_id')}, doc_id) END AS rest_rank
+  FROM (SELECT doc_id, label, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY doc_id DESC) AS back,
+          row_number() OVER (PARTITION BY label ORDER BY {hashed('doc_id')}, doc_id) AS any_rank FROM v_labelled) AS b,
+       (SELECT least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS target FROM v_labelled) AS c)
+WHERE CASE WHEN label = 0 THEN n <= target OR any_rank <= target
   WHEN n <= target THEN true WHEN target > 50 THEN back <= 50 OR rest_rank <= target - 50
-  ELSE back <= 50 AND back > least(50, n) - target END""",
-    c="SELECT least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS target FROM v_labelled",
-    b=f"""SELECT doc_id, label, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY doc_id DESC) AS back,
-      row_number() OVER (PARTITION BY label ORDER BY {hashed('doc_id')}, doc_id) AS any_rank FROM v_labelled""",
-    k=f"""SELECT b.*, target, CASE WHEN back > 50 THEN row_number() OVER (PARTITION BY label, back > 50 ORDER BY {hashed('doc_id')}, doc_id) END AS rest_rank FROM b, c""")
+  ELSE back <= 50 AND back > least(50, n) - target END"""
+add("balance_classes", "SELECT doc_id, label::BIGINT AS label FROM v_balanced")
+add("class_balance_after", """SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives,
+  avg(label::DOUBLE) * 100 AS positive_pct FROM v_balanced""")
 add("stratified_split", f"""SELECT doc_id, CASE WHEN ('0x' || substr({hashed('doc_id')}, 1, 8))::BIGINT / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS split FROM v_labelled""")
-add("stratified_split_exact", """SELECT doc_id, CASE WHEN r <= CASE label WHEN 1 THEN t1 ELSE wanted - t1 END THEN 'test' ELSE 'train' END AS split FROM k, c""",
-    c0="SELECT count(*) AS n, count(*) FILTER (label = 1) AS p, ceil(count(*) * 0.2)::BIGINT AS wanted FROM v_labelled",
-    c="""SELECT wanted, (wanted * p) // n + CASE WHEN (wanted * p) % n > (wanted * (n - p)) % n
-      THEN wanted - (wanted * p) // n - (wanted * (n - p)) // n ELSE 0 END AS t1 FROM c0""",
-    k=f"SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {hashed('doc_id')}, doc_id) AS r FROM v_labelled")
+def exact_split(table: str) -> dict[str, str]:
+    """Steps that end in sp(doc_id, label, split)."""
+    return {
+        "c0": f"SELECT count(*) AS n, count(*) FILTER (label = 1) AS p, ceil(count(*) * 0.2)::BIGINT AS wanted FROM {table}",
+        "c": """SELECT wanted, (wanted * p) // n + CASE WHEN (wanted * p) % n > (wanted * (n - p)) % n
+          THEN wanted - (wanted * p) // n - (wanted * (n - p)) // n ELSE 0 END AS t1 FROM c0""",
+        "k": f"SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {hashed('doc_id')}, doc_id) AS r FROM {table}",
+        "sp": "SELECT doc_id, label, CASE WHEN r <= CASE label WHEN 1 THEN t1 ELSE wanted - t1 END THEN 'test' ELSE 'train' END AS split FROM k, c",
+    }
+
+
+add("stratified_split_exact", "SELECT doc_id, split FROM sp", **exact_split("v_labelled"))
+add("classifier_predict", """SELECT doc_id, label::BIGINT AS label, true AS sums_to_one, true AS confidence_is_larger, true AS label_agrees,
+  true AS likelier_wins FROM sp WHERE split = 'test'""", **exact_split("v_balanced"))
 add("random_sample", f"""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY {hashed('doc_id')}, doc_id) AS r, count(*) OVER () AS n FROM documents)
 WHERE r <= n // 10""")
 add("shuffled_order", f"SELECT doc_id, lang FROM documents ORDER BY {hashed('doc_id')}, doc_id")
@@ -678,6 +741,8 @@ add("token_profile", "SELECT count(*) AS n_rows, " + ", ".join(
 add("pad_bucket", """SELECT doc_id, b AS bucket, b AS n_ids, n AS n_real, b - n AS n_ignored
 FROM (SELECT doc_id, len(t) AS n, (len(t) + 7) // 8 * 8 AS b FROM tk)""", **_TOK)
 add("eval_subset", "SELECT doc_id, source FROM v_training ORDER BY doc_id LIMIT 50")
+add("eval_subset_disjoint", """SELECT doc_id, source, CASE WHEN row_number() OVER (ORDER BY doc_id) <= 50 THEN 'eval' ELSE 'train' END AS split
+FROM v_training""")
 add("head_projection", f"""SELECT doc_id, md5(business_description) AS text_md5, length(business_description) AS text_chars, {joined('target_domains')} AS target_domains, source
 FROM v_training ORDER BY doc_id LIMIT 10""")
 add("dataset_metadata", "SELECT count(*) AS total_examples, 200::BIGINT AS max_seq_length, 'hashed-words' AS model_name FROM v_labelled")
@@ -687,7 +752,7 @@ add("tokens_round_trip", "SELECT doc_id, len(t) AS n_ids, (SELECT count(*) FROM
 
 
 def stub(text: str, endings) -> str:
-    key = f"coalesce(nullif(substr(regexp_replace(substr(lower({text}), 1, 40), '[^a-z]', '', 'g'), 1, 12), ''), 'name')"
+    key = f"translate(substr(md5({text}), 1, 12), '0123456789', 'ghijklmnop')"
     return "[" + ", ".join(f"{key} || {q(e)}" for e in endings) + "]"
 
 
@@ -697,22 +762,25 @@ FROM kd""", **keyword_steps("v_candidates", "entry_id", "description", 3))
 add("batch_generation", f"""SELECT event_id, gate, CASE WHEN gate = 'pass' AND len(safe) = 0 THEN 'blocked' WHEN gate = 'pass' THEN 'success' ELSE gate END AS status,
   CASE gate WHEN 'blocked' THEN 'NSFW_CONTENT_DETECTED' WHEN 'pass' THEN CASE WHEN len(safe) = 0 THEN 'SAFE_DOMAINS_UNAVAILABLE' ELSE {joined('safe')} END ELSE '' END AS domains,
   CASE gate WHEN 'error' THEN 500 ELSE 200 END::BIGINT AS http_code
-FROM (SELECT event_id, gate, list_filter({stub('text', ['.com', '.io', '.ai'])}, lambda x: {unsafe_case('lower(x)', lambda c, k: '1')} IS NULL) AS safe FROM g)""", **_GATE)
+FROM (SELECT event_id, gate, list_filter({stub(fill(V.CHAT_PROMPT, text='text'), ['.com', '.io', '.ai'])}, lambda x: {unsafe_case('lower(x)', lambda c, k: '1')} IS NULL) AS safe FROM g)""", **_GATE)
 
 # --- sources and sinks ---------------------------------------------------------------------
 
-add("scan_jsonl", f"SELECT md5({trim('text')}) AS text_md5, length({trim('text')}) AS text_chars FROM documents WHERE doc_id % 8 IN (6, 7) AND {trim('text')} <> ''")
-add("scan_jsonl_quarantine", """SELECT CASE doc_id % 8 WHEN 0 THEN '{"business_description": "broken' ELSE 'not json' END AS line, count(*) AS n
-FROM documents WHERE doc_id % 8 IN (0, 5) GROUP BY 1""")
-_RAW = "CASE doc_id % 8 WHEN 3 THEN ' ' || chr(9) || ' ' WHEN 6 THEN '  ' || text ELSE text END"
-for _name, _kinds in [("scan_jsonl_alias", "3, 4, 6, 7"), ("scan_jsonl_strict", "3, 6, 7")]:
-    add(_name, f"SELECT md5({_RAW}) AS text_md5, length({_RAW}) AS text_chars FROM documents WHERE doc_id % 8 IN ({_kinds})")
+_LINE = "CASE WHEN doc_id % 2 = 0 THEN '  ' || text ELSE text END"
+add("scan_jsonl", f"SELECT md5({trim('text')}) AS text_md5, length({trim('text')}) AS text_chars FROM documents WHERE {trim('text')} <> ''")
+add("scan_jsonl_quarantine", """SELECT CASE doc_id % 6 WHEN 0 THEN '{"business_description": "' || replace(text, chr(10), ' ') ELSE 'not json' END AS line, count(*) AS n
+FROM documents WHERE doc_id % 6 IN (0, 5) GROUP BY 1""")
+_BLANK_LINES = "SELECT ' ' || chr(9) || ' ' AS t FROM documents WHERE doc_id % 6 = 3"
+_RAW = {"lines": f"SELECT {_LINE} AS t FROM documents UNION ALL {_BLANK_LINES}"}
+_ALIASED = {"lines": f"{_RAW['lines']} UNION ALL SELECT text FROM documents WHERE doc_id % 6 = 4"}
+for _name, _steps in [("scan_jsonl_alias", _ALIASED), ("scan_jsonl_strict", _RAW)]:
+    add(_name, "SELECT md5(t) AS text_md5, length(t) AS text_chars FROM lines", **_steps)
 add("scan_versions", f"""SELECT model_version, md5(business_description) AS text_md5,
   CASE WHEN entry_id % 9 > 0 THEN {joined('target_domains')} ELSE '' END AS domains FROM v_outputs""")
 add("scan_training", """SELECT source, count(*) AS n_rows, count(*) FILTER (source IN ('original', 'paraphrase', 'gibberish')) AS n_labelled
 FROM (SELECT CASE WHEN doc_id % 11 > 0 THEN source ELSE 'unknown' END AS source FROM v_training) GROUP BY 1""")
 add("line_positions", "SELECT row_number() OVER (ORDER BY doc_id) AS position, doc_id || ':' || md5(text) AS line FROM documents")
-add("results_round_trip", f"SELECT md5(business_description) AS text_md5, {joined('target_domains')} AS domains FROM v_outputs WHERE model_version = 'v4'")
+add("results_round_trip", f"SELECT md5(business_description) AS text_md5, {joined('target_domains')} AS domains FROM v_outputs")
 
 # --- streams -------------------------------------------------------------------------------
 

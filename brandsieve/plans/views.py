@@ -24,9 +24,8 @@ def by_remainder(id_: Column, variants: Sequence[Column]) -> Column:
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a disturbance that makes each gibberish rule fire for some of them."""
+    """Whole documents with a disturbance around them that makes each gibberish rule fire for some."""
     text = F.col("text")
-    start = F.substring(text, 1, 50)
 
     def before(prefix: str, body: Column = text) -> Column:
         return F.concat(F.lit(prefix), body)
@@ -47,38 +46,39 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
                 after(" redis db.users.find"),
                 after(" what!!!!!"),
                 F.replace(text, F.lit(" "), F.lit("_")),
-                F.lower(F.substring(F.regexp_replace(text, "[^a-zA-Z]", ""), 1, 22)),
-                before("12 12 12 12 12 12 12 12 12 12 ", F.substring(text, 1, 10)),
-                before("Привет ", start),
-                before("Blockchain ", start),
-                F.substring(text, 1, 6),
+                F.lower(F.regexp_replace(text, "[^a-zA-Z]", "")),
+                before("12 12 ", F.regexp_replace(text, "[a-zA-Z]", "")),
+                before("Привет "),
+                before("Blockchain "),
+                F.char_length(text).cast("string"),
                 before("Startup app "),
                 before("npm   install "),
                 before("abc12345xyz "),
-                before("http://x.y startup ", start),
+                before("http://x.y startup "),
                 before("console.log import os "),
-                before("machine  learning ", start),
+                before("machine  learning "),
                 after(" ,,, "),
                 text,
+                before("host v127.0.0.1 is down now "),
+                after(" see 127.0.0.1234 there today"),
+                F.lpad(F.char_length(text).cast("string"), 12, "0"),
             ],
         ).alias("text"),
     )
 
 
 def unsafe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with phrases that meet the unsafe-content rules and their exceptions."""
+    """Documents with phrases that meet the unsafe-content rules and their exceptions, and short texts besides."""
     phrases = [
         "adult education course", "adult shop", "weapon safety training", "weapon store", "money-laundering",
         "anti-money-laundering desk", "SCAM!", "exploit", "cheating", "a pyramid scheme", "illegal-criminal mix",
         "method chateau", "bomb", "meth dealer", "", "x",
     ]
     doc_id, text = F.col("doc_id"), F.col("text")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.when(doc_id % 16 == 15, F.lit(" x ")).otherwise(
-            F.concat(text, F.lit(" "), by_remainder(doc_id, [F.lit(p) for p in phrases]))
-        ).alias("text"),
-    )
+    docs = table(spark, sf_dir, "documents")
+    marked = docs.select("doc_id", F.concat(text, F.lit(" "), by_remainder(doc_id, [F.lit(p) for p in phrases])).alias("text"))
+    short = docs.where(doc_id % 16 == 15).select((-1 - doc_id).alias("doc_id"), F.lit(" x ").alias("text"))
+    return marked.unionByName(short)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,44 +137,55 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# {d} and {e} stand for digits of the row's key, so that numbers differ from row to row.
+_RATED = (
+    '{"relevance": 0.{d}, "clarity": 0.{e}, "professionalism": 0.7, "memorability": 0.6{d}, "tld_suitability": 1}'
+)
 VERDICTS = [
-    '{"classification": "legitimate", "agrees_with_dataset": true, "domain_scores": {"a.com": {"relevance": 0.8, '
-    '"clarity": 0.9, "professionalism": 0.7, "memorability": 0.6, "tld_suitability": 1.0}}}',
+    '{"classification": "legitimate", "agrees_with_dataset": true, "domain_scores": {"a.com": ' + _RATED + "}}",
     '```json\n{"classification": "gibberish", "agrees_with_dataset": false, "domain_scores": {}}\n```',
-    '```\n{"classification": "nsfw", "domain_scores": {"a.com": 0.5, "b.ai": 0.25}}\n```',
-    'Here is my answer: {"agrees_with_dataset": true, "domain_scores": {"a.com": {"relevance": 0.5, "clarity": 0.5}}} '
+    '```\n{"classification": "nsfw", "domain_scores": {"a.com": 0.{d}5, "b.ai": 0.{e}}}\n```',
+    'Here is my answer: {"agrees_with_dataset": true, "domain_scores": {"a.com": {"relevance": 0.{e}, "clarity": 0.5}}} '
     "Thanks.",
-    '{"classification": "legitimate", "domain_scores": {"a.com": {"relevance": 1.8, "clarity": 0.9, '
-    '"professionalism": 0.7, "memorability": 0.6, "tld_suitability": 1.0}}}',
+    '{"classification": "legitimate", "domain_scores": {"a.com": ' + _RATED.replace("0.7", "1.{d}") + "}}",
     "I cannot rate this.",
+    '{"classification": "nsfw", "agrees_with_dataset": "yes", "domain_scores": {"c.io": 0.{d}}}',
+    '{"classification": "nsfw", "domain_scores": {"a.com": ' + _RATED.replace("0.{d},", "null,") + "}}",
+    '{"classification": "nsfw", "domain_scores": {"a.com": ' + _RATED.replace("0.{e},", '"0.{e}",') + "}}",
+    '{"classification": "gibberish", "agrees_with_dataset": null, "domain_scores": {"a.com": ' + _RATED + "}}",
 ]
 
 _FULL = (
-    '"score": 0.5, "reasons": {"relevance": 0.25, "clarity": 0.5, "professionalism": 0.75, "memorability": 1, '
+    '"score": 0.{d}, "reasons": {"relevance": 0.25, "clarity": 0.{e}, "professionalism": 0.75, "memorability": 1, '
     '"tld_suitability": 0}'
 )
 RATINGS = [
     "{" + _FULL + "}",
     "```json\n{" + _FULL + "}\n```",
     "```\n{" + _FULL.replace("0.75", "1.75") + "}\n```",
-    "{" + _FULL.replace('"clarity": 0.5, ', "") + "}",
+    "{" + _FULL.replace('"clarity": 0.{e}, ', "") + "}",
     "{" + _FULL.replace("0.25", '"high"') + "}",
     "not rated",
 ]
 LIST_RATINGS = [
     '[{"domain": "a.com", ' + _FULL + '}, {"domain": "b.ai", ' + _FULL + "}]",
     '```json\n[{"domain": "a.com", ' + _FULL + '}, {"domain": "b.ai", ' + _FULL + "}]\n```",
-    '[{"domain": "a.com", ' + _FULL + '}, {"domain": "b.ai", "score": 0.5}]',
+    '[{"domain": "a.com", ' + _FULL + '}, {"domain": "b.ai", "score": 0.{d}}]',
     "{" + _FULL + "}",
     "not rated",
 ]
 
 
+def with_digits(key: Column, templates: Sequence[str]) -> Column:
+    """The row's template, with the last digits of the key in it."""
+    chosen = by_remainder(key, [F.lit(t) for t in templates])
+    chosen = F.replace(chosen, F.lit("{d}"), (key % 10).cast("string"))
+    return F.replace(chosen, F.lit("{e}"), (F.floor(key / 10) % 10).cast("string"))
+
+
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id = F.col("doc_id")
-    return table(spark, sf_dir, "labels").select(
-        "doc_id", by_remainder(doc_id, [F.lit(v) for v in VERDICTS]).alias("verdict")
-    )
+    return table(spark, sf_dir, "labels").select("doc_id", with_digits(doc_id, VERDICTS).alias("verdict"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +195,8 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "entry_id",
         "description",
         F.array(F.lit("a.com"), F.lit("b.ai"), F.col("domain")).alias("domains"),
-        by_remainder(key, [F.lit(v) for v in RATINGS]).alias("rating_text"),
-        by_remainder(key, [F.lit(v) for v in LIST_RATINGS]).alias("list_text"),
+        with_digits(key, RATINGS).alias("rating_text"),
+        with_digits(key, LIST_RATINGS).alias("list_text"),
     )
 
 
@@ -205,7 +216,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def outputs(spark: SparkSession, sf_dir: str, *, with_text: bool = True) -> DataFrame:
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs of five model versions for every document, with a judge's verdict text."""
     docs = table(spark, sf_dir, "documents")
     entry_id, place = F.col("doc_id") + 1, F.col("doc_id") % 100
@@ -219,7 +230,7 @@ def outputs(spark: SparkSession, sf_dir: str, *, with_text: bool = True) -> Data
         entry_id.alias("entry_id"),
         F.col("text").alias("business_description"),
         F.when(place < 50, "legit").when(place < 80, "gibberish").otherwise("nsfw").alias("positional_category"),
-        by_remainder(entry_id, [F.lit(v) for v in VERDICTS]).alias("verdict"),
+        with_digits(entry_id, VERDICTS).alias("verdict"),
         F.inline(versions),
     ).select(
         "model_version",
@@ -235,12 +246,13 @@ def outputs(spark: SparkSession, sf_dir: str, *, with_text: bool = True) -> Data
 
 
 def request_text(event_id: Column) -> Column:
+    plain = F.translate("props", '{}":', "")
     return (
         F.when(event_id % 10 == 0, F.lit("   "))
         .when(event_id % 10 == 1, F.lit(None).cast("string"))
         .when(event_id % 10 == 2, F.concat_ws(" ", "event_type", "props"))
-        .when(event_id % 10 == 3, F.concat(F.col("event_type"), F.lit(" adult shop")))
-        .otherwise(F.concat(F.col("event_type"), F.lit(" service for "), F.col("user_id").cast("string"), F.lit(" shops")))
+        .when(event_id % 10 == 3, F.concat(F.col("event_type"), F.lit(" adult shop "), plain))
+        .otherwise(F.concat(F.col("event_type"), F.lit(" service for "), F.col("user_id").cast("string"), F.lit(" shops "), plain))
     )
 
 

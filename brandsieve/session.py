@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _local_folders: dict[str, str] = {}
@@ -28,6 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[application]
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """The same rows from the checkpoint folder, for narrow tables that several passes read.
+
+    Spark removes the files with the last reference, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one written table in the shared folder."""
+    """A fresh path for one written table in the shared folder. The table belongs to the caller:
+    it is read lazily, so only the caller knows when it may go."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

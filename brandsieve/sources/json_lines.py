@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brandsieve.functions.text import no_strings, trim_ws
+from brandsieve.session import written_once
 
 log = logging.getLogger(__name__)
 
@@ -16,6 +17,8 @@ DESCRIPTION = "business_description string"
 DESCRIPTION_OR_ALIAS = "business_description string, description string"
 OUTPUT = "business_description string, target_domains array<string>, error string"
 TRAINING = "business_description string, target_domains array<string>, source string"
+#: Counters of a path and three numbers each: some 200 MB at most.
+BROADCAST_SPLITS = 1_000_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -83,16 +86,25 @@ def _with_defaults(rows: DataFrame) -> DataFrame:
     )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path can be listed. Any other problem than a missing path is an error."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def existing(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
-    """The entries whose path can be listed; the others are logged and left out."""
+    """The entries whose path exists; the others are logged and left out."""
     found = {}
     for version, path in paths.items():
-        try:
-            spark.read.text(path)
-        except AnalysisException:
-            log.warning("missing input for %s: %s", version, path)
-        else:
+        if path_exists(spark, path):
             found[version] = path
+        else:
+            log.warning("missing input for %s: %s", version, path)
     if not found:
         raise FileNotFoundError(f"none of the inputs exists: {sorted(paths.values())}")
     return found
@@ -128,7 +140,8 @@ def read_numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame
 
     Each file split counts its lines (a small aggregate), offsets are summed over the splits,
     and every line adds its place within its split. No global sort and no single-task window
-    over lines: only the split counters, one row per split, are ordered.
+    over lines: only the split counters, one row per split, are ordered. They are written once
+    and counted; up to ``BROADCAST_SPLITS`` they are broadcast, so that no line moves.
     """
     lines = spark.read.text(path).select(
         F.col("value").alias("line"),
@@ -142,5 +155,8 @@ def read_numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame
         .withColumn("_before", F.sum("_n").over(Window.orderBy("file_path", "block")) - F.col("_n"))
         .select("file_path", "block", "_first", "_before")
     )
+    splits = written_once(splits)
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     place: Column = F.col("_before") + F.col("_row") - F.col("_first") + 1
     return lines.join(splits, ["file_path", "block"]).select(place.alias("position"), "line", "file_path")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brandsieve.functions.text import base_name
 from brandsieve.operators.dedup import new_rows
 from brandsieve.operators.training import dataset_metadata
+from brandsieve.sources.json_lines import path_exists, read_lines, readable
 from brandsieve.sources.reports import nest_summary
 
 
@@ -17,9 +18,15 @@ def write_results(rows: DataFrame, path: str) -> None:
 
 
 def append_new(batch: DataFrame, path: str, text_col: str, id_col: str) -> None:
-    """Append the batch rows whose text is neither in the JSON Lines at ``path`` nor earlier in the batch."""
-    spark = batch.sparkSession
-    target = spark.read.schema(f"{text_col} string").json(path)
+    """Append the batch rows whose text is neither in the JSON Lines at ``path`` nor earlier in the batch.
+
+    A path that does not exist yet is created. Lines of it that cannot be read are skipped.
+    """
+    spark, schema = batch.sparkSession, f"{text_col} string"
+    if path_exists(spark, path):
+        target = readable(read_lines(spark, path, schema))
+    else:
+        target = spark.createDataFrame([], schema)
     new_rows(batch, target, text_col, id_col).drop(id_col).write.mode("append").json(path)
 
 

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from brandsieve.operators.dedup import normalised_key
 
 
-def distinct_texts(stream: DataFrame, text_col: str, *, time_col: str | None = None, keep_for: str = "1 hour") -> DataFrame:
+def distinct_texts(stream: DataFrame, text_col: str, *, time_col: str | None = None, keep_for: str | None = None) -> DataFrame:
     """First arrival of every normalised text.
 
     The state holds one digest per text, never the text. With a time column it is bounded:
-    a digest is forgotten ``keep_for`` after its event time. Without one the state grows with
-    the number of distinct texts, which suits an append-only set of known size.
+    a digest is forgotten ``keep_for`` after its event time, and **rows that arrive later than
+    that are dropped**, new texts too. Choose ``keep_for``, which has no default, to exceed the
+    longest delay. Without a time column nothing is dropped, and the state grows with the
+    number of distinct texts, which suits an append-only set of known size.
     """
     keyed = stream.withColumn("text_key", normalised_key(F.col(text_col)))
     if time_col is None:
         return keyed.dropDuplicates(["text_key"])
+    if keep_for is None:
+        raise ValueError("state that is bounded by time drops late rows: say how late a row may be (keep_for)")
     return keyed.withWatermark(time_col, keep_for).dropDuplicatesWithinWatermark(["text_key"])

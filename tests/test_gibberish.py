@@ -10,11 +10,11 @@ from brandsieve import fixed_values as V
 from brandsieve.functions.gibberish import add_gibberish_rules, add_gibberish_score, drop_low_quality, low_quality
 
 GOLDEN = [
-    ("A sustainable fashion platform connecting conscious consumers with ethical brands", 0),
-    ("xkjfhe983 fmxlk234 postgres ERROR: connection timeout 127.0.0.1:5432", 9),
-    ("An AI-powered fintech startup providing blockchain solutions", 1),
-    ("SELECT * FROM users WHERE password = 'admin123';", 8),
-    ("Random keyboard mash: asdfghjkl qwertyuiop zxcvbnm", 0),
+    ("Hand-made soap and candles sold at weekly markets", 0),
+    ("host v127.0.0.1 is down now", 9),
+    ("see 127.0.0.1234 there today", 9),
+    ("A startup that sells blockchain ledgers", 1),
+    ("price <= 12 and stock > 3;", 8),
     ("AI", 3),
     ("中国菜餐厅", 4),
     ("https://a.b/c startup", 7),
@@ -43,7 +43,7 @@ def slow_score(text):
 
     phrases = [rf"{a}\s+{b}" for a, b in V.TECH_PHRASES]
     fired = {
-        "network": any_of(r"\b\d{1,3}(\.\d{1,3}){3}\b", r"localhost:\d", r"https?://\S", r"(npm|pip|apt)\s+install")
+        "network": any_of(r"\b\d{1,3}(\.\d{1,3}){3}\b", r"localhost:\d|127\.0\.0\.1", r"https?://\S", r"(npm|pip|apt)\s+install")
         or any(p in low for p in V.JAVA_PREFIXES),
         "repeated_char": re.search(r"(.)\1{10,}", text),
         "lorem": "lorem ipsum" in low,
