@@ -106,6 +106,7 @@ NO_SAFE_MARK = "SAFE_DOMAINS_UNAVAILABLE"
 MSG_REQUIRED = "Business description is required"
 MSG_INTERNAL = "Internal server error"
 MSG_BAD_JSON = "Invalid JSON request"
+MSG_REQUEST_FAILED = "Request processing failed"
 MSG_FILTERED = "Content appears to be invalid or gibberish"
 MSG_BLOCKED = "Request contains inappropriate content"
 MSG_NO_SAFE = "Unable to generate safe domain suggestions"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brandsieve.session import written_once
+
 BROADCAST_BYTES = 64 << 20  # measured size up to which a lookup table is broadcast
 HOT_SHARE = 1000  # a key is hot when it holds more than 1/HOT_SHARE of the rows
 
@@ -32,6 +34,7 @@ def lookup_join(
     shuffle partitions by default) and the table row of that key is repeated for each slot;
     all other keys have slot 0 only. Null keys match nothing and are spread too.
     """
+    table = written_once(table)  # measured and joined
     if measured_bytes(table) <= broadcast_bytes:
         return rows.join(F.broadcast(table), key, "left").select(*rows.columns, *[c for c in table.columns if c != key])
     spread = spread or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -13,9 +13,7 @@ from brandsieve.functions.confidence import suggestions
 from brandsieve.functions.gibberish import add_gibberish_score, is_gibberish
 from brandsieve.functions.text import fixed, let, no_strings, trim_ws, words
 from brandsieve.functions.unsafe import add_keyword_check, safe_domains
-from brandsieve.operators.joins import BROADCAST_BYTES, measured_bytes
-
-SALTS = 16
+from brandsieve.operators.joins import BROADCAST_BYTES, lookup_join
 
 
 def add_gate(df: DataFrame, text_col: str, *, legitimate: Column | None = None) -> DataFrame:
@@ -62,25 +60,32 @@ def status_of(domains: Column) -> Column:
     )
 
 
-def add_response(df: DataFrame, text_col: str, *, domains_col: str = "target_domains", failed: Column | None = None) -> DataFrame:
+def add_response(df: DataFrame, text_col: str, *, domains_col: str = "target_domains", failed: Column | None = None, invalid: Column | None = None) -> DataFrame:
     """Add ``status``, ``message``, ``http_code`` and ``suggestions``.
 
     ``failed`` marks rows whose processing broke; they answer with an internal error.
+    ``invalid`` (see :func:`brandsieve.sources.requests.body_failure`) answers for bodies that
+    are no requests.
     """
+    if invalid is None:
+        invalid = F.lit(None).cast("struct<message: string, http_code: int>")
     failed = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
     domains = F.coalesce(F.col(domains_col), no_strings())
     blank = trim_ws(F.coalesce(F.col(text_col), F.lit(""))) == ""
     return (
-        df.withColumn("status", F.when(blank | failed, "error").otherwise(status_of(domains)))
+        df.withColumn("_invalid", invalid)
+        .withColumn("status", F.when(blank | failed | F.col("_invalid").isNotNull(), "error").otherwise(status_of(domains)))
         .withColumn(
             "message",
-            F.when(blank, V.MSG_REQUIRED)
+            F.when(F.col("_invalid").isNotNull(), F.col("_invalid.message"))
+            .when(blank, V.MSG_REQUIRED)
             .when(failed, V.MSG_INTERNAL)
             .when(F.col("status") == "filtered", V.MSG_FILTERED)
             .when(domains == F.array(F.lit(V.BLOCKED_MARK)), V.MSG_BLOCKED)
             .when(F.col("status") == "blocked", V.MSG_NO_SAFE),
         )
-        .withColumn("http_code", F.when(F.col("status") == "error", 500).otherwise(200))
+        .withColumn("http_code", F.coalesce("_invalid.http_code", F.when(F.col("status") == "error", 500).otherwise(200)))
+        .drop("_invalid")
         .withColumn(
             "suggestions",
             # The text is null, and its words are not gathered, where nothing is suggested.
@@ -92,48 +97,49 @@ def add_response(df: DataFrame, text_col: str, *, domains_col: str = "target_dom
     )
 
 
-def match_blocklist(df: DataFrame, text_col: str, id_col: str, blocklist: DataFrame, *, max_parts: int = 3) -> DataFrame:
+def match_blocklist(df: DataFrame, text_col: str, id_col: str, blocklist: DataFrame) -> DataFrame:
     """Whole-word check against a blocklist table (column ``term``): one row per id that has a hit.
 
-    Terms are single words, or up to ``max_parts`` words joined by hyphens; other terms stop
-    the job rather than pass unnoticed. Each text contributes its distinct words, so the join
-    sees a word once per text. The list is measured first and broadcast up to
-    ``BROADCAST_BYTES``. Beyond that both sides shuffle by word, frequent words that are not
-    listed included, so words carry a salt on the text side that the list repeats.
+    Terms are words, or words with anything between them (hyphens, blanks); their number is
+    that of the longest term. A term that doesn't begin and end with a word character stops
+    the job rather than pass unnoticed; null and empty terms are none. Each text contributes
+    its distinct words and runs of words, so the join sees one once per text. The list is
+    measured first and broadcast up to ``BROADCAST_BYTES``; beyond that, frequent words are
+    split over all shuffle partitions.
     """
-    terms = blocklist.select(F.lower("term").alias("_term")).distinct()
-    small = measured_bytes(terms) <= BROADCAST_BYTES
-    salts = 1 if small else SALTS
-    shape = F.col("_term").rlike(rf"^{V.WORD}+(?:-{V.WORD}+){{0,{max_parts - 1}}}\z")
+    terms = blocklist.select(F.lower("term").alias("_term")).where("_term <> ''").distinct()
+    shape = F.col("_term").rlike(rf"^{V.WORD}(?:[\s\S]*{V.WORD})?\z")
     terms = terms.select(
         F.when(shape, F.col("_term")).otherwise(F.raise_error(F.concat(F.lit("unsupported term: "), "_term"))).alias("_term"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+        F.lit(True).alias("_listed"),
     )
+    n_words = F.size(words(F.col("_term")))
+    longest = terms.agg(F.max(n_words)).first()[0] or 1
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    chains = F.when(
-        low.contains("-"), F.regexp_extract_all(low, F.lit(rf"({V.WORD}+(?:-{V.WORD}+)+)"), F.lit(1))
-    ).otherwise(no_strings())
-
-    def joined_parts(chain: Column) -> Column:
-        return let(
-            F.split(chain, "-"),
-            lambda parts: F.flatten(
+    found = words(low)
+    if longest > 1:
+        pieces = F.regexp_extract_all(low, F.lit(rf"({V.WORD}+|[^{V.WORD[1:]}+)"), F.lit(1))
+
+        def runs(pieces: Column) -> Column:
+            """From each word on, the runs of 2 to ``longest`` words with what stands between them."""
+            return F.flatten(
                 F.transform(
-                    parts,
-                    lambda _, i: F.transform(
-                        F.sequence(F.lit(2), F.lit(max_parts)), lambda n: F.array_join(F.slice(parts, i + 1, n), "-")
-                    ),
+                    pieces,
+                    lambda piece, i: F.when(
+                        piece.rlike(f"^{V.WORD}"),
+                        F.transform(
+                            F.sequence(F.lit(2), F.lit(longest)), lambda n: F.array_join(F.slice(pieces, i + 1, 2 * n - 1), "")
+                        ),
+                    ).otherwise(no_strings()),
                 )
-            ),
-        )
+            )
 
-    found = F.array_distinct(F.concat(words(low), F.flatten(F.transform(chains, joined_parts))))
+        found = F.concat(found, let(pieces, runs))
     # The outer form: explode alone adds a filter on its input, which would split every text again.
-    spoken = df.select(F.col(id_col), F.explode_outer(found).alias("_term")).withColumn(
-        "_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
-    )
+    spoken = df.select(F.col(id_col), F.explode_outer(F.array_distinct(found)).alias("_term"))
     return (
-        spoken.join(F.broadcast(terms) if small else terms, ["_term", "_salt"])
+        lookup_join(spoken, terms, "_term", spread_by=F.col(id_col), broadcast_bytes=BROADCAST_BYTES)
+        .where("_listed")
         .groupBy(id_col)
         .agg(F.count(F.lit(1)).alias("n_terms"), F.min("_term").alias("first_term"))
     )

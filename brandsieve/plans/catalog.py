@@ -295,7 +295,26 @@ def request_intake(spark: SparkSession, sf: str) -> DataFrame:
         "event_id",
         requests.body_text(body).alias("from_body"),
         requests.query_text(url).alias("from_query"),
-        requests.body_is_json(body).alias("is_json"),
+        requests.body_failure(body).isNull().alias("is_request"),
+    )
+
+
+@query
+def request_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to bodies of all kinds, requests and others."""
+    text = F.col("business_description")
+    whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias(requests.FIELD)))
+    body = views.by_remainder(
+        F.col("event_id"),
+        [
+            whole, F.concat(F.lit("{broken "), whole), F.lit(" { } "), F.concat(F.lit("["), whole, F.lit("]")), F.lit("null"),
+            F.lit(None).cast("string"), F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("other"))), F.lit("0"), F.lit("12"),
+        ],
+    )
+    asked = views.requests(spark, sf).select("event_id", body.alias("body")).withColumn("text", requests.body_text(F.col("body")))
+    answered = score_requests(asked, "text", _answer(F.col("text")), invalid=requests.body_failure(F.col("body")))
+    return answered.select(
+        "event_id", "status", F.coalesce("message", F.lit("")).alias("message"), F.col("http_code").cast("bigint").alias("http_code")
     )
 
 

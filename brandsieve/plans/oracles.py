@@ -550,7 +550,12 @@ add("document_gate", f"""SELECT CASE WHEN {trim('text')} = '' THEN 'error'
   WHEN {score_sql('text')} > 7 THEN 'filtered' ELSE 'pass' END AS gate, count(*) AS n FROM v_unsafe GROUP BY 1""")
 
 add("request_intake", """SELECT event_id, CASE WHEN event_id % 6 = 5 THEN '' ELSE coalesce(business_description, '') END AS from_body,
-  coalesce(business_description, '') AS from_query, event_id % 6 <> 5 AND business_description IS NOT NULL AS is_json FROM v_requests""")
+  coalesce(business_description, '') AS from_query, event_id % 6 <> 5 AND business_description IS NOT NULL AS is_request FROM v_requests""")
+add("request_failures", f"""SELECT a.event_id, CASE WHEN event_id % 9 = 0 THEN status ELSE 'error' END AS status,
+  CASE event_id % 9 WHEN 0 THEN message WHEN 6 THEN {q(V.MSG_REQUIRED)} WHEN 2 THEN {q(V.MSG_BAD_JSON)} WHEN 4 THEN {q(V.MSG_BAD_JSON)}
+    WHEN 7 THEN {q(V.MSG_BAD_JSON)} ELSE {q(V.MSG_REQUEST_FAILED)} END AS message,
+  CASE WHEN event_id % 9 = 0 THEN http_code WHEN event_id % 9 IN (2, 4, 7) THEN 400 ELSE 500 END::BIGINT AS http_code
+FROM ({ORACLES['response_status']}) a""")
 
 # --- evaluation ----------------------------------------------------------------------------
 

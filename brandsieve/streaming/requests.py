@@ -12,10 +12,13 @@ def read_request_stream(spark: SparkSession, path: str, schema: str, *, fmt: str
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
 
 
-def score_requests(requests: DataFrame, text_col: str, response: Column) -> DataFrame:
-    """Gate, parse and answer each request; works on a batch or a streaming DataFrame alike."""
+def score_requests(requests: DataFrame, text_col: str, response: Column, *, invalid: Column | None = None) -> DataFrame:
+    """Gate, parse and answer each request; works on a batch or a streaming DataFrame alike.
+
+    ``invalid`` marks bodies that are no requests (:func:`brandsieve.sources.requests.body_failure`).
+    """
     gated = add_gate(requests, text_col).withColumn("_response", response)
-    return add_response(add_domains(gated, "_response"), text_col).drop("_response")
+    return add_response(add_domains(gated, "_response"), text_col, invalid=invalid).drop("_response")
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, *, fmt: str = "parquet", once: bool = False) -> StreamingQuery:

@@ -48,10 +48,21 @@ def test_blocklist_table(spark, monkeypatch, limit):
     assert got == {1: (2, "b-c"), 3: (1, "b-c")}
 
 
-def test_blocklist_table_refuses_phrases(spark):
+@pytest.mark.parametrize("limit", [screening.BROADCAST_BYTES, -1])
+def test_blocklist_table_takes_terms_of_any_length(spark, monkeypatch, limit):
+    monkeypatch.setattr(screening, "BROADCAST_BYTES", limit)
+    rows = [(i, f"the word number {i}") for i in range(300)]  # hot words that are not listed
+    rows += [(1000, "a four-part-Listed-TERM here"), (1001, "two words"), (1002, "two  words"), (1003, "part-listed-term")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    terms = spark.createDataFrame([("four-part-listed-term",), ("Two Words",), (None,), ("",)], "term string")
+    got = {r["id"]: (r["n_terms"], r["first_term"]) for r in match_blocklist(docs, "t", "id", terms).collect()}
+    assert got == {1000: (1, "four-part-listed-term"), 1001: (1, "two words")}
+
+
+def test_blocklist_table_refuses_terms_without_word_edges(spark):
     docs = spark.createDataFrame([(1, "x")], "id long, t string")
     with pytest.raises(Exception, match="unsupported term"):
-        match_blocklist(docs, "t", "id", spark.createDataFrame([("two words",)], "term string")).collect()
+        match_blocklist(docs, "t", "id", spark.createDataFrame([("$$",)], "term string")).collect()
 
 
 def test_gate_order_and_messages(spark):

@@ -71,8 +71,45 @@ def test_hot_text_collapses_before_the_shuffle(spark):
     rows = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "Same Text").otherwise(F.concat(F.lit("t"), "id")).alias("t"))
     kept = dedup.first_occurrence(rows, "t", "id")
     assert kept.count() == 6001 and kept.where("t = 'Same Text'").first()["id"] == 0
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min" in plan and "Window" not in plan
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = dedup.first_occurrence(rows, "t", "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_append_creates_a_missing_set_and_skips_broken_lines(spark, tmp_path):
+    path = str(tmp_path / "set")
+    batch = spark.createDataFrame([(1, "A"), (2, "a "), (3, "")], "id long, business_description string")
+    sinks.append_new(batch, path, "business_description", "id")
+    assert sorted(r[0] for r in spark.read.json(path).collect()) == ["", "A"]
+    other = str(tmp_path / "other")
+    spark.createDataFrame([('{"business_description": "A"}',), ("broken",)], "value string").write.text(other)
+    sinks.append_new(batch, other, "business_description", "id")
+    assert sorted(r[0] for r in json_lines.read_outputs(spark, other).select("business_description").collect()) == ["", "A"]
+
+
+def test_only_a_missing_path_counts_as_missing(spark, tmp_path):
+    assert not json_lines.path_exists(spark, str(tmp_path / "none"))
+    with pytest.raises(Exception):
+        json_lines.path_exists(spark, "nosuchscheme://x/y")
+
+
+def test_late_rows_are_dropped_by_bounded_state_only(spark, tmp_path):
+    with pytest.raises(ValueError, match="keep_for"):
+        distinct_texts(spark.createDataFrame([("a",)], "t string"), "t", time_col="t")
+    found = {}
+    for name, options in {"bounded": {"time_col": "ts", "keep_for": "1 hour"}, "whole": {}}.items():
+        source, out, mark = (str(tmp_path / name / n) for n in ("in", "out", "mark"))
+        (tmp_path / name / "in").mkdir(parents=True)
+        for number, (text, ts) in enumerate([("new", "2024-01-10T00:00:00"), ("on time", "2024-01-10T00:30:00"), ("late", "2024-01-08T00:00:00")]):
+            (tmp_path / name / "in" / f"{number}.json").write_text(json.dumps({"t": text, "ts": ts}))
+            arriving = read_request_stream(spark, source, "t string, ts timestamp")
+            append_to(distinct_texts(arriving, "t", **options), out, mark, once=True).awaitTermination()
+        found[name] = sorted(r["t"] for r in spark.read.parquet(out).collect())
+    assert found == {"bounded": ["new", "on time"], "whole": ["late", "new", "on time"]}
 
 
 def test_request_forms(spark):
@@ -80,8 +117,8 @@ def test_request_forms(spark):
         [('{"business_description": "a b"}', "http://h/generate?business_description=a%20b+c&x=1"), ("{", "http://h/generate"), ("{}", "no url %")],
         "body string, url string",
     )
-    got = df.select(requests.body_text(F.col("body")), requests.body_is_json(F.col("body")), requests.query_text(F.col("url"))).collect()
-    assert [tuple(r) for r in got] == [("a b", True, "a b c"), ("", False, ""), ("", False, "")]
+    got = df.select(requests.body_text(F.col("body")), requests.body_failure(F.col("body"))["http_code"], requests.query_text(F.col("url"))).collect()
+    assert [tuple(r) for r in got] == [("a b", None, "a b c"), ("", 500, ""), ("", 400, "")]
 
 
 def test_tokens_reload_the_named_or_first_split(spark, tmp_path):

@@ -75,3 +75,8 @@ def test_padding(spark):
 
 def test_first_and_last(spark):
     assert [r["id"] for r in sampling.head(spark.range(100), "id", 3, last=True).collect()] == [99, 98, 97]
+
+
+def test_eval_subset_disjoint(spark):
+    rows = training.eval_subset(spark.range(10), "id", 3, disjoint=True)
+    assert sorted(r["id"] for r in rows.where("split = 'eval'").collect()) == [0, 1, 2] and rows.count() == 10
