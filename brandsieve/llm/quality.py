@@ -3,8 +3,8 @@
 Features are indicators of byte n-grams, hashed into a fixed number of places, and of word
 n-grams that repeat one word, whatever the word. Each is scaled
 by the log-count ratio of the two classes; a linear model is fitted to the scaled indicators
-with hinge loss by dual coordinate descent; a sigmoid on held-back rows turns margins into
-scores. The fit takes a bounded sample of labelled rows (``max_fit_rows``); every document is
+with hinge loss by dual coordinate descent; a sigmoid fitted to margins of held-back rows turns
+margins into scores. The fit takes a bounded sample of labelled rows (``max_fit_rows``); every document is
 scored where it lies, without a shuffle.
 """
 
@@ -26,6 +26,8 @@ ORDERS = (1, 2, 3)
 MOST_EQUAL = 5
 #: Documents that the fit reads at most, chosen by the MD5 of their id.
 MAX_FIT_ROWS = 16_000
+#: Parts of the sample that give the margins for the sigmoid.
+PARTS = 4
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 _BLOCK = 1 << 20
@@ -114,18 +116,26 @@ def _sigmoid_fit(margins: np.ndarray, positive: np.ndarray) -> tuple[float, floa
 
 
 def fit_model(rows: list[np.ndarray], positive: np.ndarray) -> Model:
-    """Three quarters of the rows fit the weights, the others the sigmoid. With one class only,
-    or none, every score is the (smoothed) share of the positive rows."""
-    back = np.arange(len(rows)) % 4 == 3
-    if len(set(positive[~back].tolist())) < 2 or len(set(positive[back].tolist())) < 2:
+    """All rows fit the weights; the sigmoid is fitted to margins of each quarter by a model of
+    the other three. With one class only, or none, in some part, every score is the (smoothed)
+    share of the positive rows."""
+    part = np.arange(len(rows)) % PARTS
+
+    def weights_of(used: np.ndarray) -> tuple[np.ndarray, float]:
+        own = [rows[i] for i in np.flatnonzero(used)]
+        ratio = log_count_ratio(own, positive[used])
+        inner, bias = dual_coordinate_descent(own, ratio, positive[used])
+        return (inner * ratio).astype(np.float32), bias
+
+    if any(len(set(positive[part != k].tolist())) < 2 for k in range(PARTS)):
         share = (positive.sum() + 1) / (len(rows) + 2)
         return Model(np.zeros(PLACES, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    used = [row for row, b in zip(rows, back) if not b]
-    ratio = log_count_ratio(used, positive[~back])
-    inner, bias = dual_coordinate_descent(used, ratio, positive[~back])
-    weights = (inner * ratio).astype(np.float32)
-    margins = np.array([weights[row].sum(dtype=float) + bias for row, b in zip(rows, back) if b])
-    return Model(weights, bias, *_sigmoid_fit(margins, positive[back]))
+    margins = np.zeros(len(rows))
+    for k in range(PARTS):
+        weights, bias = weights_of(part != k)
+        for i in np.flatnonzero(part == k):
+            margins[i] = weights[rows[i]].sum(dtype=float) + bias
+    return Model(*weights_of(np.ones(len(rows), bool)), *_sigmoid_fit(margins, positive))
 
 
 def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
