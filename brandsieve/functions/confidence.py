@@ -77,45 +77,58 @@ def word_sets(description: Column) -> Column:
     )
 
 
+def _named(domain: Column) -> Column:
+    name = name_part(domain)
+    return F.struct(domain.alias("domain"), name.alias("name"), F.lower(name).alias("low"))
+
+
+def _measured(named: Column) -> Column:
+    low = named["low"]
+    return F.struct(
+        named["domain"].alias("domain"),
+        named["name"].alias("name"),
+        low.alias("low"),
+        name_words(low).alias("mine"),
+        F.char_length(F.regexp_replace(low, "[^aeiou]+", "")).alias("vowels"),
+        F.char_length(F.regexp_replace(low, r"[aeiou]+|\P{L}+", "")).alias("consonants"),
+    )
+
+
+def _factors(parts: Column, sets: Column) -> dict[str, Column]:
+    return {
+        "length": length_score(parts["name"]),
+        "readability": readability_score(parts["name"]),
+        "relevance": relevance_score(parts["mine"], sets["known"], sets["long_known"]),
+        "tld": tld_score(parts["domain"]),
+        "memorability": memorability_score(parts["low"], parts["vowels"], parts["consonants"]),
+    }
+
+
 def factors(domain: Column, sets: Column) -> Column:
     """Struct of the five factors; ``sets`` is :func:`word_sets` of the description."""
     def build(parts: Column) -> Column:
-        return F.struct(
-            length_score(parts["name"]).alias("length"),
-            readability_score(parts["name"]).alias("readability"),
-            relevance_score(parts["mine"], sets["known"], sets["long_known"]).alias("relevance"),
-            tld_score(domain).alias("tld"),
-            memorability_score(parts["low"], parts["vowels"], parts["consonants"]).alias("memorability"),
-        )
+        return F.struct(*[score.alias(name) for name, score in _factors(parts, sets).items()])
 
-    def measure(name: Column) -> Column:
-        return let(
-            F.lower(name),
-            lambda low: F.struct(
-                name.alias("name"),
-                low.alias("low"),
-                name_words(low).alias("mine"),
-                F.char_length(F.regexp_replace(low, "[^aeiou]+", "")).alias("vowels"),
-                F.char_length(F.regexp_replace(low, r"[aeiou]+|\P{L}+", "")).alias("consonants"),
-            ),
-        )
-
-    return let(let(name_part(domain), measure), build)
+    return let(let(_named(domain), _measured), build)
 
 
-def total(scores: Column) -> Column:
+def total(scores: Column | dict[str, Column]) -> Column:
     """Weighted total in thousandths; exact, because every term is a multiple of five."""
     weighted = sum((scores[name] * weight for name, weight in V.CONFIDENCE_WEIGHTS.items()), F.lit(0))
     return (weighted / 100).cast("int")
 
 
 def suggestions(domains: Column, description: Column) -> Column:
-    """``array<struct<domain, confidence>>`` sorted by confidence, best first, ties in given order."""
+    """``array<struct<domain, confidence>>`` sorted by confidence, best first, ties in given order.
+
+    Each step goes over all names at once: binding single values inside a lambda costs more.
+    """
     def ranked(sets: Column) -> Column:
+        measured = F.transform(F.transform(domains, _named), _measured)
         scored = F.transform(
-            domains,
-            lambda d, i: F.struct(
-                (-let(factors(d, sets), total)).alias("order"), i.alias("position"), d.alias("domain")
+            measured,
+            lambda x, i: F.struct(
+                (-total(_factors(x, sets))).alias("order"), i.alias("position"), x["domain"].alias("domain")
             ),
         )
         return F.transform(

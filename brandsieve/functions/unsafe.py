@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,12 +111,19 @@ def add_blocklist_check(
 
 
 def safe_domains(domains: Column) -> Column:
-    """Drop the candidates that a keyword rule rejects; none left gives the no-safe marker."""
-    kept = F.transform(
+    """Drop the candidates that a keyword rule rejects; none left gives the no-safe marker.
+
+    One look at all names together decides whether any needs the rules.
+    """
+    screened = F.transform(
         F.filter(
             F.transform(domains, lambda d: F.struct(d.alias("name"), F.lower(trim_ws(d)).alias("low"))),
             lambda d: (F.char_length(d["low"]) < V.UNSAFE_MIN_CHARS) | (keyword_index(d["low"]) == 0),
         ),
         lambda d: d["name"],
     )
+    keywords = dict.fromkeys(k for _, k in _names())
+    together = F.lower(F.array_join(domains, "\n"))
+    suspect = let(together, lambda low: reduce(or_, [low.contains(k) for k in keywords]))
+    kept = F.when(suspect, screened).otherwise(F.array_compact(domains))
     return let(kept, lambda k: F.when(F.size(k) == 0, F.array(F.lit(V.NO_SAFE_MARK))).otherwise(k))
