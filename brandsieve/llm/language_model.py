@@ -4,7 +4,8 @@ P1(w) = (c(w) + 1) / (N + V + 1) and P2(w | v) = (c(v w) + m(v) P1(w)) / (c(v) +
 Dirichlet prior of m(v) words. The logarithm splits into a part for the pair and one for v, and
 each needs only the counts around one word. So every occurrence goes to the shard of its word,
 with the word before it, once: the shard counts its training pairs, builds its trie and scores
-its occurrences. No table of the model is sent to all tasks, and nothing is pruned.
+its occurrences. No table of the model is sent to all tasks, and nothing is pruned. The sums of
+a chunk of documents come back from the shards as one row each.
 
 Words above ``FREQUENT`` of all tokens, or above an eighth of a shard, are listed with their
 counts (at most 2,000, or eight a shard). The pairs of a listed word are dealt to all shards by
@@ -17,6 +18,7 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,17 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from brandsieve.llm.elias_fano import EliasFano
-from brandsieve.llm.tables import in_fold, split_words
+from brandsieve.llm.tables import in_fold, remove, split_words
 from brandsieve.session import new_path
 
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of a shard.
-SHARD = 3_000_000
+SHARD = 4_000_000
 FREQUENT = 1 / 2000
 #: m(v) of words that are not listed, and the power of the count for those that are.
 PRIOR, PRIOR_POWER = 1000.0, 0.9
 #: Characters of text that are routed together.
-_CHUNK = 8_000_000
+_CHUNK = 16_000_000
 
 
 def word_hash(word: bytes) -> int:
@@ -131,9 +133,32 @@ class Listed:
         return np.where(counts >= 0, np.maximum(counts, 1).astype(float) ** PRIOR_POWER, PRIOR)
 
 
+class Part(NamedTuple):
+    """Occurrences that one chunk of documents sends to one shard, by word."""
+
+    words: np.ndarray  # hashes
+    times: np.ndarray  # occurrences of each word
+    contexts: np.ndarray  # hashes
+    context: np.ndarray  # of each occurrence, in contexts
+    place: np.ndarray  # of each occurrence, in docs
+    docs: np.ndarray  # numbers in the chunk
+    held: np.ndarray  # of docs
+    ids: tuple | None  # ids, missing ids and held_out of the whole chunk, in its first part only
+
+
+class Sums(NamedTuple):
+    """What a shard adds to the documents of a chunk."""
+
+    docs: np.ndarray
+    tokens: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+    model: np.ndarray
+    ids: tuple | None
+
+
 def _routed(rows: pd.DataFrame, listed: Listed, shards: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, occurrences) of some documents: per shard the words with their numbers of
-    occurrences, and for each occurrence the places of the word before and of the document."""
+    """(shard, occurrences) of some documents, for each shard that gets any."""
     places: dict[bytes, int] = {}
     sequences = []
     for text in rows["text"]:
@@ -150,7 +175,9 @@ def _routed(rows: pd.DataFrame, listed: Listed, shards: int) -> Iterator[tuple[i
     shard = ((spread >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard * len(hashes) + word, kind="stable")
     shard, word, before, doc = shard[order], word[order], before[order], doc[order]
-    keys, ids, held = (rows[c].to_numpy() for c in ("row", "doc_id", "held_out"))
+    ids = rows["doc_id"].astype("Int64")
+    held = rows["held_out"].to_numpy(bool)
+    own_ids = (ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy(bool), held)
     edges = np.searchsorted(shard, np.arange(shards + 1))
     for number in range(shards):
         own = slice(edges[number], edges[number + 1])
@@ -159,76 +186,108 @@ def _routed(rows: pd.DataFrame, listed: Listed, shards: int) -> Iterator[tuple[i
         first = np.flatnonzero(np.r_[True, word[own][1:] != word[own][:-1]])
         contexts, context = np.unique(before[own], return_inverse=True)
         docs, place = np.unique(doc[own], return_inverse=True)
-        yield number, pickle.dumps(
-            (
-                hashes[word[own][first]],
-                np.diff(np.r_[first, own.stop - own.start]).astype(np.uint32),
-                hashes[contexts],
-                context.astype(np.min_scalar_type(len(contexts))),
-                place.astype(np.min_scalar_type(len(docs))),
-                keys[docs],
-                ids[docs],
-                held[docs],
-            ),
-            protocol=5,
+        part = Part(
+            hashes[word[own][first]],
+            _narrow(np.diff(np.r_[first, own.stop - own.start])),
+            hashes[contexts],
+            _narrow(context),
+            _narrow(place),
+            _narrow(docs),
+            held[docs],
+            own_ids,
         )
+        own_ids = None
+        yield number, pickle.dumps(tuple(part), protocol=5)
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
 def _route(batches: Iterator[pd.DataFrame], listed: Listed, shards: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        batch["doc_id"] = batch["doc_id"].astype("Int64").astype(object)
         chunk = batch["text"].str.len().cumsum().sub(1).clip(lower=0) // _CHUNK
         for _, rows in batch.groupby(chunk.to_numpy()):
-            first = int(rows["row"].iloc[0])
-            out = list(_routed(rows, listed, shards))
-            yield pd.DataFrame(out, columns=["shard", "occurrences"]).assign(chunk=first)[["shard", "chunk", "occurrences"]]
+            out = pd.DataFrame(list(_routed(rows, listed, shards)), columns=["shard", "occurrences"])
+            yield out.assign(chunk=int(rows["row"].iloc[0]))[["shard", "chunk", "occurrences"]]
 
 
 def _score(group: pd.DataFrame, listed: Listed) -> pd.DataFrame:
-    """Per document: tokens, known tokens, and the sums of both models' parts in this shard."""
-    parts = [pickle.loads(x) for x in group.sort_values("chunk")["occurrences"]]
-    words = np.unique(np.concatenate([p[0] for p in parts]))
-    contexts = np.unique(np.concatenate([p[2] for p in parts]))
-    word = np.concatenate([np.repeat(np.searchsorted(words, p[0]), p[1]) for p in parts])
-    context = np.concatenate([np.searchsorted(contexts, p[2])[p[3]] for p in parts])
-    first = np.cumsum([0, *(len(p[5]) for p in parts)])
-    doc = np.concatenate([p[4].astype(np.int64) + at for p, at in zip(parts, first)])
-    keys, ids, held = (np.concatenate([p[i] for p in parts]) for i in (5, 6, 7))
-    train = ~held.astype(bool)[doc]
+    """For each routed chunk of documents its sums in this shard (:class:`Sums`).
+
+    All occurrences are counted first, then scored one chunk after the other."""
+    group = group.sort_values("chunk")
+    parts = [Part(*pickle.loads(x)) for x in group["occurrences"]]
+    words = np.unique(np.concatenate([p.words for p in parts]))
+    contexts = np.unique(np.concatenate([p.contexts for p in parts]))
+    n = max(1, len(contexts))
+
+    def unpacked(part: Part) -> tuple[np.ndarray, np.ndarray]:
+        word = np.repeat(np.searchsorted(words, part.words), part.times)
+        return word, np.searchsorted(contexts, part.contexts)[part.context]
+
+    counts, numbers = np.zeros(len(words), np.int64), []
+    for part in parts:
+        word, context = unpacked(part)
+        train = ~part.held[part.place]
+        counts += np.bincount(word[train], minlength=len(words))
+        numbers.append((word * n + context)[train])
+    numbers = np.concatenate(numbers)
+    numbers.sort()
+    first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(numbers) else np.zeros(0, np.int64)
+    pairs, times = numbers[first], np.diff(np.r_[first, len(numbers)])
+    del numbers
 
     known = listed.count(words)
-    counts = np.where(known >= 0, known, np.bincount(word[train], minlength=len(words)))
+    counts = np.where(known >= 0, known, counts)
     single = (counts + 1) / (listed.tokens + listed.words + 1)
     prior = listed.prior(contexts)
-    numbers = word * max(1, len(contexts)) + context
-    pairs, times = np.unique(numbers[train], return_counts=True)
-    scores = np.log10(times + prior[pairs % len(contexts)] * single[pairs // len(contexts)])
-    trie = Trie.build(words, contexts, pairs, scores)
-
-    stored = trie.score(words[word], contexts[context])
-    model = np.where(np.isnan(stored), np.log10(prior[context] * single[word]), stored)
+    trie = Trie.build(words, contexts, pairs, np.log10(times + prior[pairs % n] * single[pairs // n]))
+    del pairs, times
     # every token but the end is the context of the next one
-    model -= np.where(words[word] == END, 0.0, np.log10(counts + listed.prior(words))[word])
-    n = len(keys)
+    as_context = np.where(words == END, 0.0, np.log10(counts + listed.prior(words)))
+    base, seen = np.log10(counts + 1.0), counts > 0
+    out = []
+    for part in parts:
+        word, context = unpacked(part)
+        stored = trie.score(words[word], contexts[context])
+        model = np.where(np.isnan(stored), np.log10(prior[context] * single[word]), stored) - as_context[word]
+        docs = len(part.docs)
+        sums = Sums(
+            part.docs,
+            _narrow(np.bincount(part.place, minlength=docs)),
+            _narrow(np.bincount(part.place[seen[word]], minlength=docs)),
+            np.bincount(part.place, base[word], docs),
+            np.bincount(part.place, model, docs),
+            part.ids,
+        )
+        out.append(pickle.dumps(tuple(sums), protocol=5))
+    return pd.DataFrame({"shard": group["shard"], "chunk": group["chunk"], "sums": out})
+
+
+def _gathered(group: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a chunk over all shards, in their order, for each document."""
+    parts = [Sums(*pickle.loads(x)) for x in group.sort_values("shard")["sums"]]
+    ids, absent, held = next(p.ids for p in parts if p.ids is not None)
+    tokens, known = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    base, model = np.zeros(len(ids)), np.zeros(len(ids))
+    for part in parts:  # a document is there once at most in each
+        tokens[part.docs] += part.tokens
+        known[part.docs] += part.known
+        base[part.docs] += part.base
+        model[part.docs] += part.model
     return pd.DataFrame(
         {
-            "row": keys,
-            "doc_id": pd.array(ids, "Int64"),
-            "held_out": held.astype(bool),
-            "n_tokens": np.bincount(doc, minlength=n),
-            "n_known": np.bincount(doc, (counts > 0)[word], n).astype(np.int64),
-            "base": np.bincount(doc, np.log10(counts + 1.0)[word], n),
-            "model": np.bincount(doc, model, n),
+            "doc_id": pd.Series(ids, dtype="Int64").mask(absent),
+            "held_out": held,
+            "n_tokens": tokens,
+            "n_known": known,
+            "base": base,
+            "model": model,
         }
     )
 
 
-def _remove(df: DataFrame, path: str) -> None:
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(conf).delete(place, True)
-
-
 def listed_words(train: DataFrame, shard: int = SHARD) -> Listed:
     """Word counts of the training texts (column text), reduced to totals and the listed words."""
     path = new_path(train.sparkSession, "word-counts")
@@ -238,7 +297,7 @@ def listed_words(train: DataFrame, shard: int = SHARD) -> Listed:
     least = min(tokens * FREQUENT, shard / 8)
     listed = {r["word"] % (1 << 64): r["n"] for r in counts.where(F.col("n") > least).collect()}
     documents = counts.where(F.col("word") == int(_signed(np.array([END], np.uint64))[0])).select("n").first()
-    _remove(train, path)
+    remove(train.sparkSession, path)
     listed[START] = documents["n"] if documents else 0
     return Listed(listed, tokens, words)
 
@@ -263,12 +322,11 @@ def score_texts(docs: DataFrame, shard: int = SHARD) -> DataFrame:
         rows.withColumn("row", F.monotonically_increasing_id())
         .mapInPandas(lambda it: _route(it, shared.value, shards), "shard int, chunk long, occurrences binary")
         .groupBy("shard")
+        .applyInPandas(lambda group: _score(group, shared.value), "shard int, chunk long, sums binary")
+        .groupBy("chunk")
         .applyInPandas(
-            lambda group: _score(group, shared.value),
-            "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double",
+            _gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
         )
-        .groupBy("row", "doc_id", "held_out")
-        .agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")))
     )
     start = np.array([START], np.uint64)
     opening = float(np.log10(listed.count(start) + listed.prior(start))[0])
