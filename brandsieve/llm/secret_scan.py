@@ -15,6 +15,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import public_tokenizers
@@ -164,22 +165,24 @@ def find_secrets(text: str | None, least_cost: float = LEAST_COST, path: str = W
         found += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if any(hint in low for hint in _CONTEXT_HINTS):
         covered = sorted((a, b) for a, b, _ in found)
+        starts, ends = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
         for match in CONTEXT.finditer(text):
             which = match.lastindex
             a, b = match.span(which)
             while which == 3 and b > a and text[b - 1] in ".!?:":
                 b -= 1
-            if b - a < LEAST_LENGTH or _inside(covered, a, b):
+            before = bisect_right(starts, a)
+            if b - a < LEAST_LENGTH or (before and ends[before - 1] >= b) or not _mixed(text[a:b]):
                 continue
             if guess_cost(text[a:b], path) >= least_cost:
                 found.append((a, b, "guess"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def _inside(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    """Whether one of the spans that begin at or before ``a`` holds a:b."""
-    at = bisect_right(spans, (a, math.inf))
-    return any(y >= b for _, y in spans[max(0, at - 3) : at])
+def _mixed(value: str) -> bool:
+    """Whether two of these are there: small letters, capitals after the first character, digits,
+    symbols that addresses and compound words don't have. Plain words and paths are no secrets."""
+    return sum(bool(re.search(kind, value)) for kind in (r"[a-z]", r"(?<=.)[A-Z]", r"[0-9]", r"[^A-Za-z0-9\-_./:]")) >= 2
 
 
 _SPANS = ArrayType(

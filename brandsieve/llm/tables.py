@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brandsieve.session import shared_folder
+from brandsieve.session import written_once
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder, so that nothing is computed
-    twice and a lost executor costs a read. Spark removes them with the last reference if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+#: The same rows from the checkpoint folder: nothing is computed twice, and a lost executor
+#: costs a read.
+cut = written_once
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that the caller wrote and nobody reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def in_fold(key: Column, folds: int, fold: int) -> Column:

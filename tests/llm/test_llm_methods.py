@@ -212,7 +212,8 @@ def test_guess_costs():
 
 
 def test_secrets_in_context_and_clean_texts():
-    text = "pwd='kJ8#mQ2!vX' and my password: x9$Lq!72zP. The secret: banana; token: qwertyuiop password is nice"
+    text = "pwd='kJ8#mQ2!vX' and my password: x9$Lq!72zP. The secret: banana; token: qwertyuiop password is nice, "
+    text += "key: state-of-the-art-technology token: https://a.example/long/path/of/words auth=one.two.three.four"
     found = [(text[a:b], kind) for a, b, kind in secret_scan.find_secrets(text)]
     assert found == [("kJ8#mQ2!vX", "guess"), ("x9$Lq!72zP", "guess")]
 
