@@ -80,3 +80,8 @@ def test_first_and_last(spark):
 def test_eval_subset_disjoint(spark):
     rows = training.eval_subset(spark.range(10), "id", 3, disjoint=True)
     assert sorted(r["id"] for r in rows.where("split = 'eval'").collect()) == [0, 1, 2] and rows.count() == 10
+
+
+def test_shuffled_order_is_that_of_the_hashes(spark):
+    got = [r["id"] for r in sampling.shuffled(spark.range(500), "id").collect()]
+    assert got == sorted(range(500), key=lambda i: (digest(i), i))
