@@ -10,19 +10,24 @@ fill the larger gap best, if they fill it better.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 from tokenizers import Tokenizer
 
 from brandsieve.llm.tables import cut
+from brandsieve.llm.token_counts import bytes_of_characters
 
 LENGTH = 1024
 END = 2
@@ -32,58 +37,118 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: words tokenised as one text.
 _REMEMBERED, _LONGEST, _JOINED = 800_000, 64, 1000
 _ODD = re.compile(r"\s "), re.compile(r" \s")
+_MARKS, _LATIN_END = ".,;:!?", "\u0250"
+_LATIN = re.compile("\n?[!-~\u00c0-\u024f]+")
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _odd(text: str) -> bool:
-    """Whether some blank isn't between two characters that are no white space."""
-    return text[0].isspace() or text[-1].isspace() or any(p.search(text) for p in _ODD)
+    """Whether white space meets white space somewhere, or an end of the text."""
+    if any(pair in text for pair in ("  ", "\n ", " \n", "\n\n")) or text[0].isspace() or text[-1].isspace():
+        return True
+    return any(c in text for c in _OTHER_SPACE) and any(p.search(text) for p in _ODD)
+
+
+def _parts(text: str) -> list[str]:
+    """The text cut before each single blank or line feed between characters that are no white
+    space; the blanks are left out, the line feeds stay. Only single blanks cut an odd text."""
+    if not text:
+        return []
+    return _BETWEEN.split(text) if _odd(text) else text.replace("\n", " \n").split(" ")
+
+
+def _rank_encoder(path: str) -> tiktoken.Encoding | None:
+    """An encoder by ranks for the tokenizer file's vocabulary, if its ids follow its merges."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    vocabulary, value = content["model"]["vocab"], bytes_of_characters()
+    special = {t["content"] for t in content["added_tokens"]}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in content["model"]["merges"]]
+    order = [vocabulary["".join(p)] for p in pairs]
+    if order != sorted(order) or content["pre_tokenizer"]["type"] != "ByteLevel":
+        return None
+    ranks = {bytes(map(value.__getitem__, t)): i for t, i in vocabulary.items() if t not in special}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class WordIds:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer's pattern never joins what lies before and after a single blank between two
-    characters that are no white space, so texts are split there and each distinct part is
+    The tokenizer's pattern never joins what lies before and after the places where
+    :func:`_parts` cuts, nor a letter and the punctuation after it, so each distinct part is
     tokenised once. New parts are tokenised many to a text: the only tokens of it that start
-    with a blank are the first ones of the parts.
+    with a blank or a line feed are the first ones of the parts. Parts of plain Latin characters
+    take the same vocabulary's faster encoder, which merges the same pairs in the same order;
+    all others, and the first word of each text, take the tokenizer itself.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}  # of parts with a blank before them
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(("\u0120", "\u010a"))]] = True
+        self.plain = _rank_encoder(path)
+        self.known: dict[str, bytes] = {}  # of parts with a blank before them, or their line feed
+        self.marks: dict[str, bytes] = {}  # of punctuation after a letter
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        plain = [p for p in parts if " " not in p and not p[0].isspace() and not p[-1].isspace()]
-        learned = {}
-        for at in range(0, len(plain), _JOINED):
-            some = plain[at : at + _JOINED]
-            ids = self._ids(" " + " ".join(some))
-            starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
-            if len(starts) == len(some):
-                raw = ids.tobytes()
-                learned.update(zip(some, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
-        return learned | {p: self._ids(" " + p).tobytes() for p in parts if p not in learned}
+    def _latin_ids(self, text: str) -> np.ndarray:
+        return np.array(self.plain.encode_ordinary(text), "<u4")
+
+    def _whole(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts by the tokenizer."""
+        plain = [p for p in parts if " " not in p and "\n" not in p[1:] and not p[0].isspace() and not p[-1].isspace()]
+        plain += [p for p in parts if p[0] == "\n" and len(p) > 1 and not any(map(str.isspace, p[1:]))]
+        latin, other = [], []
+        for p in plain:
+            (latin if self.plain and _LATIN.fullmatch(p) and "<|" not in p else other).append(p)
+        found = {}
+        for group, encode in ((latin, self._latin_ids), (other, self._ids)):
+            for at in range(0, len(group), _JOINED):
+                some = group[at : at + _JOINED]
+                ids = encode("".join(p if p[0] == "\n" else " " + p for p in some))
+                starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+                if len(starts) == len(some):
+                    raw = ids.tobytes()
+                    found.update(zip(some, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
+        alone = {p: self._ids(p if p[0] == "\n" else " " + p).tobytes() for p in parts if p not in found}
+        return found | alone
+
+    def _learn(self, parts: Iterable[str]) -> dict[str, bytes]:
+        whole, marked = set(), {}
+        for p in parts:
+            core = p.rstrip(_MARKS)
+            if core != p and core and core[-1].isalpha() and core[-1] < _LATIN_END:
+                marked[p] = core
+                if core not in self.known:
+                    whole.add(core)
+            else:
+                whole.add(p)
+        learned = self._whole(list(whole))
+        for p, core in marked.items():
+            if (mark := p[len(core) :]) not in self.marks:
+                self.marks[mark] = self._ids(mark).tobytes()
+            learned[p] = (learned.get(core) or self.known[core]) + self.marks[mark]
+        return learned
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        split = [(_BETWEEN.split(x) if _odd(x) else x.split(" ")) if x else [] for x in texts]
-        parts = set().union(*(x[1:] for x in split))
-        new = list(parts.difference(self.known))
-        if len(self.known) + len(new) > _REMEMBERED:
-            self.known, new = {}, list(parts)
+        split = [_parts(x) for x in texts]
+        starts = [x.pop(0) if x else None for x in split]
+        if len(self.known) > _REMEMBERED:
+            self.known = {}
+        found = [list(map(self.known.get, x)) for x in split]
+        new: set[str] = set()
+        for x, ids in zip(split, found):
+            new.update(compress(x, map(not_, ids)))  # ids of a part are never empty
         learned = self._learn(new)
-        self.known.update(learned)
-        get = self.known.__getitem__
-        for x in split:
-            yield b"".join([self._ids(x[0]).tobytes(), *map(get, x[1:])]) if x else b""
-        for p in [p for p in learned if len(p) > _LONGEST]:
-            del self.known[p]
+        for start, x, ids in zip(starts, split, found):
+            for i in [i for i, own in enumerate(ids) if own is None]:
+                ids[i] = learned[x[i]]
+            yield (b"" if start is None else self._ids(start).tobytes()) + b"".join(ids)
+        self.known.update(kv for kv in learned.items() if len(kv[0]) <= _LONGEST)
 
 
 @lru_cache(maxsize=2)

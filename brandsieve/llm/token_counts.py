@@ -81,7 +81,7 @@ class Automaton:
         return total
 
 
-def _bytes_of_characters() -> dict[str, int]:
+def bytes_of_characters() -> dict[str, int]:
     """What each character of a byte-level vocabulary stands for: printable Latin-1 characters
     for themselves, the others, in order, for the characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -95,7 +95,7 @@ def vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], list[bytes]]:
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
     special = {t["content"] for t in content["added_tokens"]}
-    value = _bytes_of_characters()
+    value = bytes_of_characters()
     pieces = [bytes(map(value.__getitem__, t)) for t in content["model"]["vocab"] if t not in special]
     first = [p[1:] for p in pieces if p.startswith(b" ") and len(p) > 1]
     following = [p for p in pieces if not p.startswith(b" ")]
