@@ -48,11 +48,12 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash, unsigned, over the XXH64 of all word shingles; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The XXH64 of all word shingles, block by block; one of all words if there are fewer, none
+    without words."""
     words = split_words(text)
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -61,14 +62,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts, ends = starts[:1], ends[-1:]
     else:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), _BLOCK):
         spans = zip(starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist())
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash, unsigned, over the XXH64 of all word shingles; 0 without words."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in shingle_hashes(text, shingle):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 @F.pandas_udf(LongType())
@@ -220,8 +227,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The documents that are the smallest doc_id of their group, with all their columns.
-    Rows without an id stay; rows that repeat a doc_id stay or go together."""
-    drop = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    Rows without an id stay; rows that repeat a doc_id stay or go together. ``groups``: doc_id
+    and component_id of the documents, by default :func:`near_duplicates`."""
+    groups = near_duplicates(docs) if groups is None else groups
+    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(cut(drop), "doc_id", "left_anti").select(docs.columns)

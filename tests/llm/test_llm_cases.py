@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, repeated rows, ties, empty tables and clashing columns."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from brandsieve.llm import (
     packing,
     quality,
     secret_scan,
+    similar,
     simhash,
     token_counts,
 )
@@ -159,3 +163,32 @@ def test_stages_keep_the_columns(spark, docs, labels, tmp_path):
             assert out.columns == docs.columns
             assert out.count() <= 3 * len(ROWS)
         corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count()
+
+
+def test_similar_texts_stay_once(spark, docs):
+    """The stage against all pairs: near copies of one text, some linked through others only."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for group in range(12):
+        text = rng.choices(words, k=150)
+        for _ in range(20 if group < 2 else 3):
+            rows.append((len(rows) + 100, " ".join(text)))
+            for _ in range(3):
+                text[rng.randrange(len(text))] = rng.choice(words)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    least = {i: i for i in sets}
+    before = None
+    while before != least:
+        before = dict(least)
+        for a, b in itertools.combinations(sets, 2):
+            if least[a] != least[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                least[a] = least[b] = min(least[a], least[b])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, "").collect()}
+    assert kept == {i for i in least if least[i] == i}
+    assert len(kept) < simhash.keep_one(table).count()
+    found = by_id(similar.similar_groups(docs))
+    assert similar.similar_groups(docs).count() == len(ROWS)
+    assert found[2]["component_id"] == found[3]["component_id"] == found[5]["component_id"] == 2
+    assert found[None]["component_id"] is None and found[1]["component_id"] == 1
