@@ -9,7 +9,9 @@ a chunk of documents come back from the shards as one row each.
 
 Words above ``FREQUENT`` of all tokens, or above an eighth of a shard, are listed with their
 counts (at most 2,000, or eight a shard). The pairs of a listed word are dealt to all shards by
-the word before; its own count is known from the list.
+the word before; its own count is known from the list. Pairs above an eighth of a shard are
+listed as well, and their occurrences are dealt to all shards by chunk. Equal occurrences in one
+document travel as one entry with their number.
 """
 
 from __future__ import annotations
@@ -60,6 +62,26 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": _signed(words), "n": np.array([*counts.values(), len(batch)], np.int64)})
 
 
+def _pair_counts(batches: Iterator[pd.DataFrame], hot: set[int]) -> Iterator[pd.DataFrame]:
+    """Counts of those pairs both of whose words are in ``hot``."""
+    known: dict[bytes, int] = {}
+    for batch in batches:
+        counts: Counter[tuple[int, int]] = Counter()
+        for text in batch["text"]:
+            words = split_words(text)
+            for w in set(words).difference(known):
+                h = word_hash(w)
+                known[w] = h if h in hot else -1
+            hashes = [START, *map(known.__getitem__, words), END]
+            counts.update(zip(hashes, hashes[1:]))
+            if len(known) > 1_000_000:
+                known.clear()
+        found = [(v, w, n) for (v, w), n in counts.items() if v in hot and w in hot]
+        before, word = np.array([x[:2] for x in found], np.uint64).reshape(-1, 2).T.copy()
+        n = np.array([x[2] for x in found], np.int64)
+        yield pd.DataFrame({"before": _signed(before), "word": _signed(word), "n": n})
+
+
 class Trie:
     """Level 1: the words; level 2: for each word the words before it, and a quantised score.
 
@@ -112,13 +134,27 @@ class Trie:
 
 
 class Listed:
-    """Counts of the listed words by hash, and the sizes of the training text."""
+    """Counts of the listed words and pairs (before, word) by hash, and the sizes of the training
+    text."""
 
-    def __init__(self, counts: dict[int, int], tokens: int, words: int):
+    def __init__(self, counts: dict[int, int], tokens: int, words: int, pairs: dict[tuple[int, int], int]):
         order = sorted(counts)
         self.hashes = np.array(order, np.uint64)
         self.counts = np.array([counts[h] for h in order], np.int64)
         self.tokens, self.words = tokens, words
+        self.pairs = np.array([*pairs], np.uint64).reshape(-1, 2)
+        self.pair_counts = np.array([*pairs.values()], np.int64)
+
+    def pairs_among(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The listed pairs whose words are in the ascending hashes ``words`` and ``contexts``, as
+        place of the word * number of contexts + place of the context, and their counts."""
+        if not (len(self.pairs) and len(words) and len(contexts)):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        before, word = self.pairs.T
+        i = np.minimum(np.searchsorted(words, word), len(words) - 1)
+        j = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
+        there = (words[i] == word) & (contexts[j] == before)
+        return (i * len(contexts) + j)[there], self.pair_counts[there]
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of listed words, -1 for others."""
@@ -134,13 +170,15 @@ class Listed:
 
 
 class Part(NamedTuple):
-    """Occurrences that one chunk of documents sends to one shard, by word."""
+    """Occurrences that one chunk of documents sends to one shard, by word; equal ones of a
+    document are one entry."""
 
     words: np.ndarray  # hashes
-    times: np.ndarray  # occurrences of each word
+    times: np.ndarray  # entries of each word
     contexts: np.ndarray  # hashes
-    context: np.ndarray  # of each occurrence, in contexts
-    place: np.ndarray  # of each occurrence, in docs
+    context: np.ndarray  # of each entry, in contexts
+    place: np.ndarray  # of each entry, in docs
+    number: np.ndarray  # of the occurrences of each entry
     docs: np.ndarray  # numbers in the chunk
     held: np.ndarray  # of docs
     ids: tuple | None  # ids, missing ids and held_out of the whole chunk, in its first part only
@@ -157,7 +195,7 @@ class Sums(NamedTuple):
     ids: tuple | None
 
 
-def _routed(rows: pd.DataFrame, listed: Listed, shards: int) -> Iterator[tuple[int, bytes]]:
+def _routed(rows: pd.DataFrame, listed: Listed, shards: int, chunk: int = 0) -> Iterator[tuple[int, bytes]]:
     """(shard, occurrences) of some documents, for each shard that gets any."""
     places: dict[bytes, int] = {}
     sequences = []
@@ -168,19 +206,27 @@ def _routed(rows: pd.DataFrame, listed: Listed, shards: int) -> Iterator[tuple[i
     flat = np.concatenate(sequences)
     doc = np.repeat(np.arange(len(sequences), dtype=np.int32), [len(s) for s in sequences])
     after = np.flatnonzero(flat != 0)
-    word, before, doc = flat[after], flat[after - 1], doc[after]
+    pairs, pair = np.unique(flat[after] * len(hashes) + flat[after - 1], return_inverse=True)
+    entries, number = np.unique(pair * len(sequences) + doc[after], return_counts=True)
+    pair, doc = entries // len(sequences), entries % len(sequences)
+    word, before = np.divmod(pairs, len(hashes))
     split = listed.count(hashes) >= 0
     mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
     spread = np.where(split[word], mixed[before] ^ hashes[word], hashes[word])
-    shard = ((spread >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+    by_hash = np.argsort(hashes)
+    hot, _ = listed.pairs_among(hashes[by_hash], hashes[by_hash])
+    hot = np.isin(pairs, by_hash[hot // len(hashes)] * len(hashes) + by_hash[hot % len(hashes)])
+    spread[hot] ^= np.uint64(xxhash.xxh64_intdigest(str(chunk)))
+    shard = ((spread >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)[pair]
+    word, before = word[pair], before[pair]
     order = np.argsort(shard * len(hashes) + word, kind="stable")
-    shard, word, before, doc = shard[order], word[order], before[order], doc[order]
+    shard, word, before, doc, number = shard[order], word[order], before[order], doc[order], number[order]
     ids = rows["doc_id"].astype("Int64")
     held = rows["held_out"].to_numpy(bool)
     own_ids = (ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy(bool), held)
     edges = np.searchsorted(shard, np.arange(shards + 1))
-    for number in range(shards):
-        own = slice(edges[number], edges[number + 1])
+    for target in range(shards):
+        own = slice(edges[target], edges[target + 1])
         if own.start == own.stop:
             continue
         first = np.flatnonzero(np.r_[True, word[own][1:] != word[own][:-1]])
@@ -192,12 +238,13 @@ def _routed(rows: pd.DataFrame, listed: Listed, shards: int) -> Iterator[tuple[i
             hashes[contexts],
             _narrow(context),
             _narrow(place),
+            _narrow(number[own]),
             _narrow(docs),
             held[docs],
             own_ids,
         )
         own_ids = None
-        yield number, pickle.dumps(tuple(part), protocol=5)
+        yield target, pickle.dumps(tuple(part), protocol=5)
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -208,8 +255,9 @@ def _route(batches: Iterator[pd.DataFrame], listed: Listed, shards: int) -> Iter
     for batch in batches:
         chunk = batch["text"].str.len().cumsum().sub(1).clip(lower=0) // _CHUNK
         for _, rows in batch.groupby(chunk.to_numpy()):
-            out = pd.DataFrame(list(_routed(rows, listed, shards)), columns=["shard", "occurrences"])
-            yield out.assign(chunk=int(rows["row"].iloc[0]))[["shard", "chunk", "occurrences"]]
+            first = int(rows["row"].iloc[0])
+            out = pd.DataFrame(list(_routed(rows, listed, shards, first)), columns=["shard", "occurrences"])
+            yield out.assign(chunk=first)[["shard", "chunk", "occurrences"]]
 
 
 def _score(group: pd.DataFrame, listed: Listed) -> pd.DataFrame:
@@ -226,17 +274,26 @@ def _score(group: pd.DataFrame, listed: Listed) -> pd.DataFrame:
         word = np.repeat(np.searchsorted(words, part.words), part.times)
         return word, np.searchsorted(contexts, part.contexts)[part.context]
 
-    counts, numbers = np.zeros(len(words), np.int64), []
+    counts, numbers, amounts = np.zeros(len(words), np.int64), [], []
     for part in parts:
         word, context = unpacked(part)
         train = ~part.held[part.place]
-        counts += np.bincount(word[train], minlength=len(words))
+        counts += np.bincount(word[train], part.number[train], len(words)).astype(np.int64)
         numbers.append((word * n + context)[train])
-    numbers = np.concatenate(numbers)
-    numbers.sort()
+        amounts.append(part.number[train])
+    # listed pairs have their counts from the list, whatever part of them is here
+    pairs, times = listed.pairs_among(words, contexts)
+    numbers, amounts = np.concatenate(numbers), np.concatenate(amounts)
+    if len(pairs):
+        other = ~np.isin(numbers, pairs)
+        numbers, amounts = np.r_[numbers[other], pairs], np.r_[amounts[other], times]
+    order = np.argsort(numbers)
+    numbers, amounts = numbers[order], amounts[order]
+    del order
     first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(numbers) else np.zeros(0, np.int64)
-    pairs, times = numbers[first], np.diff(np.r_[first, len(numbers)])
-    del numbers
+    pairs = numbers[first]
+    times = np.add.reduceat(amounts, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    del numbers, amounts
 
     known = listed.count(words)
     counts = np.where(known >= 0, known, counts)
@@ -255,10 +312,10 @@ def _score(group: pd.DataFrame, listed: Listed) -> pd.DataFrame:
         docs = len(part.docs)
         sums = Sums(
             part.docs,
-            _narrow(np.bincount(part.place, minlength=docs)),
-            _narrow(np.bincount(part.place[seen[word]], minlength=docs)),
-            np.bincount(part.place, base[word], docs),
-            np.bincount(part.place, model, docs),
+            _narrow(np.bincount(part.place, part.number, docs).astype(np.int64)),
+            _narrow(np.bincount(part.place, part.number * seen[word], docs).astype(np.int64)),
+            np.bincount(part.place, base[word] * part.number, docs),
+            np.bincount(part.place, model * part.number, docs),
             part.ids,
         )
         out.append(pickle.dumps(tuple(sums), protocol=5))
@@ -289,7 +346,8 @@ def _gathered(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def listed_words(train: DataFrame, shard: int = SHARD) -> Listed:
-    """Word counts of the training texts (column text), reduced to totals and the listed words."""
+    """Word counts of the training texts (column text), reduced to totals and the listed words
+    and pairs. A pair above an eighth of a shard has two words above it."""
     path = new_path(train.sparkSession, "word-counts")
     train.mapInPandas(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
     counts = train.sparkSession.read.parquet(path)
@@ -299,7 +357,18 @@ def listed_words(train: DataFrame, shard: int = SHARD) -> Listed:
     documents = counts.where(F.col("word") == int(_signed(np.array([END], np.uint64))[0])).select("n").first()
     remove(train.sparkSession, path)
     listed[START] = documents["n"] if documents else 0
-    return Listed(listed, tokens, words)
+    hot = {h for h, n in listed.items() if n > shard / 8}
+    pairs = {}
+    if tokens > shard and hot:  # at most eight words and eight pairs a shard
+        shared = train.sparkSession.sparkContext.broadcast(hot)
+        found = (
+            train.mapInPandas(lambda it: _pair_counts(it, shared.value), "before long, word long, n long")
+            .groupBy("before", "word")
+            .agg(F.sum("n").alias("n"))
+            .where(F.col("n") > shard / 8)
+        )
+        pairs = {(r["before"] % (1 << 64), r["word"] % (1 << 64)): r["n"] for r in found.collect()}
+    return Listed(listed, tokens, words, pairs)
 
 
 def score_texts(docs: DataFrame, shard: int = SHARD) -> DataFrame:

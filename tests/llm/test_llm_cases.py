@@ -1,7 +1,9 @@
 """Nulls, empty and very long texts, repeated rows, ties, empty tables and clashing columns."""
 
 import itertools
+import pickle
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from brandsieve.llm import (
     simhash,
     token_counts,
 )
+from brandsieve.llm.tables import in_fold
 
 LONG = "word " * 200_000
 ROWS = [
@@ -192,3 +195,34 @@ def test_similar_texts_stay_once(spark, docs):
     assert similar.similar_groups(docs).count() == len(ROWS)
     assert found[2]["component_id"] == found[3]["component_id"] == found[5]["component_id"] == 2
     assert found[None]["component_id"] is None and found[1]["component_id"] == 1
+
+
+def test_a_common_pair_is_dealt_over_the_shards(spark):
+    """A word over and over, and a pair with a third of all tokens: no shard gets most of them."""
+    rng = random.Random(5)
+    rows = [(i, "x " * 300 if i % 40 == 0 else " ".join(["a b", *rng.choices("cdefghijklm", k=3)] * 6)) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    listed = language_model.listed_words(docs.select("text"), 2000)
+    tokens, words, pairs = Counter(), set(), Counter()
+    for _, text in rows:
+        own = [*text.split(), None]
+        tokens.update(own)
+        pairs.update(zip(["start", *own], own))
+    assert len(listed.pairs) == sum(n > 250 for n in pairs.values()) and sorted(listed.pair_counts) == sorted(n for n in pairs.values() if n > 250)
+    shards, entries, number = 12, Counter(), 0
+    frame = docs.toPandas().assign(held_out=False)
+    for chunk in range(0, 800, 10):
+        for shard, part in language_model._routed(frame[chunk : chunk + 10].reset_index(drop=True), listed, shards, chunk):
+            part = language_model.Part(*pickle.loads(part))
+            entries[shard] += len(part.place)
+            number += int(part.number.sum())
+    assert number == sum(tokens.values()) and max(entries.values()) < sum(entries.values()) / 4
+
+    held = {r["doc_id"] for r in docs.where(in_fold(F.col("doc_id"), 7, 2)).collect()}
+    small, large = by_id(language_model.score_texts(docs, 2000)), by_id(language_model.score_texts(docs, 2000 * 100))
+    listed = {r["train_tokens"] for r in small.values()}
+    assert len(listed) == 1 and held == {i for i, r in small.items() if r["held_out"]}
+    for i, row in small.items():
+        assert (row["n_tokens"], row["n_known"]) == (large[i]["n_tokens"], large[i]["n_known"])
+        assert row["base_score"] == pytest.approx(large[i]["base_score"], abs=1e-6)
+        assert abs(row["score"] - large[i]["score"]) <= 0.03 * row["n_tokens"]
