@@ -208,6 +208,10 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score ``threshold`` or more, with all their columns."""
+    """The documents that score ``threshold`` or more, with all their columns. If every document
+    has one score, as without labels of both classes, nothing speaks against any: all stay."""
+    model = fit(docs, labels)
+    if model.slope == 0:
+        return docs
     score = free_name(docs, "score")
-    return scored(docs, fit(docs, labels), score=score).where(F.col(score) >= threshold).select(docs.columns)
+    return scored(docs, model, score=score).where(F.col(score) >= threshold).select(docs.columns)

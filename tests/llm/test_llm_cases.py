@@ -226,3 +226,8 @@ def test_a_common_pair_is_dealt_over_the_shards(spark):
         assert (row["n_tokens"], row["n_known"]) == (large[i]["n_tokens"], large[i]["n_known"])
         assert row["base_score"] == pytest.approx(large[i]["base_score"], abs=1e-6)
         assert abs(row["score"] - large[i]["score"]) <= 0.03 * row["n_tokens"]
+
+
+def test_quality_keeps_all_without_evidence(spark, docs):
+    for rows in ([], [(1, 1, 0)]):
+        assert quality.accepted(docs, spark.createDataFrame(rows, LABELS)).count() == len(ROWS)
