@@ -8,6 +8,7 @@ from brandsieve.llm import (
     chat,
     hamming,
     language_model,
+    line_dedup,
     mixing,
     neighbours,
     packing,
@@ -65,6 +66,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -76,5 +81,11 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_chat_format": op10_chat_format,
+    "op12_line_dedup": op12_line_dedup,
+}
+ORACLES = {
+    "op3_hamming_top_k": hamming.ORACLE,
+    "op7_fair_mix": mixing.ORACLE,
+    "op10_chat_format": chat.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
 }
-ORACLES = {"op3_hamming_top_k": hamming.ORACLE, "op7_fair_mix": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
