@@ -9,6 +9,7 @@ from brandsieve.llm import (
     hamming,
     language_model,
     line_dedup,
+    merkle,
     mixing,
     neighbours,
     packing,
@@ -66,6 +67,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(_read(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_read(spark, sf_dir, "documents"))
 
@@ -81,11 +86,13 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_chat_format": op10_chat_format,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_line_dedup": op12_line_dedup,
 }
 ORACLES = {
     "op3_hamming_top_k": hamming.ORACLE,
     "op7_fair_mix": mixing.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op12_line_dedup": line_dedup.ORACLE,
 }
