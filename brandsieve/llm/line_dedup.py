@@ -17,11 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brandsieve.functions.text import let
 from brandsieve.llm.tables import cut
-from brandsieve.operators.joins import HOT_SHARE, measured_bytes
+from brandsieve.operators.joins import HOT_SHARE
 
 MIN_DOCS = 10
-#: Measured size up to which the bitmaps are broadcast; beyond it, they are joined by shuffle.
-BROADCAST_BYTES = 8 << 20
 _SAMPLE = 1 / 16
 _LEAST = 16  # occurrences in the sample below which no key counts as hot
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -132,8 +130,6 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
 
 def _applied(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The documents as ``doc``, with ``kept`` (the text that stays) and ``n_dropped``."""
-    bitmaps = cut(bitmaps)
-    small = measured_bytes(bitmaps) <= BROADCAST_BYTES
     text = _text(docs)
     rows = docs.select(F.struct(*docs.columns).alias("doc"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
 
@@ -145,7 +141,7 @@ def _applied(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         return F.array_join(F.flatten(runs), "\n")
 
     # A hash join by shuffle does not sort the texts.
-    return rows.join(bitmaps.hint("broadcast" if small else "shuffle_hash"), "row", "left").select(
+    return rows.join(bitmaps.hint("shuffle_hash"), "row", "left").select(
         "doc",
         "text",
         F.when(F.col("keep").isNull(), F.col("text")).otherwise(let(_split(F.col("text")), chosen)).alias("kept"),
