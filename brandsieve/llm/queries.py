@@ -13,6 +13,7 @@ from brandsieve.llm import (
     mixing,
     neighbours,
     packing,
+    phrases,
     quality,
     secret_scan,
     simhash,
@@ -75,6 +76,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_read(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -88,6 +93,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_line_dedup": op12_line_dedup,
+    "op13_phrases": op13_phrases,
 }
 ORACLES = {
     "op3_hamming_top_k": hamming.ORACLE,
@@ -95,4 +101,5 @@ ORACLES = {
     "op10_chat_format": chat.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
     "op12_line_dedup": line_dedup.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
