@@ -4,35 +4,39 @@ A phrase is frequent with ``MIN_COUNT`` occurrences. A sample of the documents,
 with a lowered threshold, proposes frequent phrases. One pass over all documents then counts the
 proposals and their negative border, exactly: every word, and every longer phrase whose two
 phrases of one word less are proposed. A border phrase that turns out frequent is a failure of the
-sample: it joins the proposals, and a further pass counts the border that it opens, until no
-failure is left. A frequent phrase has frequent parts only, so by then all of them are counted.
-There are at most as many passes as a phrase has words, whatever the sample held.
+sample: it joins the proposals, and a further pass counts the border that they open. That pass
+follows the border through all lengths: what it newly reaches counts as proposed. So it closes the
+mining, whatever the sample held: a frequent phrase has frequent parts only, and each of these was
+proposed, is a failure of the first pass, or is newly reached by the second.
 
 The proposals reach the tasks as a Bloom filter of ``FILTER_BITS`` bits: a fixed size. A phrase that
 it takes for proposed is counted, or its border, without need; counts stay exact, as all occurrences
 of a phrase meet the same answer. Tasks number the words and phrases of a few megabytes of text at
-a time, count them with numpy, and send the words of each phrase and its count to the sum.
+a time and count them with numpy. Proposals travel to the sum by name. The border, which is large and
+mostly rare, travels by hash: a hash's count is that of its phrase at least, so no failure is missed,
+and the pass after counts each failure by name.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import zlib
 from collections.abc import Iterator
-from functools import reduce
-from itertools import count, groupby
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brandsieve.llm.tables import cut
 
 MIN_COUNT, MOST_WORDS, TOP = 100, 5, 2000
 #: Share of the documents in the sample, and of MIN_COUNT that a proposal needs in it.
-SAMPLE, LOWERED = 1 / 8, 0.5
+SAMPLE, LOWERED = 1 / 8, 0.4
 FILTER_BITS = 1 << 26
 _PROBES = 4
 #: Bytes of text numbered together.
@@ -40,7 +44,6 @@ _CHUNK = 8 << 20
 _STOP = b"\xff"  # no byte of UTF-8: ends a piece
 #: Rows sent to the sum at once.
 _ROWS = 50_000
-_COUNTED = ["lang", "words", "phrase", "n"]
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)  # odd numbers
 
 _TABLE = bytearray(range(256))
@@ -83,40 +86,36 @@ def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def _phrase_hashes(rows: pd.DataFrame) -> np.ndarray:
-    """Hashes of the phrases of rows with lang, words (how many) and phrase."""
-    hashes = np.zeros(len(rows), np.uint64)
-    for (lang, n), at in rows.groupby(["lang", "words"]).indices.items():
-        words = b" ".join(p.encode() for p in rows["phrase"].iloc[at]).split(b" ")
-        by_place = _word_hashes(words, lang).reshape(-1, n).T
-        own = by_place[0]
-        for following in by_place[1:]:
-            own = _longer(own, following)
-        hashes[at] = own
-    return hashes
+def _shared(context: SparkContext, bits: np.ndarray) -> Broadcast:
+    return context.broadcast(zlib.compress(bits.tobytes(), 1))
 
 
-def _added(found: DataFrame, bits: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The filter with the found phrases in it, and whether it held all of them before."""
-    shared = found.sparkSession.sparkContext.broadcast(bits)
+def _opened(shared: Broadcast | None) -> np.ndarray | None:
+    return None if shared is None else np.frombuffer(zlib.decompress(shared.value), np.uint8)
+
+
+def _added(keys: DataFrame, bits: np.ndarray, shared: Broadcast) -> tuple[np.ndarray, bool]:
+    """The filter with the phrases of some hashes in it, and whether it held all of them before."""
+    size = 8 * len(bits)
 
     def absent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _opened(shared)
         for rows in batches:
-            hashes = _phrase_hashes(rows)
-            hashes = hashes[~_holds(shared.value, hashes)]
-            yield pd.DataFrame({"at": np.concatenate(list(_places(hashes, 8 * len(bits)))).astype("int64") + 1})
+            hashes = rows["key"].to_numpy().view(np.uint64)
+            hashes = hashes[~_holds(own, hashes)]
+            yield pd.DataFrame({"at": np.concatenate(list(_places(hashes, size))).astype("int64") + 1})
 
     # The function counts from 1, in buckets of 4 KB; at most the whole filter comes back.
     parts = (
-        found.select("lang", "words", "phrase")
-        .mapInPandas(absent, "at long")
+        keys.mapInPandas(absent, "at long")
         .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
         .collect()
     )
     bits = bits.copy()
     for bucket, part in parts:
-        bits[4096 * (bucket - 1) : 4096 * bucket] |= np.frombuffer(part, np.uint8)[: len(bits) - 4096 * (bucket - 1)]
+        own = bits[4096 * (bucket - 1) : 4096 * bucket]
+        own |= np.frombuffer(part, np.uint8)[: len(own)]
     return bits, not parts
 
 
@@ -136,84 +135,123 @@ def _chunks(langs: list[str], texts: list[bytes]) -> Iterator[tuple[str, bytes]]
             at = end
 
 
-def _count_chunk(lang: str, blob: bytes, new: np.ndarray, old: np.ndarray | None, most: int):
-    """(words, phrases, counts) of the phrases of each length that are due: those with both parts
-    in ``new``, unless both were in ``old`` too; all words where there is no ``old``."""
-    numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
-    numbers[_STOP]
-    tokens = blob.replace(_STOP, b" " + _STOP + b" ").split()
-    ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-    del tokens
-    words, n_words = pa.array(numbers, pa.binary()), len(numbers)
-    word_hashes = hashes = _word_hashes(list(numbers), lang)
+def _numbered(blob: bytes) -> tuple[np.ndarray, pa.Array]:
+    """The words of a chunk as numbers of a list of different words; 0 is an end of a piece."""
+    content = np.frombuffer(_STOP + blob, np.uint8)
+    gap, stop = content == 32, content == _STOP[0]
+    opens = stop.copy()
+    opens[1:] |= gap[:-1] | stop[:-1]
+    offsets = np.append(np.flatnonzero(opens[~gap]), np.count_nonzero(~gap)).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(content[~gap])]
+    coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def _count_chunk(lang: str, blob: bytes, new: np.ndarray, old: np.ndarray | None, most: int, named: bool, again: bool):
+    """(words, phrases, hashes, counts) of the phrases that are due; phrases is None for what comes
+    by hash.
+
+    A phrase is reached if both its parts are in ``new``; due is what the pass before, with ``old``,
+    did not reach, and in the first pass all words. Where names are wanted at all, only the border of
+    the first pass comes by hash. With ``again``, in the pass that expands its failures, these are due
+    once more, by name, and what is newly reached counts as held, so that the border is followed
+    through all lengths at once.
+    """
+    ids, words = _numbered(blob)
+    n_words = len(words)
+    word_hashes = hashes = _word_hashes(words.to_pylist(), lang)
+    held = _holds(new, hashes)
+    held[0] = False
     if old is None:
         counts = np.bincount(ids, minlength=n_words)[1:]
-        yield 0, pa.array([b""]), np.array([counts.sum()])
-        yield 1, words[1:], counts
-    columns = [np.arange(n_words)]
-    was = old is not None and _holds(old, hashes)  # reached and held by the pass before
-    here = np.where(_holds(new, hashes) & (np.arange(n_words) > 0), np.arange(n_words), -1)[ids]
+        if named:
+            yield 0, pa.array([b""]), None, np.array([counts.sum()])
+            yield 1, words[1:], hashes[1:], counts
+        else:
+            yield 1, None, hashes[1:], counts
+    columns = [np.arange(n_words, dtype=np.int32)]
+    was = np.zeros(n_words, bool) if old is None else _holds(old, hashes)
+    here = np.where(held, columns[0], np.int32(-1))[ids]
     for n in range(2, most + 1):
         starts = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
         if not len(starts):
             return
-        own, keys = pd.factorize(here[starts] * n_words + ids[starts + n - 1])
+        own, keys = pd.factorize(here[starts].astype(np.int64) * n_words + ids[starts + n - 1])
         first = np.empty(len(keys), np.int64)
         first[own[::-1]] = starts[::-1]
-        parts = here[first], here[first + 1]
-        due = slice(None)
-        if old is not None:
-            was = was[parts[0]] & was[parts[1]]
-            due = np.flatnonzero(~was)
-        last = keys % n_words
-        columns = [c[parts[0]] for c in columns] + [last]
-        if old is None or len(due):
-            joined = pc.binary_join_element_wise(*(words.take(pa.array(c[due])) for c in columns), b" ")
-            yield n, joined, np.bincount(own, minlength=len(keys))[due]
-        if n < most:
-            hashes = _longer(hashes[parts[0]], word_hashes[last])
-            was = old is not None and was & _holds(old, hashes)
-            number = np.where(_holds(new, hashes), np.arange(len(keys)), -1)
-            here = np.full(len(ids), -1)
-            here[starts] = number[own]
-
-
-def _counts(docs: DataFrame, new: np.ndarray, old: np.ndarray | None, least: float, most: int) -> DataFrame:
-    """lang, words, phrase, f of the phrases due that occur often enough, in a written table; and of
-    each lang a row of 0 words that counts them all, where there is no ``old``."""
-    context = docs.sparkSession.sparkContext
-    new_bits, old_bits = context.broadcast(new), context.broadcast(old)
+        before, after, last = here[first], here[first + 1], (keys % n_words).astype(np.int32)
+        columns = [c[before] for c in columns] + [last]
+        hashes = _longer(hashes[before], word_hashes[last])
+        held, reached = _holds(new, hashes), was[before] & was[after]
+        was = reached & _holds(old, hashes) if old is not None else reached
+        counts = np.bincount(own, minlength=len(keys))
+        due = ~reached
+        if again:
+            held |= due
+            due |= held & ~was & (n < most)
+        by_name = held | (n == most) | (old is not None) if named else np.zeros(len(keys), bool)
+        at = np.flatnonzero(due & by_name)
+        if len(at):
+            yield n, pc.binary_join_element_wise(*(words.take(pa.array(c[at])) for c in columns), b" "), hashes[at], counts[at]
+        at = np.flatnonzero(due & ~by_name)
+        if len(at):
+            yield n, None, hashes[at], counts[at]
+        here = np.full(len(ids), -1, np.int32)
+        here[starts] = np.where(held, np.arange(len(keys), dtype=np.int32), np.int32(-1))[own]
+
+
+def _counts(docs: DataFrame, new: Broadcast, old: Broadcast | None, least: float, most: int, named: bool, again: bool) -> DataFrame:
+    """lang, words, phrase, key, f of the phrases due that occur often enough, in a written table;
+    lang and phrase are null for what came by hash. Of each lang, a row of 0 words counts them all."""
 
     def count_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new_bits, old_bits = _opened(new), _opened(old)
         for batch in batches:
             langs, texts = (batch.column(c) for c in ("lang", "text"))
             for lang, blob in _chunks(langs.to_pylist(), texts.cast(pa.binary()).to_pylist()):
-                for n, phrases, counts in _count_chunk(lang, blob, new_bits.value, old_bits.value, most):
-                    for at in range(0, len(phrases), _ROWS):
-                        some = phrases[at : at + _ROWS].cast(pa.string())
-                        same = [pa.array([lang] * len(some)), pa.array(np.full(len(some), n, np.int8)), some]
-                        yield pa.RecordBatch.from_arrays([*same, pa.array(counts[at : at + _ROWS])], _COUNTED)
+                for n, phrases, hashes, counts in _count_chunk(lang, blob, new_bits, old_bits, most, named, again):
+                    for at in range(0, len(counts), _ROWS):
+                        some = slice(at, at + _ROWS)
+                        size = len(counts[some])
+                        nothing = pa.nulls(size, pa.string())
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                nothing if phrases is None else pa.array([lang] * size),
+                                pa.array(np.full(size, n, np.int8)),
+                                nothing if phrases is None else phrases[some].cast(pa.string()),
+                                pa.nulls(size, pa.int64()) if hashes is None else pa.array(hashes[some].view(np.int64)),
+                                pa.array(counts[some]),
+                            ],
+                            ["lang", "words", "phrase", "key", "n"],
+                        )
 
     return cut(
-        docs.mapInArrow(count_batch, "lang string, words byte, phrase string, n long")
-        .groupBy("lang", "words", "phrase")
+        docs.mapInArrow(count_batch, "lang string, words byte, phrase string, key long, n long")
+        .groupBy("lang", "words", "phrase", "key")
         .agg(F.sum("n").alias("f"))
         .where((F.col("f") >= least) | (F.col("words") == 0))
     )
 
 
-def _closed(docs: DataFrame, bits: np.ndarray, least: float, most: int) -> tuple[DataFrame, np.ndarray]:
-    """Counts of all phrases of up to ``most`` words with ``least`` occurrences, and the filter that
-    holds those that have longer ones. ``bits``: the filter of the proposals."""
-    old, tables = None, []
-    while True:
-        tables.append(_counts(docs, bits, old, least, most))
-        failures = tables[-1].where((F.col("words") > 0) & (F.col("words") < MOST_WORDS))
-        wider, closed = _added(failures, bits)
-        if closed or len(tables) == most:
+def _failures(counted: DataFrame) -> DataFrame:
+    """What was frequent and may be part of something longer; no matter if it was proposed."""
+    return counted.where((F.col("words") > 0) & (F.col("words") < MOST_WORDS)).select("key")
+
+
+def _proposals(sample: DataFrame, bits: np.ndarray, least: float, most: int) -> np.ndarray:
+    """The filter of the phrases of up to ``most`` words with ``least`` occurrences, level by level."""
+    context, old = sample.sparkSession.sparkContext, None
+    for _ in range(most):
+        new = _shared(context, bits)
+        counted = _counts(sample, new, old, least, most, named=False, again=False)
+        bits, closed = _added(_failures(counted), bits, new)
+        if old:
+            old.destroy()  # written tables need it no more
+        old = new
+        if closed:
             break
-        old, bits = bits, wider
-    return reduce(DataFrame.unionByName, tables), wider
+    old.destroy()
+    return bits
 
 
 def frequent_phrases(
@@ -230,8 +268,17 @@ def frequent_phrases(
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     nothing = np.zeros(bits // 8, np.uint8)
-    _, proposed = _closed(rows.sample(sample, seed=1), nothing, LOWERED * sample * min_count, most - 1)
-    return _closed(rows, proposed, min_count, most)[0]
+    proposed = _proposals(rows.sample(sample, seed=1), nothing, LOWERED * sample * min_count, most - 1)
+    context = docs.sparkSession.sparkContext
+    old = _shared(context, proposed)
+    found = _counts(rows, old, None, min_count, most, named=True, again=False)
+    wider, closed = _added(_failures(found), proposed, old)
+    if not closed:
+        new = _shared(context, wider)
+        found = found.unionByName(_counts(rows, new, old, min_count, most, named=True, again=True))
+        new.destroy()
+    old.destroy()
+    return found.where("phrase IS NOT NULL").select("lang", "words", "phrase", "f")
 
 
 # --- scores ---
