@@ -332,11 +332,15 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, **
         .where("NOT inside")
         .select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (
-        shown.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
-        .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    order = F.desc("score"), F.desc("a"), F.asc("phrase")
+
+    def first(rows: DataFrame, *group: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+
+    # The first of each slot of a lang, then of the lang: no task sorts all phrases of a lang.
+    return first(first(shown.withColumn("slot", slot), "lang", "slot").drop("rank"), "lang").select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
     )
 
 

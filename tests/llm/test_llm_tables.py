@@ -270,6 +270,7 @@ def test_filter():
     assert held[:1000].all() and held[1000:].mean() < 0.02
 
 
-def test_top_of_a_hot_lang_is_cut_before_it_meets(spark):
+def test_a_hot_lang_is_cut_slot_by_slot_before_it_meets(spark):
     plan = phrases.collocations(spark.createDataFrame([("en", "a b")], "lang string, text string"))
-    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [row_number()") == 2 and "hashpartitioning(lang#" in plan and ", slot#" in plan
