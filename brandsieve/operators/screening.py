@@ -13,7 +13,8 @@ from brandsieve.functions.confidence import suggestions
 from brandsieve.functions.gibberish import add_gibberish_score, is_gibberish
 from brandsieve.functions.text import fixed, let, no_strings, trim_ws, words
 from brandsieve.functions.unsafe import add_keyword_check, safe_domains
-from brandsieve.operators.joins import BROADCAST_BYTES, lookup_join
+from brandsieve.operators.joins import BROADCAST_BYTES, lookup_join, measured_bytes
+from brandsieve.session import written_once
 
 
 def add_gate(df: DataFrame, text_col: str, *, legitimate: Column | None = None) -> DataFrame:
@@ -97,49 +98,59 @@ def add_response(df: DataFrame, text_col: str, *, domains_col: str = "target_dom
     )
 
 
+def _first_words(blocklist: DataFrame) -> DataFrame:
+    """The first-word index of a blocklist: _word, _single (it is a term itself), _longer (the terms
+    of more words that begin with it)."""
+    term = F.col("_term")
+    shape = term.rlike(rf"^{V.WORD}(?:[\s\S]*{V.WORD})?\z")
+    terms = blocklist.select(F.lower("term").alias("_term")).where("_term <> ''").distinct()
+    terms = terms.select(
+        F.when(shape, term).otherwise(F.raise_error(F.concat(F.lit("unsupported term: "), term))).alias("_term")
+    ).withColumn("_word", F.regexp_extract(term, f"^{V.WORD}+", 0))
+    longer = term != F.col("_word")
+    return terms.groupBy("_word").agg(
+        F.max(~longer).alias("_single"), F.array_sort(F.collect_list(F.when(longer, term))).alias("_longer")
+    )
+
+
 def match_blocklist(df: DataFrame, text_col: str, id_col: str, blocklist: DataFrame) -> DataFrame:
     """Whole-word check against a blocklist table (column ``term``): one row per id that has a hit.
 
-    Terms are words, or words with anything between them (hyphens, blanks); their number is
-    that of the longest term. A term that doesn't begin and end with a word character stops
-    the job rather than pass unnoticed; null and empty terms are none. Each text contributes
-    its distinct words and runs of words, so the join sees one once per text. The list is
-    measured first and broadcast up to ``BROADCAST_BYTES``; beyond that, frequent words are
-    split over all shuffle partitions.
+    Terms are words, or words with anything between them (hyphens, blanks). A term that doesn't
+    begin and end with a word character stops the job rather than pass unnoticed; null and empty
+    terms are none. Each text contributes its distinct words, once each, which meet the first words
+    of the terms; only texts that hold the first word of a longer term are looked through for that
+    term, so long terms cost nothing elsewhere. The index is measured first and broadcast up to
+    ``BROADCAST_BYTES``; beyond that, frequent words are split over all shuffle partitions. So are
+    the texts to look through: their ids and terms are broadcast, or the texts move.
     """
-    terms = blocklist.select(F.lower("term").alias("_term")).where("_term <> ''").distinct()
-    shape = F.col("_term").rlike(rf"^{V.WORD}(?:[\s\S]*{V.WORD})?\z")
-    terms = terms.select(
-        F.when(shape, F.col("_term")).otherwise(F.raise_error(F.concat(F.lit("unsupported term: "), "_term"))).alias("_term"),
-        F.lit(True).alias("_listed"),
-    )
-    n_words = F.size(words(F.col("_term")))
-    longest = terms.agg(F.max(n_words)).first()[0] or 1
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    found = words(low)
-    if longest > 1:
-        pieces = F.regexp_extract_all(low, F.lit(rf"({V.WORD}+|[^{V.WORD[1:]}+)"), F.lit(1))
-
-        def runs(pieces: Column) -> Column:
-            """From each word on, the runs of 2 to ``longest`` words with what stands between them."""
-            return F.flatten(
-                F.transform(
-                    pieces,
-                    lambda piece, i: F.when(
-                        piece.rlike(f"^{V.WORD}"),
-                        F.transform(
-                            F.sequence(F.lit(2), F.lit(longest)), lambda n: F.array_join(F.slice(pieces, i + 1, 2 * n - 1), "")
-                        ),
-                    ).otherwise(no_strings()),
-                )
-            )
-
-        found = F.concat(found, let(pieces, runs))
+    index = written_once(_first_words(blocklist))
     # The outer form: explode alone adds a filter on its input, which would split every text again.
-    spoken = df.select(F.col(id_col), F.explode_outer(F.array_distinct(found)).alias("_term"))
-    return (
-        lookup_join(spoken, terms, "_term", spread_by=F.col(id_col), broadcast_bytes=BROADCAST_BYTES)
-        .where("_listed")
-        .groupBy(id_col)
-        .agg(F.count(F.lit(1)).alias("n_terms"), F.min("_term").alias("first_term"))
+    spoken = df.select(F.col(id_col).alias("_id"), F.explode_outer(F.array_distinct(words(low))).alias("_word"))
+    met = lookup_join(spoken, index, "_word", spread_by=F.col("_id"), broadcast_bytes=BROADCAST_BYTES).where(
+        F.col("_single").isNotNull()
+    )
+    if index.where(F.size("_longer") > 0).isEmpty():
+        hits = met.select("_id", F.col("_word").alias("_term"))
+    else:
+        met = written_once(met)
+        wanted = met.where(F.size("_longer") > 0).groupBy("_id").agg(F.flatten(F.collect_list("_longer")).alias("_longer"))
+        wanted = written_once(wanted)
+        how = "broadcast" if measured_bytes(wanted) <= BROADCAST_BYTES else "shuffle_hash"
+        texts = df.select(F.col(id_col).alias("_own"), low.alias("_low"))
+
+        def stands(term: Column, text: Column) -> Column:
+            whole = F.concat(F.lit(rf"(?<!{V.WORD})\Q"), term, F.lit(rf"\E(?!{V.WORD})"))
+            return text.contains(term) & F.rlike(text, whole)
+
+        looked = texts.join(wanted.hint(how), F.col("_own").eqNullSafe(F.col("_id"))).select(
+            "_id",
+            F.explode(
+                let(F.col("_low"), lambda text: F.filter("_longer", lambda term: stands(term, text)))
+            ).alias("_term"),
+        )
+        hits = met.where("_single").select("_id", F.col("_word").alias("_term")).unionByName(looked)
+    return hits.groupBy(F.col("_id").alias(id_col)).agg(
+        F.count(F.lit(1)).alias("n_terms"), F.min("_term").alias("first_term")
     )

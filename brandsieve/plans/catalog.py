@@ -856,12 +856,15 @@ def results_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def append_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Held documents written, new ones appended, the grown file read back."""
+    """Held documents written, new ones appended in three batches by id, the grown files read back."""
     path = new_path(spark, "append")
     held, offered = _old_and_new(spark, sf)
     sinks.write_results(held.select(F.col("text").alias("business_description")), path)
-    batch = offered.select("doc_id", F.col("text").alias("business_description"))
-    sinks.append_new(batch, path, "business_description", "doc_id")
+    last = offered.agg(F.max("doc_id")).first()[0] or 0
+    for third in range(3):
+        some = offered.where(F.floor(F.col("doc_id") * 3 / (last + 1)) == third)
+        batch = some.select("doc_id", F.col("text").alias("business_description"))
+        sinks.append_new(batch, path, "business_description", "doc_id")
     return json_lines.read_outputs(spark, path).select(F.md5("business_description").alias("text_md5"))
 
 

@@ -44,3 +44,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one written table in the shared folder. The table belongs to the caller:
     it is read lazily, so only the caller knows when it may go."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete files that nobody reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brandsieve.functions.text import base_name
-from brandsieve.operators.dedup import new_rows
+from brandsieve.operators.dedup import rows_not_known
 from brandsieve.operators.training import dataset_metadata
-from brandsieve.sources.json_lines import path_exists, read_lines, readable
+from brandsieve.sources.digest_index import known_keys
 from brandsieve.sources.reports import nest_summary
 
 
@@ -20,14 +20,14 @@ def write_results(rows: DataFrame, path: str) -> None:
 def append_new(batch: DataFrame, path: str, text_col: str, id_col: str) -> None:
     """Append the batch rows whose text is neither in the JSON Lines at ``path`` nor earlier in the batch.
 
-    A path that does not exist yet is created. Lines of it that cannot be read are skipped.
+    A path that does not exist yet is created. Lines of it that cannot be read are skipped. The old
+    texts are not read but their digests, which are kept beside them
+    (:mod:`brandsieve.sources.digest_index`).
     """
-    spark, schema = batch.sparkSession, f"{text_col} string"
-    if path_exists(spark, path):
-        target = readable(read_lines(spark, path, schema))
-    else:
-        target = spark.createDataFrame([], schema)
-    new_rows(batch, target, text_col, id_col).drop(id_col).write.mode("append").json(path)
+    spark = batch.sparkSession
+    new = rows_not_known(batch, known_keys(spark, path, text_col), text_col, id_col)
+    new.drop(id_col).write.mode("append").json(path)
+    known_keys(spark, path, text_col)  # takes in what was just written
 
 
 def report_name(path: Column) -> Column:

@@ -59,6 +59,18 @@ def test_blocklist_table_takes_terms_of_any_length(spark, monkeypatch, limit):
     assert got == {1000: (1, "four-part-listed-term"), 1001: (1, "two words")}
 
 
+@pytest.mark.parametrize("limit", [screening.BROADCAST_BYTES, -1])
+def test_blocklist_table_looks_for_long_terms_behind_their_first_word_only(spark, monkeypatch, limit):
+    monkeypatch.setattr(screening, "BROADCAST_BYTES", limit)
+    ten = "one two three four five six seven eight nine ten"
+    rows = [(1, f"so {ten.upper()}."), (2, ten[:-1]), (3, f"{ten}th"), (4, "one"), (5, "one-two, one two"), (None, "x [a] ONE two"), (6, None)]
+    docs = spark.createDataFrame(rows, "id long, t string").withColumns({c: F.lit(1) for c in ("_word", "_term", "_low", "_longer")})
+    terms = spark.createDataFrame([(ten,), ("one two",), ("one",), ("one \\E two",), ("ten",)], "term string")
+    got = {r["id"]: (r["n_terms"], r["first_term"]) for r in match_blocklist(docs, "t", "id", terms).collect()}
+    assert got == {1: (4, "one"), 2: (2, "one"), 3: (2, "one"), 4: (1, "one"), 5: (2, "one"), None: (2, "one")}
+    assert match_blocklist(docs, "t", "id", terms.limit(0)).count() == 0 == match_blocklist(docs.limit(0), "t", "id", terms).count()
+
+
 def test_blocklist_table_refuses_terms_without_word_edges(spark):
     docs = spark.createDataFrame([(1, "x")], "id long, t string")
     with pytest.raises(Exception, match="unsupported term"):

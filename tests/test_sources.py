@@ -3,9 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from brandsieve.operators import dedup
+from brandsieve.operators import dedup, row_marks
 from brandsieve.session import shared_folder
-from brandsieve.sources import json_lines, requests, sinks
+from brandsieve.sources import digest_index, json_lines, requests, sinks
 from brandsieve.streaming.dedup import distinct_texts
 from brandsieve.streaming.requests import append_to, read_request_stream
 
@@ -80,6 +80,77 @@ def test_hot_text_collapses_before_the_shuffle(spark):
     assert "LeftAnti" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
 
 
+@pytest.mark.parametrize("group_bytes", [row_marks.GROUP_BYTES, 100])
+def test_duplicates_go_without_moving_text(spark, tmp_path, monkeypatch, group_bytes):
+    """By bitmaps of places, in one group of files or many; repeated and null ids too."""
+    monkeypatch.setattr(row_marks.without_places, "__defaults__", (group_bytes,))
+    rows = [(i % 900 if i % 50 else None, f"text {i % 700}" if i % 3 else "Hot") for i in range(2000)]
+    table = spark.createDataFrame(rows, "id long, t string").repartition(5)
+    table.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = dedup.first_occurrence(docs, "t", "id")
+    got = [(r["id"], r["t"].lower()) for r in kept.collect()]
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            first[t.lower()] = min(i, first.get(t.lower(), i))
+    assert sorted(g for g in got if g[0] is not None) == sorted((i, t) for t, i in first.items())
+    assert sum(g[0] is None for g in got) == sum(i is None for i, _ in rows)
+    new = dedup.new_rows(docs, spark.createDataFrame([("HOT ",), ("text 1",)], "t string"), "t", "id")
+    assert sorted((r["id"], r["t"].lower()) for r in new.where("id IS NOT NULL").collect()) == sorted(
+        (i, t) for t, i in first.items() if t not in ("hot", "text 1")
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for df in (kept, new):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_places_of_files_with_many_rows(spark, tmp_path):
+    spark.range(100_000).coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.range(100_000, 100_010).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+    docs = spark.read.parquet(str(tmp_path / "a"))
+    gone = F.col("id").isin([0, 63, 64, 99_999, 100_009]) | ((F.col("id") > 5000) & (F.col("id") < 70_000))
+    places = docs.where(gone).select(*row_marks.place_columns())
+    left = row_marks.without_places(docs, places.unionByName(places))
+    assert left.exceptAll(docs.where(~gone)).isEmpty() and left.count() == docs.where(~gone).count()
+    assert row_marks.bitmaps(places).count() == 2
+    assert row_marks.without_places(docs, places.limit(0)).count() == 100_010
+
+
+def test_append_reads_digests_and_not_old_texts(spark, tmp_path):
+    path = tmp_path / "set"
+    batches = [["Old one", "old ONE ", "B"], ["b", "C"], ["c", "old one", "D"]]
+    for n, texts in enumerate(batches):
+        batch = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, business_description string")
+        sinks.append_new(batch, str(path), "business_description", "id")
+        if n == 0:  # from now on, reading the old texts would show
+            for old in path.glob("*.json"):
+                old.write_text("")
+                (path / f".{old.name}.crc").unlink(missing_ok=True)
+    texts = lambda: sorted(r[0] for r in json_lines.read_descriptions(spark, str(path)).collect())
+    assert texts() == ["C", "D"]
+    known = digest_index.known_keys(spark, str(path), "business_description")
+    assert known.distinct().count() == 4
+    plan = known.distinct()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # bucketed
+
+    digest_index._drop(spark, f"{path}/_digests")  # a lost index is built from the texts that are there
+    again = spark.createDataFrame([(1, "c"), (2, "B"), (3, "d")], "id long, business_description string")
+    sinks.append_new(again, str(path), "business_description", "id")
+    assert texts() == ["B", "C", "D"]
+    (next(p for p in path.glob("*.json") if "B" in p.read_text())).unlink()  # so is one that lists a lost file
+    sinks.append_new(again, str(path), "business_description", "id")
+    assert texts() == ["B", "C", "D"]
+    write(path / "more.json", '{"business_description": "E"}')  # files of other writers are taken in
+    sinks.append_new(spark.createDataFrame([(1, "e"), (2, "f")], "id long, business_description string"), str(path), "business_description", "id")
+    assert texts() == ["B", "C", "D", "E", "f"]
+
+
 def test_append_creates_a_missing_set_and_skips_broken_lines(spark, tmp_path):
     path = str(tmp_path / "set")
     batch = spark.createDataFrame([(1, "A"), (2, "a "), (3, "")], "id long, business_description string")
