@@ -13,14 +13,14 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -33,12 +33,16 @@ LENGTH = 1024
 END = 2
 GROUP = 8192
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Words whose ids a worker remembers (forgetting costs time only), the longest of them, and
-#: words tokenised as one text.
-_REMEMBERED, _LONGEST, _JOINED = 800_000, 64, 1000
+#: Characters of text numbered together, and words tokenised as one text.
+_CHUNK, _JOINED = 8 << 20, 5000
 _ODD = re.compile(r"\s "), re.compile(r" \s")
-_MARKS, _LATIN_END = ".,;:!?", "\u0250"
-_LATIN = re.compile("\n?[!-~\u00c0-\u024f]+")
+#: Bytes: marks; ASCII letters; first bytes of letters from U+00C0 to U+023F; and the second bytes
+#: of the two signs among these.
+_MARK, _LETTER, _LEAD, _SIGN = (np.isin(np.arange(256), list(x)) for x in (
+    b".,;:!?", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"\xc3\xc4\xc5\xc6\xc7\xc8", b"\x97\xb7"
+))
+_INNER, _FIRST, _MARKS_ONLY = range(3)  # kinds of parts
+_LATIN = "^\n?[!-~\u00c0-\u024f]+$"
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -51,11 +55,8 @@ def _odd(text: str) -> bool:
 
 
 def _parts(text: str) -> list[str]:
-    """The text cut before each single blank or line feed between characters that are no white
-    space; the blanks are left out, the line feeds stay. Only single blanks cut an odd text."""
-    if not text:
-        return []
-    return _BETWEEN.split(text) if _odd(text) else text.replace("\n", " \n").split(" ")
+    """An odd text cut at each single blank between characters that are no white space."""
+    return _BETWEEN.split(text)
 
 
 def _rank_encoder(path: str) -> tiktoken.Encoding | None:
@@ -76,11 +77,13 @@ class WordIds:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer's pattern never joins what lies before and after the places where
-    :func:`_parts` cuts, nor a letter and the punctuation after it, so each distinct part is
-    tokenised once. New parts are tokenised many to a text: the only tokens of it that start
-    with a blank or a line feed are the first ones of the parts. Parts of plain Latin characters
-    take the same vocabulary's faster encoder, which merges the same pairs in the same order;
-    all others, and the first word of each text, take the tokenizer itself.
+    :func:`_parts` cuts, nor a letter and the punctuation after it, so each distinct part of a chunk
+    of texts is tokenised once: Arrow numbers the parts, and numpy puts their ids in place of the
+    numbers. Parts are tokenised many to a text: the only tokens of it that start with a blank or a
+    line feed are the first ones of the parts. Parts of plain Latin characters take the same
+    vocabulary's faster encoder, which merges the same pairs in the same order; all others, and the
+    first word of each text, take the tokenizer itself. Texts where white space meets white space
+    are cut at single blanks only.
     """
 
     def __init__(self, path: str):
@@ -89,66 +92,106 @@ class WordIds:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith(("\u0120", "\u010a"))]] = True
         self.plain = _rank_encoder(path)
-        self.known: dict[str, bytes] = {}  # of parts with a blank before them, or their line feed
-        self.marks: dict[str, bytes] = {}  # of punctuation after a letter
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _latin_ids(self, text: str) -> np.ndarray:
-        return np.array(self.plain.encode_ordinary(text), "<u4")
-
-    def _whole(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts by the tokenizer."""
-        plain = [p for p in parts if " " not in p and "\n" not in p[1:] and not p[0].isspace() and not p[-1].isspace()]
-        plain += [p for p in parts if p[0] == "\n" and len(p) > 1 and not any(map(str.isspace, p[1:]))]
-        latin, other = [], []
-        for p in plain:
-            (latin if self.plain and _LATIN.fullmatch(p) and "<|" not in p else other).append(p)
-        found = {}
-        for group, encode in ((latin, self._latin_ids), (other, self._ids)):
-            for at in range(0, len(group), _JOINED):
-                some = group[at : at + _JOINED]
-                ids = encode("".join(p if p[0] == "\n" else " " + p for p in some))
-                starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
-                if len(starts) == len(some):
-                    raw = ids.tobytes()
-                    found.update(zip(some, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
-        alone = {p: self._ids(p if p[0] == "\n" else " " + p).tobytes() for p in parts if p not in found}
-        return found | alone
-
-    def _learn(self, parts: Iterable[str]) -> dict[str, bytes]:
-        whole, marked = set(), {}
-        for p in parts:
-            core = p.rstrip(_MARKS)
-            if core != p and core and core[-1].isalpha() and core[-1] < _LATIN_END:
-                marked[p] = core
-                if core not in self.known:
-                    whole.add(core)
+    def _cut(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of a text of n plain parts, and how many each has, if the ids tell them apart."""
+        ids = self.plain.encode_to_numpy(text, disallowed_special=())
+        starts = np.flatnonzero(self.opens[ids])
+        return (ids, np.diff(starts, append=len(ids))) if len(starts) == n else None
+
+    def _whole(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts with a blank before them, or their line feed, end to end, and how many
+        each has."""
+        led = pc.if_else(pc.starts_with(parts, "\n"), parts, pc.binary_join_element_wise(" ", parts, ""))
+        latin = pc.and_(pc.match_substring_regex(parts, _LATIN), pc.invert(pc.match_substring(parts, "<|")))
+        plain = latin.to_numpy(zero_copy_only=False) & (self.plain is not None)
+        some, sizes, pools = np.flatnonzero(plain), np.zeros(len(parts), np.int64), [np.zeros(0, "<u4")]
+        for at in range(0, len(some), _JOINED):
+            own = some[at : at + _JOINED]
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(own)], led.take(pa.array(own))), "")[0].as_py()
+            whole = self._cut(text, len(own))
+            if whole is None:
+                plain[own] = False
             else:
-                whole.add(p)
-        learned = self._whole(list(whole))
-        for p, core in marked.items():
-            if (mark := p[len(core) :]) not in self.marks:
-                self.marks[mark] = self._ids(mark).tobytes()
-            learned[p] = (learned.get(core) or self.known[core]) + self.marks[mark]
-        return learned
-
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        split = [_parts(x) for x in texts]
-        starts = [x.pop(0) if x else None for x in split]
-        if len(self.known) > _REMEMBERED:
-            self.known = {}
-        found = [list(map(self.known.get, x)) for x in split]
-        new: set[str] = set()
-        for x, ids in zip(split, found):
-            new.update(compress(x, map(not_, ids)))  # ids of a part are never empty
-        learned = self._learn(new)
-        for start, x, ids in zip(starts, split, found):
-            for i in [i for i, own in enumerate(ids) if own is None]:
-                ids[i] = learned[x[i]]
-            yield (b"" if start is None else self._ids(start).tobytes()) + b"".join(ids)
-        self.known.update(kv for kv in learned.items() if len(kv[0]) <= _LONGEST)
+                pools.append(whole[0])
+                sizes[own] = whole[1]
+        others = np.flatnonzero(~plain)
+        found = [self._ids(x) for x in led.take(pa.array(others)).to_pylist()]
+        sizes[others] = [len(x) for x in found]
+        if not found:
+            return np.concatenate(pools), sizes
+        # the others take their places among the plain ones
+        own = np.repeat(plain, sizes)
+        pool = np.empty(len(own), "<u4")
+        pool[own], pool[~own] = np.concatenate(pools), np.concatenate(found)
+        return pool, sizes
+
+    def _pool(self, words: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, end to end, and where each begins (one place more at the end). A code is
+        a part's number plus its kind times the number of words; first the parts inside of texts."""
+        inner = codes < len(words)
+        pool, sizes = self._whole(words.take(pa.array(codes[inner])))
+        rest = [self._ids(x) for x in words.take(pa.array(codes[~inner] % len(words))).to_pylist()]
+        sizes = np.concatenate([sizes, np.array([len(x) for x in rest], np.int64)])
+        return np.concatenate([pool, *rest]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts in which no white space meets white space or an end."""
+        raw = [t.replace("\n", " \n").encode() for t in texts]
+        content = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        gap = content == 32
+        opens = np.empty(len(content), bool)
+        opens[0], opens[1:] = True, gap[:-1]
+        starts, ends = np.flatnonzero(opens & ~gap), np.flatnonzero(gap & ~opens)
+        if not len(starts):
+            return [b""] * len(texts)
+        # punctuation at the end of a part is one of its own if a plain letter stands before it
+        marked = np.flatnonzero(_MARK[content[ends - 1]])
+        core, least = ends[marked], starts[marked]
+        while (more := _MARK[content[core - 1]] & (core > least)).any():
+            core = core - more
+        last, lead = content[core - 1], content[core - 2]
+        latin = (last >= 0x80) & _LEAD[lead] & ~((lead == 0xC3) & _SIGN[last])
+        split = (core > least) & (_LETTER[last] | latin)
+        marked, core = marked[split], core[split]
+        # parts and their marks in order; marks and first parts are tokenised without a blank
+        place = np.arange(len(starts))
+        place[1:] += np.cumsum(np.bincount(marked, minlength=len(starts)))[:-1]
+        n = len(starts) + len(marked)
+        kind, stops = np.full(n, _INNER), np.empty(n, np.int64)
+        begins = np.empty(n, np.int64)
+        begins[place], stops[place] = starts, ends
+        begins[place[marked] + 1], stops[place[marked] + 1] = core, ends[marked]
+        stops[place[marked]], kind[place[marked] + 1] = core, _MARKS_ONLY
+        firsts = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in raw)]))
+        bounds = np.append(place, n)[firsts]
+        kind[bounds[:-1][bounds[:-1] < bounds[1:]]] = _FIRST
+        offsets = np.concatenate([[0], np.cumsum(stops - begins)]).astype(np.int32)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(content[~gap])]
+        coded = pa.Array.from_buffers(pa.string(), n, buffers).dictionary_encode()
+        words = coded.dictionary
+        codes = coded.indices.to_numpy() + kind * len(words)
+        there = np.zeros(3 * len(words), bool)
+        there[codes] = True
+        own = (np.cumsum(there) - 1)[codes]
+        pool, begins = self._pool(words, np.flatnonzero(there))
+        sizes = np.diff(begins)[own]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = pool[np.repeat(begins[own] - upto[:-1], sizes) + np.arange(upto[-1])]
+        bounds = upto[bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def _encode_odd(self, text: str) -> bytes:
+        start, *rest = _parts(text)
+        return self._ids(start).tobytes() + self._whole(pa.array(rest, pa.string()))[0].tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        odd = [bool(t) and _odd(t) for t in texts]
+        plain = iter(self._encode_plain([t for t, o in zip(texts, odd) if not o]))
+        return [self._encode_odd(t) if o else next(plain) for t, o in zip(texts, odd)]
 
 
 @lru_cache(maxsize=2)
@@ -165,10 +208,11 @@ def _cut_up(total: int, length: int) -> list[tuple[int, int]]:
 def _pieces(batches: Iterator[pd.DataFrame], path: str, length: int, end: int, with_ids: bool):
     encoder, last = _word_ids(path), np.array([end], "<u4").tobytes()
     for batch in batches:
-        for at in range(0, len(batch), 512):  # bounds what one round holds in memory
-            rows = batch.iloc[at : at + 512]
+        upto = batch["text"].str.len().cumsum().to_numpy()
+        for at in np.unique(upto // _CHUNK):  # bounds what one round holds in memory
+            rows = batch[upto // _CHUNK == at]
             out = []
-            for doc_id, ids in zip(rows["doc_id"], encoder.encode(rows["text"])):
+            for doc_id, ids in zip(rows["doc_id"], encoder.encode(rows["text"].tolist())):
                 ids += last
                 for piece, (start, n) in enumerate(_cut_up(len(ids) // 4, length)):
                     own = ids[4 * start : 4 * (start + n)]
@@ -255,8 +299,9 @@ def _place(rows: pd.DataFrame, length: int) -> pd.DataFrame:
 
 def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """The pieces with sequence_id and offset. ``parts``: doc_id, piece, start, length,
-    ids_crc32, held in a written table; anything else stays out of the way of the packing."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    ids_crc32, and part if they are numbered, held in a written table; anything else stays out of
+    the way of the packing."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["part"] if "part" in parts.columns else [])]
     short = parts.where(F.col("length") < length).select(names)
     groups = max(1, -(-short.count() // group))
     whole = parts.where(F.col("length") == length).select(
@@ -265,8 +310,7 @@ def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
         F.lit(0).cast("long").alias("offset"),
     )
     dealt = short.withColumn("bin_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    packed = dealt.groupBy("bin_group").applyInPandas(lambda rows: _place(rows, length), schema)
+    packed = dealt.groupBy("bin_group").applyInPandas(lambda rows: _place(rows, length), whole.schema)
     return packed.unionByName(whole)
 
 
@@ -281,11 +325,11 @@ def packed_documents(docs: DataFrame, path: str = VOCABULARY, length: int = LENG
 
 
 def sequences(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
-    """sequence_id and input_ids (array of at most ``length``), the rows to train on.
-    Document ids must be unique here, as pieces are joined with their tokens by them."""
-    parts = cut(pieces(docs, path, length))
-    placed = pack(parts, length).select("doc_id", "piece", "sequence_id", "offset")
-    rows = parts.select("doc_id", "piece", "ids").join(placed, ["doc_id", "piece"])
+    """sequence_id and input_ids (array of at most ``length``), the rows to train on. Pieces find
+    their tokens by their number in the written table, so null and repeated ids are no matter."""
+    parts = cut(pieces(docs, path, length)).withColumn("part", F.monotonically_increasing_id())
+    placed = pack(parts, length).select("part", "sequence_id", "offset")
+    rows = parts.select("part", "ids").join(placed, "part")
 
     def joined(binary: pd.Series) -> pd.Series:
         return binary.map(lambda b: np.frombuffer(b, "<u4").astype("int32"))
