@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +24,9 @@ from brandsieve.plans.model_evaluation import evaluate
 from brandsieve.plans.views import table
 from brandsieve.session import new_path
 from brandsieve.sources import json_lines, reports, requests, sinks
-from brandsieve.streaming.dedup import distinct_texts
+from brandsieve.streaming.dedup import distinct_texts, first_and_late
 from brandsieve.streaming.requests import append_to, read_request_stream, score_requests
+from brandsieve.streaming.serving import serve
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,6 +304,15 @@ def request_intake(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def request_failures(spark: SparkSession, sf: str) -> DataFrame:
     """Answers to bodies of all kinds, requests and others."""
+    asked = _bodies(spark, sf).withColumn("text", requests.body_text(F.col("body")))
+    answered = score_requests(asked, "text", _answer(F.col("text")), invalid=requests.body_failure(F.col("body")))
+    return answered.select(
+        "event_id", "status", F.coalesce("message", F.lit("")).alias("message"), F.col("http_code").cast("bigint").alias("http_code")
+    )
+
+
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """event_id and body: every request in a form that is one, or in one of eight that are not."""
     text = F.col("business_description")
     whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias(requests.FIELD)))
     body = views.by_remainder(
@@ -311,11 +322,7 @@ def request_failures(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(None).cast("string"), F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("other"))), F.lit("0"), F.lit("12"),
         ],
     )
-    asked = views.requests(spark, sf).select("event_id", body.alias("body")).withColumn("text", requests.body_text(F.col("body")))
-    answered = score_requests(asked, "text", _answer(F.col("text")), invalid=requests.body_failure(F.col("body")))
-    return answered.select(
-        "event_id", "status", F.coalesce("message", F.lit("")).alias("message"), F.col("http_code").cast("bigint").alias("http_code")
-    )
+    return views.requests(spark, sf).select("event_id", body.alias("body"))
 
 
 # --- evaluation ----------------------------------------------------------------------------
@@ -744,8 +751,9 @@ def batch_generation(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources and sinks ---------------------------------------------------------------------
 
 
-def _description_lines(spark: SparkSession, sf: str) -> str:
-    """Every document as a JSON line, with blank, broken, keyless, aliased and whitespace-only lines between them."""
+def _description_lines(spark: SparkSession, sf: str, folders: int = 0) -> str:
+    """Every document as a JSON line, with blank, broken, keyless, aliased and whitespace-only lines between them;
+    in folders by id, if wanted."""
     doc_id, text = F.col("doc_id"), F.col("text")
     path = new_path(spark, "descriptions")
     own = F.when(doc_id % 2 == 0, F.concat(F.lit("  "), text)).otherwise(text)
@@ -761,7 +769,11 @@ def _description_lines(spark: SparkSession, sf: str) -> str:
         ],
     )
     lines = F.array(F.to_json(F.struct(own.alias("business_description"))), between)
-    table(spark, sf, "documents").select(F.explode(lines)).write.text(path)
+    docs = table(spark, sf, "documents")
+    if folders:
+        docs.select((doc_id % folders).alias("folder"), F.explode(lines)).write.partitionBy("folder").text(path)
+    else:
+        docs.select(F.explode(lines)).write.text(path)
     return path
 
 
@@ -777,6 +789,21 @@ def scan_jsonl_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return json_lines.quarantined(lines).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def scan_jsonl_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of each kind in each folder, and the good ones that a counted read gives."""
+    path = _description_lines(spark, sf, folders=4)
+    lines = json_lines.classified_lines(spark, path, json_lines.DESCRIPTION, "business_description")
+    counts = json_lines.line_counts(lines).withColumn(
+        "folder", F.regexp_extract("file_path", r"folder=(\d+)", 1).cast("bigint")
+    )
+    rows, seen = json_lines.read_counted(spark, path, json_lines.DESCRIPTION, "business_description")
+    rows.write.format("noop").mode("overwrite").save()
+    good = json_lines.warn_of_skipped(seen, path)["good"]
+    sums = [F.sum(k).alias(k) for k in json_lines.KINDS]
+    return counts.groupBy("folder").agg(*sums).withColumn("good_everywhere", F.lit(good).cast("bigint"))
+
+
 @query
 def scan_jsonl_alias(spark: SparkSession, sf: str) -> DataFrame:
     rows = json_lines.read_descriptions_or_alias(spark, _description_lines(spark, sf))
@@ -912,3 +939,42 @@ def stream_dedup_watermark(spark: SparkSession, sf: str) -> DataFrame:
     distinct = distinct_texts(arriving, "business_description", time_col="ts", keep_for="10000 days").select("text_key")
     append_to(distinct, f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+@query
+def stream_dedup_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct request texts of a stream; after a restart come a late copy of an old text, a late
+    new text and a new one in time."""
+    root = new_path(spark, "stream-late")
+    schema = "event_id bigint, ts timestamp, business_description string, arrived timestamp"
+    text, ts = F.col("business_description"), F.col("ts")
+    first = views.requests(spark, sf).withColumn("arrived", ts)
+    early, arrived = ts - F.expr("INTERVAL 30000 DAYS"), ts + F.expr("INTERVAL 400 DAYS")
+    again = first.withColumns({"ts": early, "arrived": arrived, "business_description": F.upper(text)})
+    late = first.withColumns({"ts": early, "arrived": arrived, "business_description": F.concat(F.lit("late "), text)})
+    in_time = first.withColumns({"arrived": arrived, "business_description": F.concat(F.lit("in time "), text)})
+    for rows in (first, again.unionByName(late).unionByName(in_time)):
+        rows.write.mode("append").json(f"{root}/in")
+        arriving = read_request_stream(spark, f"{root}/in", schema)
+        distinct = first_and_late(
+            arriving, "business_description", time_col="ts", arrival_col="arrived", keep_for_seconds=20_000 * 86_400
+        ).select("text_key", "late")
+        append_to(distinct, f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+def _predict_or_fail(model: None, asked: list[str]) -> list[str]:
+    """The stub, which breaks down at a sixteenth of the prompts."""
+    if any(hashlib.md5(p.encode()).hexdigest()[0] == "0" for p in asked):
+        raise RuntimeError("down")
+    return predict_stub(model, asked)
+
+
+@query
+def stream_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of all kinds from a stream through gates and model to answers, failures and quarantine."""
+    root = new_path(spark, "stream-answers")
+    _bodies(spark, sf).write.json(f"{root}/in")
+    arriving = read_request_stream(spark, f"{root}/in", "event_id bigint, body string")
+    serve(arriving, "body", f"{root}/out", f"{root}/checkpoint", load=load_stub, predict=_predict_or_fail, once=True).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "route", F.col("http_code").cast("bigint").alias("http_code"))

@@ -18,12 +18,14 @@ def generate(
     predict: Predict,
     prompt: Column | None = None,
     legitimate: Column | None = None,
+    invalid: Column | None = None,
     options: dict | None = None,
 ) -> DataFrame:
     """Add gate, response, error, target_domains, status, message, http_code and suggestions.
 
     One scan and no shuffle. Rows stopped by a gate reach the model hook as nulls, which it
-    skips, instead of being split off and united again over a second scan.
+    skips, instead of being split off and united again over a second scan. ``invalid`` marks bodies
+    that are no requests (:func:`brandsieve.sources.requests.body_failure`).
     """
     prompt = chat_prompt(F.col(text_col)) if prompt is None else prompt
     gated = add_gate(df, text_col, legitimate=legitimate)
@@ -35,4 +37,4 @@ def generate(
         "target_domains",
         F.when(F.col("error").isNotNull(), F.array().cast("array<string>")).otherwise(F.col("target_domains")),
     )
-    return add_response(named, text_col, failed=F.col("error").isNotNull())
+    return add_response(named, text_col, failed=F.col("error").isNotNull(), invalid=invalid)

@@ -791,3 +791,16 @@ add("results_round_trip", f"SELECT md5(business_description) AS text_md5, {joine
 
 add("stream_dedup", f"SELECT DISTINCT sha256({_KEY}) AS text_key FROM documents")
 add("stream_dedup_watermark", f"SELECT DISTINCT sha256(lower({trim("coalesce(business_description, '')")})) AS text_key FROM v_requests")
+
+_KIND = f"CASE WHEN text IS NULL THEN 'keyless' WHEN {trim('text')} = '' THEN 'empty' ELSE 'good' END"
+add("scan_jsonl_counts", """SELECT folder, """ + ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS {k}" for k in ("blank", "malformed", "keyless", "empty", "good"))
+    + """, (SELECT count(*) FROM k WHERE kind = 'good') AS good_everywhere FROM k GROUP BY folder""",
+    k=f"""SELECT doc_id % 4 AS folder, {_KIND} AS kind FROM documents UNION ALL
+SELECT doc_id % 4, CASE doc_id % 6 WHEN 1 THEN 'blank' WHEN 2 THEN 'keyless' WHEN 3 THEN 'empty' WHEN 4 THEN 'keyless' ELSE 'malformed' END FROM documents""")
+_LATE_KEY = f"sha256(lower({trim("coalesce(p || business_description, '')")}))"
+add("stream_dedup_late", f"""SELECT DISTINCT {_LATE_KEY} AS text_key, p = 'late ' AS late FROM v_requests, (SELECT unnest(['', 'late ', 'in time ']) AS p)
+WHERE p = '' OR business_description IS NOT NULL""")
+_ASKED = f"md5({fill(V.CHAT_PROMPT, text='text')})"
+add("stream_answers", f"""SELECT event_id, CASE WHEN event_id % 9 NOT IN (0, 6) THEN 'quarantine' WHEN event_id % 9 = 0 AND gate = 'pass' AND {_ASKED} LIKE '0%' THEN 'failures' ELSE 'answers' END AS route,
+  CASE WHEN event_id % 9 IN (2, 4, 7) THEN 400 WHEN event_id % 9 > 0 OR gate = 'error' OR (gate = 'pass' AND {_ASKED} LIKE '0%') THEN 500 ELSE 200 END::BIGINT AS http_code
+FROM g""", **_GATE)

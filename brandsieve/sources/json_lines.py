@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brandsieve.functions.text import no_strings, trim_ws
@@ -21,21 +21,15 @@ TRAINING = "business_description string, target_domains array<string>, source st
 BROADCAST_SPLITS = 1_000_000
 
 
-def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Every non-blank line: the fields of ``schema``, the raw ``line`` and ``malformed``.
-
-    ``inline`` turns the parsed struct into columns and keeps filters above it, so each line
-    is parsed once.
-    """
+def _parsed(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Every line, blank ones too, as :func:`read_lines` gives them."""
     parsed = F.from_json(
         "line",
         f"{schema}, _bad string",
         {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false", "mode": "PERMISSIVE"},
     )
-    lines = (
-        spark.read.text(path)
-        .select(trim_ws(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file_path"))
-        .where(F.col("line") != "")
+    lines = spark.read.text(path).select(
+        trim_ws(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file_path")
     )
     whole = F.col("line").startswith("{") & F.col("line").endswith("}")
     return (
@@ -45,6 +39,55 @@ def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     )
 
 
+def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Every non-blank line: the fields of ``schema``, the raw ``line`` and ``malformed``.
+
+    ``inline`` turns the parsed struct into columns and keeps filters above it, so each line
+    is parsed once.
+    """
+    return _parsed(spark, path, schema).where(F.col("line") != "")
+
+
+#: What a line can be to a reader that wants the text of one key.
+KINDS = ("blank", "malformed", "keyless", "empty", "good")
+
+
+def classified_lines(spark: SparkSession, path: str | list[str], schema: str, key: str) -> DataFrame:
+    """Every line, blank ones too, with its ``kind``: keyless without the key or with null, empty where
+    its text is only white space."""
+    kind = (
+        F.when(F.col("line") == "", "blank")
+        .when(F.col("malformed"), "malformed")
+        .when(F.col(key).isNull(), "keyless")
+        .when(trim_ws(F.col(key)) == "", "empty")
+        .otherwise("good")
+    )
+    return _parsed(spark, path, schema).withColumn("kind", kind)
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """Of each file, how many lines are of each kind. ``lines``: file_path, kind."""
+    return lines.groupBy("file_path").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in KINDS))
+
+
+def read_counted(spark: SparkSession, path: str | list[str], schema: str, key: str) -> tuple[DataFrame, Observation]:
+    """The fields of the good lines, and an observation that holds the number of lines of each kind
+    once these rows have been computed: the pass that reads them counts the others too."""
+    seen = Observation()
+    lines = classified_lines(spark, path, schema, key)
+    lines = lines.observe(seen, *(F.count_if(F.col("kind") == k).alias(k) for k in KINDS))
+    return lines.where(F.col("kind") == "good").drop("line", "file_path", "malformed", "kind"), seen
+
+
+def warn_of_skipped(seen: Observation, path: str) -> dict[str, int]:
+    """The counts of an observed pass; what was skipped is logged."""
+    counts = {k: seen.get[k] for k in KINDS}
+    skipped = {k: n for k, n in counts.items() if k != "good" and n}
+    if skipped:
+        log.warning("%s: %d lines read, skipped: %s", path, counts["good"], skipped)
+    return counts
+
+
 def readable(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("malformed")).drop("line", "file_path", "malformed")
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructType
 
 from brandsieve.operators.dedup import normalised_key
 
@@ -23,3 +28,52 @@ def distinct_texts(stream: DataFrame, text_col: str, *, time_col: str | None = N
     if keep_for is None:
         raise ValueError("state that is bounded by time drops late rows: say how late a row may be (keep_for)")
     return keyed.withWatermark(time_col, keep_for).dropDuplicatesWithinWatermark(["text_key"])
+
+
+def first_and_late(
+    stream: DataFrame,
+    text_col: str,
+    *,
+    time_col: str,
+    arrival_col: str,
+    keep_for_seconds: int,
+    arrival_delay: str = "1 hour",
+) -> DataFrame:
+    """First arrival of every normalised text, with ``text_key`` and ``late``; late new texts are kept apart,
+    not dropped.
+
+    A row is late if it arrives more than ``keep_for_seconds`` after its time. A digest is forgotten
+    when its text has not arrived for that long, so a late row whose text is not known may be new
+    or forgotten: it is let through, marked late, for another sink to decide on. Late or not, a row
+    whose text is known is dropped. Of the copies in one batch, one in time goes before a late one,
+    and then the earliest. Rows without a time are in time. The clock is that of the arrivals:
+    ``arrival_col`` may be out of order by ``arrival_delay``. The state holds a flag and a time a text.
+    """
+    keyed = (
+        stream.withColumn("text_key", normalised_key(F.col(text_col)))
+        .withColumn(
+            "late",
+            F.coalesce(F.unix_seconds(arrival_col) - F.unix_seconds(time_col) > keep_for_seconds, F.lit(False)),
+        )
+        .withWatermark(arrival_col, arrival_delay)
+    )
+
+    def first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        earliest, arrived = None, state.getCurrentWatermarkMs()
+        for rows in batches:
+            newest = rows[arrival_col].max()
+            if pd.notna(newest):
+                arrived = max(arrived, int(newest.timestamp() * 1000))
+            rows = rows if earliest is None else pd.concat([earliest, rows])
+            earliest = rows if len(rows) == 1 else rows.sort_values(["late", time_col], kind="stable").iloc[:1]
+        if not state.exists:
+            yield earliest
+        state.update((True,))
+        state.setTimeoutTimestamp(arrived + 1000 * keep_for_seconds + 1)
+
+    return keyed.groupBy("text_key").applyInPandasWithState(
+        first, keyed.schema, StructType().add("known", BooleanType()), "append", GroupStateTimeout.EventTimeTimeout
+    )

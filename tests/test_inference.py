@@ -4,6 +4,8 @@ from brandsieve.functions.candidates import keyword_fallback
 from brandsieve.operators.inference import add_model_output, load_stub, predict_stub
 from brandsieve.operators.training import add_tokens
 from brandsieve.plans.generation import generate
+from brandsieve.streaming.requests import read_request_stream
+from brandsieve.streaming.serving import ROUTES, read_routed, serve
 
 
 def test_failures_stay_in_their_row(spark):
@@ -49,3 +51,26 @@ def test_failed_generator_can_fall_back(spark):
     assert df.select(keyword_fallback(F.col("t"))).first()[0] == ["organic.com", "coffee.co", "startup2.com"]
     one, other = predict_stub(None, ["x" * 500 + "a", "x" * 500 + "b"])
     assert one != other and [n.rsplit(".")[-1] for n in one.split("\n")] == ["com", "io", "ai"]
+
+
+def test_served_batches_run_again_add_nothing(spark, tmp_path):
+    def predict(model, prompts):
+        if any("breaks" in p for p in prompts):
+            raise RuntimeError("down")
+        return ["brew.com" for _ in prompts]
+
+    bodies = ['{"business_description": "Organic coffee shop"}', '{"business_description": "This one breaks it"}', "{broken", "{}", None]
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for half in (bodies[:3], bodies[3:]):
+        spark.createDataFrame([(b,) for b in half], "body string").write.mode("append").json(source)
+        for again in (False, True):
+            if again:  # as after a crash between the writes of a batch and its commit
+                last = max((tmp_path / "mark" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+                last.unlink()
+                (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+            arriving = read_request_stream(spark, source, "body string")
+            serve(arriving, "body", out, mark, load=load_stub, predict=predict, once=True).awaitTermination()
+    rows = {route: read_routed(spark, out, route).collect() for route in ROUTES}
+    assert {route: len(r) for route, r in rows.items()} == {"answers": 1, "failures": 1, "quarantine": 3}
+    assert rows["answers"][0]["status"] == "success" and rows["failures"][0]["error"] == "down"
+    assert sorted(r["http_code"] for r in rows["quarantine"]) == [400, 500, 500]

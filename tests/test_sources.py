@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from brandsieve.operators import dedup, row_marks
 from brandsieve.session import shared_folder
 from brandsieve.sources import digest_index, json_lines, requests, sinks
-from brandsieve.streaming.dedup import distinct_texts
+from brandsieve.streaming.dedup import distinct_texts, first_and_late
 from brandsieve.streaming.requests import append_to, read_request_stream
 
 
@@ -223,3 +223,34 @@ def test_shared_folder_follows_the_session():
     assert shared_folder(local) == shared_folder(local)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(FakeSession("k8s://x"))
+
+
+def test_counted_reads(spark, tmp_path):
+    one = write(tmp_path / "a.jsonl", '{"business_description": "a"}', "", "broken", '{"other": 1}', '{"business_description": " "}', "[1]")
+    write(tmp_path / "b.jsonl", '{"business_description": null}', '{"business_description": "b"}', "   ")
+    lines = json_lines.classified_lines(spark, str(tmp_path), json_lines.DESCRIPTION, "business_description")
+    counts = {r["file_path"].rsplit("/")[-1]: tuple(r[k] for k in json_lines.KINDS) for r in json_lines.line_counts(lines).collect()}
+    assert counts == {"a.jsonl": (1, 2, 1, 1, 1), "b.jsonl": (1, 0, 1, 0, 1)}
+    rows, seen = json_lines.read_counted(spark, str(tmp_path), json_lines.DESCRIPTION, "business_description")
+    assert sorted(map(tuple, rows.collect())) == [("a",), ("b",)]
+    assert json_lines.warn_of_skipped(seen, one) == {"blank": 2, "malformed": 2, "keyless": 2, "empty": 1, "good": 2}
+
+
+def test_late_new_texts_are_kept_apart_over_a_restart(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    (tmp_path / "in").mkdir()
+    parts = [
+        [("old", "2024-01-10T00:00:00", "2024-01-10T00:00:00"), ("Old ", "2024-01-09T23:59:00", "2024-01-10T00:00:01"), ("no time", None, None)],
+        [("late new", "2024-01-01T00:00:00", "2024-01-10T00:30:00"), ("OLD", "2024-01-01T00:00:00", "2024-01-10T00:30:00"), ("new", "2024-01-10T00:30:00", "2024-01-10T00:30:00")],
+        [("far", "2024-02-01T00:00:00", "2024-02-01T00:00:00")],
+        [("old", "2024-01-10T00:00:00", "2024-02-02T00:00:00"), ("far", "2024-02-01T00:00:00", "2024-02-02T00:00:00")],
+    ]
+    for number, rows in enumerate(parts):
+        lines = [json.dumps({"t": t, "ts": ts, "at": at}) for t, ts, at in rows]
+        write(tmp_path / "in" / f"{number}.json", *lines)
+        arriving = read_request_stream(spark, source, "t string, ts timestamp, at timestamp")
+        found = first_and_late(arriving, "t", time_col="ts", arrival_col="at", keep_for_seconds=3 * 86_400)
+        append_to(found.select("t", "late"), out, mark, once=True).awaitTermination()
+    got = sorted((r["t"], r["late"]) for r in spark.read.parquet(out).collect())
+    # "old" was forgotten in the meantime: it comes again, marked
+    assert got == [("Old ", False), ("far", False), ("late new", True), ("new", False), ("no time", False), ("old", True)]
