@@ -2,8 +2,11 @@
 
 The value after a credential word is judged by the cheapest way to compose it: a segmentation
 into dictionary words, dates, repeats, keyboard walks and sequences, and brute-force spans,
-found by dynamic programming over log10 guesses. Values that cost ``LEAST_COST`` or more are
-secrets even where the fixed shapes miss them (short ones, other characters, other words).
+found by dynamic programming over log10 guesses. Separators, and the whole words between them,
+are cheap, so that paths, slugs and prose cost little. Values that cost ``LEAST_COST`` or more are
+secrets even where the fixed shapes miss them (short ones, other characters, other words); those
+of letters of one case only, as names and foreign words are, need ``LEAST_LETTERS_COST``, and
+``LEAST_LETTERS_SHARE`` of what brute force would cost.
 """
 
 from __future__ import annotations
@@ -33,17 +36,24 @@ _HEX_DIGITS, _HEX_RUN = bytes(b in b"0123456789abcdef" for b in range(256)), b"\
 #: Literals of which every text with an assignment has one, lower-cased.
 _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
-#: A credential word, a separator, and a value, in quotes (no quote inside) or up to white space.
+#: A credential word, a separator, and a value: in quotes (no quote inside, blanks up to
+#: ``LONGEST_PHRASE`` characters) or up to white space. ``Bearer`` and ``Basic`` may come between,
+#: and ``Bearer`` needs no separator.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|bearer|auth)"""
-    r"""["']?[\x20\t]*(?:[:=]|=>|:=)[\x20\t]*(?:"([^"\s]+)"|'([^'\s]+)'|([^\s"',;<>()\[\]{}]+))""",
+    r"""(?<![A-Za-z])(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|bearer|auth(?:orization)?)"""
+    r"""["']?[\x20\t]*(?:[:=]|=>|:=)[\x20\t]*(?:"?(?:bearer|basic)[\x20\t]+)?(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"',;<>()\[\]{}]+))"""
+    r"""|bearer[\x20\t]+([A-Za-z0-9._~+/=-]+))""",
     re.I | re.A,
 )
+LONGEST_PHRASE = 48
 #: Log10 guesses from which a value counts as a secret: beyond online and slow offline attacks.
-LEAST_COST = 10.0
+LEAST_COST, LEAST_LETTERS_COST, LEAST_LETTERS_SHARE = 10.0, 15.0, 0.8
 LEAST_LENGTH = 8
 WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 _LONGEST_WORD = 32
+#: Between words of a path, slug or phrase; the cost of one, of a blank, of a whole word there.
+_SEPARATORS = "-_./: "
+_SEPARATOR_COST, _BLANK_COST, _WHOLE_WORD_COST = math.log10(8), 0.3, 0.7
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _SWAPS = str.maketrans("@4301!$57", "aaeoiisst")
 _DATE = re.compile(
@@ -129,14 +139,21 @@ def guess_cost(value: str, path: str = WORDS) -> float:
                 start = end - size + 1
             else:
                 start += 1
+    composite = any(c in value for c in _SEPARATORS)
     best = [0.0] + [math.inf] * n
     for at in range(n):
         cost = best[at]
-        best[at + 1] = min(best[at + 1], cost + per_character)
+        separator = composite and value[at] in _SEPARATORS
+        one = (_BLANK_COST if value[at] == " " else _SEPARATOR_COST) if separator else per_character
+        best[at + 1] = min(best[at + 1], cost + one)
         for end, extra in runs[at]:
             best[end] = min(best[end], cost + extra)
         if not plain[at].isalpha():
             continue
+        starts = composite and (at == 0 or value[at - 1] in _SEPARATORS)
+        for end in (at + 1, at + 2):  # whole words too short for the list
+            if starts and end <= n and value[at:end].isalpha() and (end == n or not value[end].isalnum()):
+                best[end] = min(best[end], cost + _WHOLE_WORD_COST)
         for end in range(at + 3, min(n, at + _LONGEST_WORD) + 1):
             word = plain[at:end]
             if not word[-1].isalpha():
@@ -144,7 +161,10 @@ def guess_cost(value: str, path: str = WORDS) -> float:
             if rank := ranks.get(word):
                 part = value[at:end]
                 changes = 2 * (part != part.lower() and not part.istitle()) + (part.istitle()) + 2 * (low[at:end] != word)
-                best[end] = min(best[end], cost + math.log10(rank) + changes * math.log10(2))
+                price = math.log10(rank) + changes * math.log10(2)
+                if starts and low[at:end] == word and changes < 2 and (end == n or not value[end].isalnum()):
+                    price = min(price, _WHOLE_WORD_COST)
+                best[end] = min(best[end], cost + price)
     return best[n]
 
 
@@ -169,20 +189,25 @@ def find_secrets(text: str | None, least_cost: float = LEAST_COST, path: str = W
         for match in CONTEXT.finditer(text):
             which = match.lastindex
             a, b = match.span(which)
-            while which == 3 and b > a and text[b - 1] in ".!?:":
+            while which > 2 and b > a and text[b - 1] in ".!?:":
                 b -= 1
-            before = bisect_right(starts, a)
-            if b - a < LEAST_LENGTH or (before and ends[before - 1] >= b) or not _mixed(text[a:b]):
+            before, value = bisect_right(starts, a), text[a:b]
+            if b - a < LEAST_LENGTH or (before and ends[before - 1] >= b):
                 continue
-            if guess_cost(text[a:b], path) >= least_cost:
+            if b - a > LONGEST_PHRASE and any(c in value for c in " \t"):
+                continue
+            if guess_cost(value, path) >= max(least_cost, _least_for_letters(value)):
                 found.append((a, b, "guess"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def _mixed(value: str) -> bool:
-    """Whether two of these are there: small letters, capitals after the first character, digits,
-    symbols that addresses and compound words don't have. Plain words and paths are no secrets."""
-    return sum(bool(re.search(kind, value)) for kind in (r"[a-z]", r"(?<=.)[A-Z]", r"[0-9]", r"[^A-Za-z0-9\-_./:]")) >= 2
+def _least_for_letters(value: str) -> float:
+    """What a value has to cost that holds only letters, of one case but for the first, and
+    separators; 0 for any other."""
+    letters = "".join(c for c in value if c not in _SEPARATORS)
+    if not letters.isalpha() or not (letters[1:].islower() or letters.isupper()):
+        return 0.0
+    return max(LEAST_LETTERS_COST, LEAST_LETTERS_SHARE * len(letters) * math.log10(26))
 
 
 _SPANS = ArrayType(
