@@ -2,7 +2,8 @@
 
 A hash turns the unit vector by three rounds of random signs and a fast Hadamard transform and
 takes the nearest signed axis. Every vector lies in one bucket of each table; a query visits
-the buckets of its ``probes`` nearest signed axes. Buckets with more than ``BLOCK`` vectors are
+the buckets of its ``probes`` nearest signed axes, as many as find ``RECALL`` of the true neighbours
+of ``SAMPLE`` queries, whatever the size of the table and the number of hashes. Buckets with more than ``BLOCK`` vectors are
 split and the queries go to every part, so a hot bucket is many tasks. Each part answers with
 its nearest vectors by cosine in double precision, and the best of all parts are returned.
 """
@@ -22,7 +23,9 @@ from brandsieve.llm.tables import cut
 NEAREST = 5
 EVERY = 50
 TABLES = 12
-PROBES = 10
+#: Queries whose true neighbours are found to set the probes, what share of these the probes
+#: have to reach, and the most probes before a hash less is joined.
+SAMPLE, RECALL, MOST_PROBES = 128, 0.96, 1024
 #: Vectors a bucket should hold; sets how many hashes a table joins.
 BUCKET = 1000
 BLOCK = 4096
@@ -132,8 +135,39 @@ def _answer(batches: Iterator[pd.DataFrame], kind: str, k: int) -> Iterator[pd.D
                 yield from _nearest(rows, ids[0], vectors[0], kind, k)
 
 
+def _first_probes(pairs: list, vectors: dict[int, np.ndarray], tables: int, hashes: int) -> np.ndarray:
+    """For each pair (query, neighbour): the number of probes with which some table finds it."""
+    first = np.full(len(pairs), np.iinfo(np.int64).max)
+    dims = np.array([len(vectors[a]) for a, _ in pairs])
+    for dim in np.unique(dims):
+        which = np.flatnonzero(dims == dim)
+        asked, found = (np.stack([vectors[pairs[i][side]] for i in which]) for side in (0, 1))
+        for table in range(tables):
+            codes_asked = codes(asked, table, hashes, MOST_PROBES)
+            hit = codes_asked == codes(found, table, hashes, 1)
+            first[which] = np.minimum(first[which], np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, first[which]))
+    return first
+
+
+def fitted(pairs: list, vectors: dict[int, np.ndarray], tables: int, hashes: int, at_most: bool) -> tuple[int, int]:
+    """(hashes, probes) that find ``RECALL`` of the pairs; fewer hashes, if ``at_most``, where
+    more than ``MOST_PROBES`` would be needed. One hash with all its axes finds every pair."""
+    if not pairs:
+        return hashes, 1
+    while True:
+        needed = int(np.sort(_first_probes(pairs, vectors, tables, hashes))[math.ceil(RECALL * len(pairs)) - 1])
+        if needed <= MOST_PROBES or hashes == 1 or not at_most:
+            return hashes, min(needed, MOST_PROBES)
+        hashes -= 1
+
+
 def nearest(
-    table: DataFrame, k: int = NEAREST, every: int = EVERY, tables: int = TABLES, probes: int = PROBES, hashes: int | None = None
+    table: DataFrame,
+    k: int = NEAREST,
+    every: int = EVERY,
+    tables: int = TABLES,
+    probes: int | None = None,
+    hashes: int | None = None,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every vec_id divisible by ``every``.
 
@@ -141,8 +175,9 @@ def nearest(
     hold null or non-finite components, and rows without an id, take no part; vectors of
     different lengths never meet. Of repeated rows one answers. Ties go to the smaller id.
     A query whose buckets hold fewer than ``k`` others is compared with all vectors in blocks,
-    so it gets fewer rows only if there are no more. ``hashes`` (joined in a table, ``probes``
-    to their power buckets visited) follows from the number of vectors.
+    so it gets fewer rows only if there are no more. ``hashes`` (joined in a table) follows from
+    the number of vectors, ``probes`` (buckets that a query visits in a table) from the true
+    neighbours of the ``SAMPLE`` queries with the smallest hashes of their ids.
     """
     element = getattr(table.schema["embedding"].dataType, "elementType", None)
     kind, number = ("<f4", "float") if isinstance(element, FloatType) else ("<f8", "double")
@@ -162,15 +197,50 @@ def nearest(
         .select("vec_id", F.size("embedding").alias("dim"), F.pandas_udf(packed, BinaryType())("embedding").alias("vector"))
     )
     count, widest = rows.agg(F.count("*"), F.max("dim")).first()
-    if hashes is None:
+    at_most = hashes is None
+    if at_most:
         axes = 2 << max(0, (widest or 1) - 1).bit_length()
         hashes = max(1, round(math.log(max(1, count / BUCKET)) / math.log(axes)))
-    probes = probes**hashes
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def answered(parts: DataFrame) -> DataFrame:
+        return (
+            parts.repartition(*_KEYS)
+            .sortWithinPartitions(*_KEYS, "asks")
+            .mapInPandas(lambda it: _answer(it, kind, k), "query_id long, vec_id long, score double")
+            .groupBy("query_id", "vec_id")
+            .agg(F.max("score").alias("score"))
+            .withColumn("rank", F.row_number().over(best))
+            .where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score")
+        )
+
+    last = max(1, -(-count // BLOCK)) - 1
+    everywhere = [F.lit(-1).alias("t"), F.lit(0).cast("long").alias("code")]
+
+    def compared(some: DataFrame) -> DataFrame:
+        """The queries against all vectors, in blocks."""
+        block = F.pmod(F.xxhash64("vec_id"), F.lit(last + 1)).cast("int").alias("block")
+        blocks = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block")
+        return answered(
+            rows.select("dim", *everywhere, block, F.lit(0).alias("asks"), "vec_id", "vector").unionByName(
+                some.select("dim", *everywhere, blocks, F.lit(1).alias("asks"), "vec_id", "vector")
+            )
+        )
+
+    queries = rows.where(F.col("vec_id") % every == 0)
+    if probes is None:
+        sample = cut(queries.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE))
+        pairs = [(r["query_id"], r["vec_id"]) for r in compared(sample).collect()]
+        ids = table.sparkSession.createDataFrame([(i,) for i in {i for pair in pairs for i in pair}], "vec_id long")
+        held = rows.join(F.broadcast(ids), "vec_id").dropDuplicates(["vec_id"]).collect()
+        vectors = {r["vec_id"]: np.frombuffer(r["vector"], kind).astype("f8") for r in held}
+        vectors = {i: v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for i, v in vectors.items()}
+        pairs = [(a, b) for a, b in pairs if len(vectors[a]) == len(vectors[b])]
+        hashes, probes = fitted(pairs, vectors, tables, hashes, at_most)
     schema = "dim int, t int, code long, vec_id long, vector binary"
     index = rows.mapInPandas(lambda it: _hashed(it, kind, tables, hashes, 1), schema)
-    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(
-        lambda it: _hashed(it, kind, tables, hashes, probes), schema
-    )
+    asked = queries.mapInPandas(lambda it: _hashed(it, kind, tables, hashes, probes), schema)
     bucket = ["dim", "t", "code"]
     hot = cut(
         index.groupBy(bucket)
@@ -187,30 +257,9 @@ def nearest(
             )
         )
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def answered(parts: DataFrame) -> DataFrame:
-        return (
-            parts.repartition(*_KEYS)
-            .sortWithinPartitions(*_KEYS, "asks")
-            .mapInPandas(lambda it: _answer(it, kind, k), "query_id long, vec_id long, score double")
-            .groupBy("query_id", "vec_id")
-            .agg(F.max("score").alias("score"))
-            .withColumn("rank", F.row_number().over(best))
-            .where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score")
-        )
-
     found = cut(answered(parts))
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-    short = cut(rows.where(F.col("vec_id") % every == 0).join(full, "vec_id", "left_anti"))
+    short = cut(queries.join(full, "vec_id", "left_anti"))
     if not short.limit(1).count():
         return found
-    last = max(1, -(-count // BLOCK)) - 1
-    everywhere = [F.lit(-1).alias("t"), F.lit(0).cast("long").alias("code")]
-    rest = rows.select(
-        "dim", *everywhere, F.pmod(F.xxhash64("vec_id"), F.lit(last + 1)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "vector"
-    ).unionByName(
-        short.select("dim", *everywhere, F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"), F.lit(1).alias("asks"), "vec_id", "vector")
-    )
-    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(answered(rest))
+    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(compared(short))
