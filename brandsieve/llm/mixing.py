@@ -1,11 +1,12 @@
 """Mixing of sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Documents are shuffled by the MD5 of their id. A source's documents, up to three times over,
-queue in that order; each gets the virtual finish time (words of its source up to and with it)
+Documents are shuffled by the MD5 of their id and text; rows with both alike follow each other by
+row number. A source's documents, up to three times over, queue in that order; each gets the virtual finish time (words of its source up to and with it)
 / (target of its source). The queue of all sources is cut where its words reach the budget.
 
 Prefix sums never meet in one task: a source is split by ranges of the MD5 into buckets of
-``BUCKET_ROWS`` documents, whose sums are added first, and the queue's place of cutting is
+``BUCKET_ROWS`` documents (rows with the same id and text by their row numbers too), whose sums
+are added first, and the queue's place of cutting is
 found by two histograms of the finish times, so that a window sees one cell of them only.
 """
 
@@ -27,9 +28,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _place(doc_id: Column) -> Column:
-    """The place in the shuffled order; equal for rows with one doc_id."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def _place(doc_id: Column, text: Column) -> Column:
+    """The place in the shuffled order, another for each row: 32 digits of id and text, 16 of the
+    row. The order of equal rows can't be told from the result."""
+    same = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.concat(F.md5(same.cast("binary")), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -87,29 +90,38 @@ def decide(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
         "target",
         F.shiftright(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * buckets, 32).alias("bucket"),
     )
+    hot = cut(placed.groupBy("source", "bucket").count().where(F.col("count") > 4 * BUCKET_ROWS).select("source", "bucket"))
+    part = F.lit("")
+    if hot.limit(1).count():
+        # many rows with one id and text: parts of at most 4,096 rows, in the order of the places
+        found = same & (F.col("r.bucket") == F.col("s.bucket"))
+        placed = placed.alias("r").join(hot.withColumn("hot", F.lit(True)).alias("s"), found, "left").select("r.*", "hot")
+        part = F.when(F.col("hot"), F.substring("place", 1, 45)).otherwise("")
+    placed = placed.withColumn("part", part)
     before = (
-        placed.groupBy("source", "bucket")
+        placed.groupBy("source", "bucket", "part")
         .agg(F.sum("size").alias("words"))
         .select(
             "source",
             "bucket",
+            "part",
             F.coalesce(
                 F.sum("words").over(
-                    Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+                    Window.partitionBy("source").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
                 ),
                 F.lit(0),
             ).alias("before"),
         )
     )
-    upto = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("place"))
+    upto = F.sum("size").over(Window.partitionBy("source", "bucket", "part").orderBy("place"))
     queued = (
         placed.withColumn("upto", upto)
         .alias("r")
-        .join(before.alias("s"), same & (F.col("r.bucket") == F.col("s.bucket")))
+        .join(before.alias("s"), same & (F.col("r.bucket") == F.col("s.bucket")) & (F.col("r.part") == F.col("s.part")))
         .select("r.source", "place", "size", "source_size", "target", (F.col("upto") + F.col("before")).alias("upto"))
     )
     items = (
-        queued.where("target > 0")
+        queued.where("target > 0 AND size > 0")
         .withColumn("copy", F.explode(F.array(*map(F.lit, _EPOCHS))))
         .withColumn("finish", (F.col("copy") * F.col("source_size") + F.col("upto")) / F.col("target"))
         .withColumn("cell", F.least(F.floor(F.col("finish") * _CELLS), F.lit(_LAST)))
@@ -147,7 +159,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
-        _place(F.col("doc_id")).alias("place"),
+        _place(F.col("doc_id"), F.col("text").cast("string")).alias("place"),
         word_count(F.col("text").cast("string")).alias("size"),
     )
 
@@ -155,9 +167,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken (words in the mix, copies counted).
 
-    Null texts have size 0 and nothing to take; a null source is one of the sources; rows with
-    one doc_id, null included, have one place in the order and are taken together. An empty
-    table gives an empty result.
+    Null texts have size 0 and nothing to take; a null source is one of the sources; rows are
+    taken one by one, those with a null or repeated doc_id too. An empty table gives an empty
+    result.
     """
     rows = cut(_rows(docs))
     return (
@@ -168,12 +180,18 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: every document as often as it is taken (0 to 3 times), all columns."""
+    """The mix itself: every document as often as it is taken (0 to 3 times), all columns.
+
+    Rows are numbered as the table reads (files, written tables); were it read in another order,
+    only rows with the id and text at which a source is cut could be taken once more or less.
+    """
     decisions = decide(cut(_rows(docs)), weights)
     names = [F.col(f"r.`{c}`") for c in docs.columns]
-    copies = _copies(_place(F.col("r.doc_id")), F.col("s.cuts")).cast("int")
+    place = free_name(docs, "place")
+    copies = _copies(F.col(f"r.{place}"), F.col("s.cuts")).cast("int")
     return (
-        docs.alias("r")
+        docs.withColumn(place, _place(F.col("doc_id"), F.col("text").cast("string")))
+        .alias("r")
         .join(decisions.alias("s"), F.col("r.source").cast("string").eqNullSafe(F.col("s.source")))
         .select(*names, F.explode(F.array_repeat(F.lit(1), copies)).alias(free_name(docs, "copy")))
         .select(docs.columns)
@@ -182,7 +200,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
 ORACLE = """
 WITH rows AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
+  SELECT doc_id, source,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')))
+           || lpad(CAST(row_number() OVER (PARTITION BY doc_id, text) AS VARCHAR), 16, '0') AS place,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
@@ -207,7 +227,7 @@ queue AS (
   SELECT source, place, size, copy,
          sum(size) OVER (ORDER BY (copy * source_size + upto) / target, place, copy)
            <= (SELECT sum(size) FROM rows) AS taken
-  FROM queued, (SELECT unnest([0, 1, 2]) AS copy) WHERE target > 0),
+  FROM queued, (SELECT unnest([0, 1, 2]) AS copy) WHERE target > 0 AND size > 0),
 cuts AS (SELECT source, copy, max(place) AS place FROM queue WHERE taken GROUP BY ALL)
 SELECT q.doc_id, CAST(q.size AS BIGINT) AS size, q.source_size, CAST(q.target AS DOUBLE) AS target,
        CAST(q.size * (SELECT count(*) FROM cuts c
