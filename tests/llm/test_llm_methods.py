@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -27,6 +28,7 @@ from brandsieve.llm import (
     quality,
     queries,
     secret_scan,
+    similar,
     simhash,
     token_counts,
 )
@@ -218,6 +220,27 @@ def test_secrets_in_context_and_clean_texts():
     assert found == [("kJ8#mQ2!vX", "guess"), ("x9$Lq!72zP", "guess")]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("pwd: qkzvwpxjrtmbnhgd", "qkzvwpxjrtmbnhgd"),
+        ("auth=qkzv-wpxj-rtmb-nhgd", "qkzv-wpxj-rtmb-nhgd"),
+        ("Authorization: Bearer abC9xQ2zLm8kTr5w", "abC9xQ2zLm8kTr5w"),
+        ("send it with Bearer abC9xQ2zLm8kTr5w.", "abC9xQ2zLm8kTr5w"),
+        ('secret: "correct 7Horse! battery"', "correct 7Horse! battery"),
+        ("pwd = 839175026417395", "839175026417395"),
+        ("the bearer understands the responsibility", None),
+        ("auth: kubernetes/service/account/token-reviewer", None),
+        ('secret: "we all went home early today"', None),
+        ("passphrase: Internationalization", None),
+        ('"token": "' + "word 7x! " * 40_000 + '"', None),
+    ],
+)
+def test_values_that_only_the_guess_cost_tells(text, value):
+    found = [text[a:b] for a, b, kind in secret_scan.find_secrets(text) if kind == "guess"]
+    assert found == ([value] if value else [])
+
+
 # --- language model ---
 
 
@@ -269,14 +292,15 @@ def test_language_model(docs, texts, shard):
 # --- nearest neighbours ---
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("hashes", [None, 1, 2])
+def test_neighbours(spark, hashes):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = table.collect()
     ids = np.array([r["vec_id"] for r in rows])
     vectors = np.array([r["embedding"] for r in rows])
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     found = defaultdict(list)
-    for r in neighbours.nearest(table).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(table, hashes=hashes).orderBy("query_id", "rank").collect():
         found[r["query_id"]].append(r)
     hits = wanted = 0
     for at in np.flatnonzero(ids % 50 == 0):
@@ -292,6 +316,16 @@ def test_neighbours(spark):
     assert hits >= 0.9 * wanted
 
 
+def test_fewer_hashes_where_the_neighbours_are_far():
+    rng = np.random.default_rng(3)
+    vectors = dict(enumerate(rng.normal(size=(60, 64))))
+    pairs = [(i, i + 30) for i in range(30)]  # no nearer than chance
+    assert neighbours.fitted(pairs, vectors, 2, 2, True)[0] == 1
+    assert neighbours.fitted(pairs, vectors, 2, 2, False) == (2, neighbours.MOST_PROBES)
+    assert neighbours.fitted([], {}, 12, 2, True) == (2, 1)
+    assert neighbours.fitted([(i, i) for i in range(30)], vectors, 2, 2, True) == (2, 1)
+
+
 def test_hot_buckets_are_split_and_ties_kept(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(100)] + [(100 + i, [float(i), 1.0, -1.0]) for i in range(40)]
@@ -323,6 +357,27 @@ def test_mix_reaches_the_targets(spark):
     assert again.sort_values("doc_id")["taken"].tolist() == rows.sort_values("doc_id")["taken"].tolist()
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+@pytest.mark.parametrize("bucket", [8, mixing.BUCKET_ROWS])
+def test_mix_takes_rows_of_one_id_one_by_one(spark, monkeypatch, same_text, bucket):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+    text = " ".join(["w"] * 25)
+    ids = [None if i % 3 == 0 else (7 if i % 3 == 1 else i) for i in range(1500)]
+    rows = [(i, "a", text if same_text else f"{text} {at}") for at, i in enumerate(ids)]
+    rows += [(10_000 + i, "b", "b " * 90) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = mixing.shares(table).toPandas()
+    for _, part in got.groupby("source_size"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 2 * 90
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "source", "text"]).astype({"doc_id": "Int64"}))
+    wanted = con.execute(mixing.ORACLE).fetchdf()
+    columns = ["doc_id", "size", "source_size", "taken"]
+    as_counts = lambda frame: Counter(frame[columns].fillna(-1).astype("int64").itertuples(index=False, name=None))
+    assert as_counts(got) == as_counts(wanted)
+    assert mixing.mix(table).agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == got["taken"].sum()
+
+
 def test_capped_targets(spark):
     sizes = spark.createDataFrame([("a", 1, 10), ("b", 1, 500), ("c", 1, 400), (None, 1, 90)], "source string, n long, source_size long")
     found = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -523,6 +578,26 @@ def slow_similar(texts):
     return np.array([find(i) for i in range(len(texts))])
 
 
+def test_pairs_among_pages_of_one_template(spark):
+    """300 pairs of five-word similarity above 0.8 among pages that are less similar to all others."""
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(110)]
+
+    def page(own):
+        return " ".join([*template[:55], *own, *template[55:]])
+
+    texts = []
+    for _ in range(300):
+        own = [f"o{rng.randrange(1 << 40)}" for _ in range(10)]
+        texts += [page(own), page(own[:5] + [f"p{rng.randrange(1 << 40)}" for _ in range(5)])]
+    texts += [page([f"q{i}" for i in range(9)] + [f"z{k}"]) for i in [0] for k in range(60)]  # near copies
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(table).collect()}
+    wanted = slow_similar(texts)
+    assert len(set(wanted)) == 301
+    assert [got[i] for i in range(len(texts))] == wanted.tolist()
+
+
 def test_pipeline_stages(spark, docs, sf_dir, tmp_path):
     """Each stage against a direct version of its decision, on all that the one before kept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
