@@ -1,23 +1,24 @@
 """Scores of texts under a smoothed bigram model held in Elias-Fano tries.
 
-P1(w) = (c(w) + 1) / (N + V + 1) and P2(w | v) = (c(v w) + m(v) P1(w)) / (c(v) + m(v)): a
-Dirichlet prior of m(v) words. The logarithm splits into a part for the pair and one for v, and
-each needs only the counts around one word. So every occurrence goes to the shard of its word,
-with the word before it, once: the shard counts its training pairs, builds its trie and scores
-its occurrences. No table of the model is sent to all tasks, and nothing is pruned. The sums of
-a chunk of documents come back from the shards as one row each.
-
-Words above ``FREQUENT`` of all tokens, or above an eighth of a shard, are listed with their
-counts (at most 2,000, or eight a shard). The pairs of a listed word are dealt to all shards by
-the word before; its own count is known from the list. Pairs above an eighth of a shard are
-listed as well, and their occurrences are dealt to all shards by chunk. Equal occurrences in one
-document travel as one entry with their number.
+P1(w) = (c(w) + 1) / (N + V + 1) and P2(w | v) = (c(v w) + m P1(w)) / (c(v) + m): a Dirichlet
+prior of m words, the same m for every word. The logarithm splits into a part for the pair and
+one for v, and each needs only the counts around one word. So every occurrence goes to the shard
+of its word, with the word before it, once: the shard counts its training pairs, builds its trie,
+maps its levels and scores its occurrences. No table of the model is sent to all tasks, and
+nothing is pruned. The sums of a chunk of documents come back from the shards as one row each.
+
+How occurrences are routed has no part in any score. Words above an eighth of a shard, in all
+rows, held out or not, are listed with their training counts (at most eight a shard). The pairs
+of a listed word are dealt to all shards by the word before; its own count is known from the
+list. Pairs above an eighth of a shard are listed as well, and their occurrences are dealt to all
+shards by chunk. Equal occurrences in one document travel as one entry with their number.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,9 +35,8 @@ from brandsieve.session import new_path
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of a shard.
 SHARD = 4_000_000
-FREQUENT = 1 / 2000
-#: m(v) of words that are not listed, and the power of the count for those that are.
-PRIOR, PRIOR_POWER = 1000.0, 0.9
+#: m, in words.
+PRIOR = 100.0
 #: Characters of text that are routed together.
 _CHUNK = 16_000_000
 
@@ -55,17 +55,19 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        counts: Counter[bytes] = Counter()
-        for text in batch["text"]:
-            counts.update(split_words(text))
-        words = np.array([*map(word_hash, counts), END], np.uint64)
-        yield pd.DataFrame({"word": _signed(words), "n": np.array([*counts.values(), len(batch)], np.int64)})
+        for held, rows in batch.groupby("held_out"):
+            counts: Counter[bytes] = Counter()
+            for text in rows["text"]:
+                counts.update(split_words(text))
+            words = np.array([*map(word_hash, counts), END], np.uint64)
+            n = np.array([*counts.values(), len(rows)], np.int64)
+            yield pd.DataFrame({"word": _signed(words), "n": n, "train": n * (not held)})
 
 
 def _pair_counts(batches: Iterator[pd.DataFrame], hot: set[int]) -> Iterator[pd.DataFrame]:
     """Counts of those pairs both of whose words are in ``hot``."""
     known: dict[bytes, int] = {}
-    for batch in batches:
+    for batch in (rows for batch in batches for _, rows in batch.groupby("held_out")):
         counts: Counter[tuple[int, int]] = Counter()
         for text in batch["text"]:
             words = split_words(text)
@@ -79,7 +81,8 @@ def _pair_counts(batches: Iterator[pd.DataFrame], hot: set[int]) -> Iterator[pd.
         found = [(v, w, n) for (v, w), n in counts.items() if v in hot and w in hot]
         before, word = np.array([x[:2] for x in found], np.uint64).reshape(-1, 2).T.copy()
         n = np.array([x[2] for x in found], np.int64)
-        yield pd.DataFrame({"before": _signed(before), "word": _signed(word), "n": n})
+        train = n * (not batch["held_out"].iloc[0])
+        yield pd.DataFrame({"before": _signed(before), "word": _signed(word), "n": n, "train": train})
 
 
 class Trie:
@@ -88,7 +91,8 @@ class Trie:
     Words and contexts are ascending hashes; the children of word i are the ranks of their
     contexts plus i times the number of contexts, which makes level 2 ascending as well, and
     pointers say where each word's children begin. All are Elias-Fano coded. A score is one
-    byte, the next lower step of 256 that divide the range of the scores evenly.
+    byte, the next lower step of 256 that divide the range of the scores evenly. All levels lie
+    in one file that the task maps.
     """
 
     def __init__(self, words: EliasFano, contexts: EliasFano, pointers: EliasFano, children: EliasFano, codes: np.ndarray, ladder: np.ndarray):
@@ -114,34 +118,63 @@ class Trie:
 
     @property
     def nbytes(self) -> int:
-        levels = (self.words, self.contexts, self.pointers, self.children, self.codes, self.ladder)
-        return sum(x.nbytes for x in levels)
-
-    def score(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """The stored score of each (word, context before it), NaN where there is none.
-
-        The context's rank relative to its word's children is searched by successor."""
-        word, known = self.words.find(words)
-        rank, seen = self.contexts.find(contexts)
-        out = np.full(len(words), np.nan)
-        asked = np.flatnonzero(known & seen)
-        word, rank = word[asked], rank[asked]
-        at, found = self.children.find(word * max(1, len(self.contexts)) + rank)
-        inside = (at >= self.pointers.access(word).astype(np.int64)) & (at < self.pointers.access(word + 1).astype(np.int64))
-        hit = found & inside
-        out[asked[hit]] = self.ladder[self.codes[at[hit]]]
-        return out
+        coded = (self.words, self.contexts, self.pointers, self.children)
+        return sum(x.nbytes for x in coded) + self.codes.nbytes + self.ladder.nbytes
+
+    def mapped(self) -> Trie:
+        """The same trie over a mapped file without a name, which goes with the last level."""
+        coded = (self.words, self.contexts, self.pointers, self.children)
+        arrays = [*(x for c in coded for x in c.levels), self.codes]
+        places = []
+        with tempfile.TemporaryFile() as file:
+            for array in arrays:
+                places.append(file.tell())
+                array.tofile(file)
+                file.write(bytes(-file.tell() % 8))
+            file.write(bytes(8))  # an empty file can't be mapped
+            file.flush()
+            whole = np.asarray(np.memmap(file, np.uint8, "r"))
+        levels = iter([whole[at : at + x.nbytes].view(x.dtype) for at, x in zip(places, arrays)])
+        return Trie(*(c.mapped(levels) for c in coded), next(levels), self.ladder)
+
+    def score(self, words: np.ndarray, contexts: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """The stored score of each (words[word], contexts[context] before it), NaN where there
+        is none.
+
+        The context's rank is searched between the pointers of its word. Equal neighbours are
+        searched once."""
+        out = np.full(len(word), np.nan)
+        if not len(word):
+            return out
+        new = np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])]
+        once, (place, known), (rank, seen) = np.flatnonzero(new), self.words.find(words), self.contexts.find(contexts)
+        begin, end = (self.pointers.access(np.where(known, place + i, 0)).astype(np.int64) for i in (0, 1))
+        w, c = word[once], context[once]
+        asked = np.flatnonzero(known[w] & seen[c])
+        w, c = w[asked], c[asked]
+        at, hit = self.children.find(place[w] * max(1, len(self.contexts)) + rank[c], begin[w], end[w])
+        found = np.full(len(once), np.nan)
+        found[asked[hit]] = self.ladder[self.codes[at[hit]]]
+        return found[np.cumsum(new) - 1]
 
 
 class Listed:
-    """Counts of the listed words and pairs (before, word) by hash, and the sizes of the training
-    text."""
-
-    def __init__(self, counts: dict[int, int], tokens: int, words: int, pairs: dict[tuple[int, int], int]):
+    """Training counts of the listed words and pairs (before, word) by hash, how often documents
+    begin in the training text, its sizes, and all tokens, held out or not."""
+
+    def __init__(
+        self,
+        counts: dict[int, int],
+        tokens: int,
+        words: int,
+        pairs: dict[tuple[int, int], int],
+        all_tokens: int,
+        prior: float = PRIOR,
+    ):
         order = sorted(counts)
         self.hashes = np.array(order, np.uint64)
         self.counts = np.array([counts[h] for h in order], np.int64)
-        self.tokens, self.words = tokens, words
+        self.tokens, self.words, self.all_tokens, self.prior = tokens, words, all_tokens, prior
         self.pairs = np.array([*pairs], np.uint64).reshape(-1, 2)
         self.pair_counts = np.array([*pairs.values()], np.int64)
 
@@ -163,11 +196,6 @@ class Listed:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.counts[at], -1)
 
-    def prior(self, hashes: np.ndarray) -> np.ndarray:
-        """m(v)."""
-        counts = self.count(hashes)
-        return np.where(counts >= 0, np.maximum(counts, 1).astype(float) ** PRIOR_POWER, PRIOR)
-
 
 class Part(NamedTuple):
     """Occurrences that one chunk of documents sends to one shard, by word; equal ones of a
@@ -286,7 +314,8 @@ def _score(group: pd.DataFrame, listed: Listed) -> pd.DataFrame:
     numbers, amounts = np.concatenate(numbers), np.concatenate(amounts)
     if len(pairs):
         other = ~np.isin(numbers, pairs)
-        numbers, amounts = np.r_[numbers[other], pairs], np.r_[amounts[other], times]
+        seen = times > 0
+        numbers, amounts = np.r_[numbers[other], pairs[seen]], np.r_[amounts[other], times[seen]]
     order = np.argsort(numbers)
     numbers, amounts = numbers[order], amounts[order]
     del order
@@ -298,17 +327,18 @@ def _score(group: pd.DataFrame, listed: Listed) -> pd.DataFrame:
     known = listed.count(words)
     counts = np.where(known >= 0, known, counts)
     single = (counts + 1) / (listed.tokens + listed.words + 1)
-    prior = listed.prior(contexts)
-    trie = Trie.build(words, contexts, pairs, np.log10(times + prior[pairs % n] * single[pairs // n]))
+    weight = listed.prior * single
+    trie = Trie.build(words, contexts, pairs, np.log10(times + weight[pairs // n])).mapped()
     del pairs, times
     # every token but the end is the context of the next one
-    as_context = np.where(words == END, 0.0, np.log10(counts + listed.prior(words)))
-    base, seen = np.log10(counts + 1.0), counts > 0
+    as_context = np.where(words == END, 0.0, np.log10(counts + listed.prior))
+    base, unseen, seen = np.log10(counts + 1.0), np.log10(weight), counts > 0
     out = []
     for part in parts:
-        word, context = unpacked(part)
-        stored = trie.score(words[word], contexts[context])
-        model = np.where(np.isnan(stored), np.log10(prior[context] * single[word]), stored) - as_context[word]
+        own = np.repeat(np.arange(len(part.words)), part.times)
+        word = np.searchsorted(words, part.words)[own]
+        stored = trie.score(part.words, part.contexts, own, part.context)
+        model = np.where(np.isnan(stored), unseen[word], stored) - as_context[word]
         docs = len(part.docs)
         sums = Sums(
             part.docs,
@@ -345,38 +375,45 @@ def _gathered(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def listed_words(train: DataFrame, shard: int = SHARD) -> Listed:
-    """Word counts of the training texts (column text), reduced to totals and the listed words
+def listed_words(rows: DataFrame, shard: int = SHARD, prior: float = PRIOR) -> Listed:
+    """Word counts of the texts (columns text, held_out), reduced to totals and the listed words
     and pairs. A pair above an eighth of a shard has two words above it."""
-    path = new_path(train.sparkSession, "word-counts")
-    train.mapInPandas(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
-    counts = train.sparkSession.read.parquet(path)
-    tokens, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = min(tokens * FREQUENT, shard / 8)
-    listed = {r["word"] % (1 << 64): r["n"] for r in counts.where(F.col("n") > least).collect()}
-    documents = counts.where(F.col("word") == int(_signed(np.array([END], np.uint64))[0])).select("n").first()
-    remove(train.sparkSession, path)
-    listed[START] = documents["n"] if documents else 0
-    hot = {h for h, n in listed.items() if n > shard / 8}
+    spark, texts = rows.sparkSession, rows.select("text", "held_out")
+    path = new_path(spark, "word-counts")
+    sums = [F.sum("n").alias("n"), F.sum("train").alias("train")]
+    texts.mapInPandas(_counts, "word long, n long, train long").groupBy("word").agg(*sums).write.parquet(path)
+    counts = spark.read.parquet(path)
+    all_tokens, tokens, words = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)
+    ).first()
+    often = counts.where(F.col("n") > shard / 8).collect()
+    listed = {r["word"] % (1 << 64): r["train"] for r in often}
+    hot = set(listed)
+    documents = counts.where(F.col("word") == int(_signed(np.array([END], np.uint64))[0])).select("n", "train").first()
+    remove(spark, path)
+    listed[START] = documents["train"] if documents else 0
+    if documents and documents["n"] > shard / 8:
+        hot.add(START)
     pairs = {}
-    if tokens > shard and hot:  # at most eight words and eight pairs a shard
-        shared = train.sparkSession.sparkContext.broadcast(hot)
+    if all_tokens > shard and hot:  # at most eight words and eight pairs a shard
+        shared = spark.sparkContext.broadcast(hot)
         found = (
-            train.mapInPandas(lambda it: _pair_counts(it, shared.value), "before long, word long, n long")
+            texts.mapInPandas(lambda it: _pair_counts(it, shared.value), "before long, word long, n long, train long")
             .groupBy("before", "word")
-            .agg(F.sum("n").alias("n"))
+            .agg(*sums)
             .where(F.col("n") > shard / 8)
         )
-        pairs = {(r["before"] % (1 << 64), r["word"] % (1 << 64)): r["n"] for r in found.collect()}
-    return Listed(listed, tokens, words, pairs)
+        pairs = {(r["before"] % (1 << 64), r["word"] % (1 << 64)): r["train"] for r in found.collect()}
+    return Listed(listed, tokens, words, pairs, all_tokens, prior)
 
 
-def score_texts(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+def score_texts(docs: DataFrame, shard: int = SHARD, prior: float = PRIOR) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that are not held out; rows with a null doc_id never are. Null texts
     are empty: one token, the end. Repeated rows are scored, and learnt from, once each.
-    Without training rows every token is unknown. Other columns are ignored.
+    Without training rows every token is unknown. Other columns are ignored. ``shard`` bounds
+    what a task holds and changes scores by their quantising only.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -384,12 +421,13 @@ def score_texts(docs: DataFrame, shard: int = SHARD) -> DataFrame:
         in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    listed = listed_words(rows.where("not held_out").select("text"), shard)
+    listed = listed_words(rows, shard, prior)
     shared = spark.sparkContext.broadcast(listed)
-    shards = max(1, math.ceil(listed.tokens / shard))
+    shards = max(1, math.ceil(listed.all_tokens / shard))
     scored = (
         rows.withColumn("row", F.monotonically_increasing_id())
         .mapInPandas(lambda it: _route(it, shared.value, shards), "shard int, chunk long, occurrences binary")
+        .repartitionById(shards, "shard")  # a shard a task
         .groupBy("shard")
         .applyInPandas(lambda group: _score(group, shared.value), "shard int, chunk long, sums binary")
         .groupBy("chunk")
@@ -398,7 +436,7 @@ def score_texts(docs: DataFrame, shard: int = SHARD) -> DataFrame:
         )
     )
     start = np.array([START], np.uint64)
-    opening = float(np.log10(listed.count(start) + listed.prior(start))[0])
+    opening = math.log10(int(listed.count(start)[0]) + prior)
     return scored.select(
         "doc_id",
         "held_out",

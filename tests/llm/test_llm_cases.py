@@ -202,7 +202,7 @@ def test_a_common_pair_is_dealt_over_the_shards(spark):
     rng = random.Random(5)
     rows = [(i, "x " * 300 if i % 40 == 0 else " ".join(["a b", *rng.choices("cdefghijklm", k=3)] * 6)) for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    listed = language_model.listed_words(docs.select("text"), 2000)
+    listed = language_model.listed_words(docs.withColumn("held_out", F.lit(False)), 2000)
     tokens, words, pairs = Counter(), set(), Counter()
     for _, text in rows:
         own = [*text.split(), None]
@@ -217,6 +217,9 @@ def test_a_common_pair_is_dealt_over_the_shards(spark):
             entries[shard] += len(part.place)
             number += int(part.number.sum())
     assert number == sum(tokens.values()) and max(entries.values()) < sum(entries.values()) / 4
+    only_held = language_model.listed_words(docs.withColumn("held_out", F.lit(True)), 2000)
+    assert (only_held.hashes == listed.hashes).all() and not only_held.counts.any()  # listed all the same
+    assert len(only_held.pairs) == len(listed.pairs) and not only_held.pair_counts.any() and only_held.tokens == 0
 
     held = {r["doc_id"] for r in docs.where(in_fold(F.col("doc_id"), 7, 2)).collect()}
     small, large = by_id(language_model.score_texts(docs, 2000)), by_id(language_model.score_texts(docs, 2000 * 100))

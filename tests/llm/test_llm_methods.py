@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import mmap
 import random
 import re
 import zlib
@@ -255,6 +256,11 @@ def test_elias_fano(universe):
         assert (coded.successor(targets) == np.searchsorted(values, targets)).all()
         at, found = coded.find(targets)
         assert (found == np.isin(targets, values)).all()
+        start, stop = np.sort(rng.integers(0, n + 1, (2, len(targets))), axis=0)
+        at, found = coded.find(targets, start, stop)
+        for t, a, f, x, y in zip(targets, at, found, start, stop):
+            assert a == x + np.searchsorted(values[x:y], t) and f == (t in values[x:y])
+        assert (EliasFano(*coded.levels, coded.shift).access(np.arange(n)) == values).all()
 
 
 @pytest.mark.parametrize("shard", [20_000, language_model.SHARD])
@@ -266,18 +272,14 @@ def test_language_model(docs, texts, shard):
         words.update(tokens[i])
         pairs.update(zip(["start", *tokens[i]], tokens[i]))
     n, v = sum(words.values()), len(words)
-    before = {**words, "start": len(train)}
-    listed = {w for w in words if words[w] > min(n / 2000, shard / 8)} | {"start"}
-
-    def prior(w):
-        return before[w] ** 0.9 if w in listed else 1000.0
+    before, prior = {**words, "start": len(train)}, language_model.PRIOR
 
     total = Counter()
     for row in language_model.score_texts(docs, shard).collect():
         own = tokens[row["doc_id"]]
         base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in own)
         exact = sum(
-            math.log10((pairs[u, w] + prior(u) * (words[w] + 1) / (n + v + 1)) / (before.get(u, 0) + prior(u)))
+            math.log10((pairs[u, w] + prior * (words[w] + 1) / (n + v + 1)) / (before.get(u, 0) + prior))
             for u, w in zip(["start", *own], own)
         )
         assert row["held_out"] == (row["doc_id"] not in set(train))
@@ -289,6 +291,34 @@ def test_language_model(docs, texts, shard):
     assert total["model"] < total["base"]
 
 
+def test_trie_levels_are_mapped_and_searched_below_their_word():
+    rng = np.random.default_rng(3)
+    words, contexts = (np.unique(rng.integers(0, 1 << 64, k, dtype=np.uint64)) for k in (300, 900))
+    pairs = np.unique(rng.integers(0, 300 * 900, 20_000))
+    scores = rng.normal(size=len(pairs))
+    trie = language_model.Trie.build(words, contexts, pairs, scores)
+    mapped = trie.mapped()
+    assert trie.nbytes == mapped.nbytes < 8 * len(pairs)
+
+    def is_mapped(array):
+        while array is not None and not isinstance(array, mmap.mmap):
+            array = getattr(array, "base", None)
+        return array is not None
+
+    assert all(is_mapped(x) for c in (mapped.words, mapped.contexts, mapped.pointers, mapped.children) for x in c.levels)
+    held = dict(zip(pairs.tolist(), scores))
+    own_words, own_contexts = np.r_[words[::2], np.uint64(5)], np.r_[contexts[::-3], np.uint64(7)]
+    word, context = np.sort(rng.integers(0, len(own_words), 30_000)), rng.integers(0, len(own_contexts), 30_000)
+    places, ranks = {w: i for i, w in enumerate(words.tolist())}, {c: i for i, c in enumerate(contexts.tolist())}
+    for w, c, found in zip(word, context, mapped.score(own_words, own_contexts, word, context)):
+        i, j = places.get(int(own_words[w])), ranks.get(int(own_contexts[c]))
+        score = held.get(i * len(contexts) + j) if i is not None and j is not None else None
+        assert np.isnan(found) if score is None else 0 <= score - found < 0.05
+    assert not len(mapped.score(own_words, own_contexts, word[:0], context[:0]))
+    empty = language_model.Trie.build(words[:0], contexts[:0], pairs[:0], scores[:0]).mapped()
+    assert np.isnan(empty.score(words, contexts, np.arange(9), np.arange(9))).all()
+
+
 # --- nearest neighbours ---
 
 
