@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brandsieve import fixed_values as V
@@ -162,6 +162,36 @@ def pad_tokens(df: DataFrame, *, multiple: int = 8, pad_id: int = 0, ignore_id:
     )
 
 
+def token_batches(
+    df: DataFrame, id_col: str, *, max_tokens: int = 8192, multiple: int = 8, slot_rows: int = 50_000, pad_id: int = 0, ignore_id: int = -100
+) -> DataFrame:
+    """Padded training batches of rows with input_ids: one row per batch, with bucket, slot, batch, ids and the
+    padded input_ids, attention_mask and labels.
+
+    A batch holds sequences of one bucket, the length rounded up to ``multiple``, so all are padded to
+    its longest and no further; it has at most ``max_tokens`` of them, padding included (a longer
+    sequence is a batch alone). Within a bucket rows are dealt by id to slots of about ``slot_rows``, so a
+    bucket with most of the rows, as truncation makes one, is no single task; each slot numbers its own
+    batches. One shuffle: a window and a grouping by the same keys.
+    """
+    size = F.size("input_ids")
+    slots = F.greatest(F.lit(1), F.ceil(df.agg(F.count(F.lit(1)).alias("n")).scalar() / slot_rows))
+    dealt = pad_tokens(df.select(id_col, "input_ids", "attention_mask", "labels", size.alias("n_tokens")), multiple=multiple, pad_id=pad_id, ignore_id=ignore_id)
+    dealt = dealt.withColumn("slot", F.floor(hash_fraction(F.col(id_col), "slot") * slots).cast("int"))
+    place = F.row_number().over(Window.partitionBy("bucket", "slot").orderBy(id_col)) - 1
+    rows = F.greatest(F.lit(1), F.floor(F.lit(max_tokens) / F.greatest(F.col("bucket"), F.lit(1))))
+    members = F.array_sort(F.collect_list(F.struct(id_col, "input_ids", "attention_mask", "labels")))
+    return (
+        dealt.withColumn("batch", F.floor(place / rows).cast("int"))
+        .groupBy("bucket", "slot", "batch")
+        .agg(members.alias("members"), F.sum("n_tokens").alias("n_tokens"))
+        .select(
+            "bucket", "slot", "batch", "n_tokens", F.col(f"members.{id_col}").alias("ids"),
+            *[F.col(f"members.{c}").alias(c) for c in ("input_ids", "attention_mask", "labels")],
+        )
+    )
+
+
 def dataset_metadata(df: DataFrame, **options: str | int) -> DataFrame:
     """One row: number of examples and the options the set was made with."""
     literals = [F.lit(v).alias(k) for k, v in options.items()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from brandsieve.functions.gibberish import add_gibberish_rules, add_gibberish_sc
 from brandsieve.functions.text import preview, trim_ws
 from brandsieve.functions.unsafe import add_blocklist_check, add_keyword_check, censored, safe_domains
 from brandsieve.operators import dedup, evaluation, sampling, screening, training
+from brandsieve.operators.answer_table import answer_table, with_answers
 from brandsieve.operators.classifier import add_prediction, train_classifier
 from brandsieve.operators.inference import add_model_output, load_stub, predict_stub
 from brandsieve.plans import views
@@ -472,6 +474,45 @@ def verdict_requeue(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _judge_stub(model: None, asked: list[str], *, attempt: int) -> list[str]:
+    """Fails as often as the last two bits of the prompt's first digit say, then rates."""
+    keys = [hashlib.md5(p.encode()).hexdigest() for p in asked]
+    reasons = ", ".join(f'"{c}": 0.5' for c in V.CRITERIA)
+    return [
+        f'{{"domain": "x", "score": 0.{int(k[1], 16) % 10}, "reasons": {{{reasons}}}}}' if attempt > int(k[0], 16) % 4 else "no verdict"
+        for k in keys
+    ]
+
+
+def _asked_again(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A prompt for every domain of every invalid list verdict, and the table of answers."""
+    read = verdicts.add_list_verdict(views.ratings(spark, sf), "list_text")
+    again = read.where(~F.col("valid")).select("entry_id", "description", F.explode("domains").alias("domain"))
+    again = again.withColumn("prompt", prompts.single_judge_prompt(F.col("description"), F.col("domain"))).drop("description")
+    check = partial(verdicts.add_single_verdict, verdict_col="answer")
+    return again, answer_table(again, "prompt", load=load_stub, predict=_judge_stub, check=check)
+
+
+@query
+def verdict_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """What the judge says of each domain that is asked again, within three attempts."""
+    again, answers = _asked_again(spark, sf)
+    rated = verdicts.add_single_verdict(with_answers(again, "prompt", answers, spread_by="entry_id"), "answer")
+    return rated.select(
+        "entry_id", "domain", "valid", F.col("attempts").cast("bigint").alias("attempts"), F.col("rating.score").alias("score")
+    )
+
+
+@query
+def verdict_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of the judge: distinct prompts only, and those without a valid answer again."""
+    again, answers = _asked_again(spark, sf)
+    wanted = again.agg(F.count("*").alias("n")).scalar()
+    return answers.groupBy("attempts", "valid").agg(F.count("*").alias("prompts"), F.sum("attempts").alias("calls")).select(
+        F.col("attempts").cast("bigint").alias("attempts"), "valid", "prompts", "calls", wanted.alias("prompts_wanted")
+    )
+
+
 # --- deduplication -------------------------------------------------------------------------
 
 
@@ -667,6 +708,20 @@ def pad_bucket(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def token_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Size, padding and members of every padded batch."""
+    batches = training.token_batches(_tokens(spark, sf), "doc_id", max_tokens=2048, slot_rows=100)
+    widths = F.transform("labels", lambda x: F.size(x))
+    return batches.select(
+        *[F.col(c).cast("bigint").alias(c) for c in ("bucket", "slot", "batch", "n_tokens")],
+        F.size("ids").cast("bigint").alias("n_rows"),
+        F.aggregate("input_ids", F.lit(0), lambda a, x: a + F.size(x)).cast("bigint").alias("n_padded"),
+        (F.array_min(widths) == F.array_max(widths)).alias("one_width"),
+        F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"),
+    )
+
+
 @query
 def eval_subset(spark: SparkSession, sf: str) -> DataFrame:
     return training.eval_subset(views.training(spark, sf).select("doc_id", "source"), "doc_id")

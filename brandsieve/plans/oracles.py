@@ -632,6 +632,17 @@ def fill(template: str, **values: str) -> str:
 add("verdict_requeue", f"""SELECT entry_id, domain, md5({fill(V.SINGLE_JUDGE_PROMPT, domain='domain', text='description')}) AS prompt_md5
 FROM (SELECT entry_id, description, unnest(domains) AS domain FROM ok WHERE NOT list_valid)""", **_RATING_STEPS)
 
+_AGAIN = {
+    **_RATING_STEPS,
+    "pd": f"""SELECT entry_id, domain, md5({fill(V.SINGLE_JUDGE_PROMPT, domain='domain', text='description')}) AS h
+      FROM (SELECT entry_id, description, unnest(domains) AS domain FROM ok WHERE NOT list_valid)""",
+    "pf": """SELECT *, ('0x' || substr(h, 1, 1))::BIGINT % 4 AS fails FROM pd""",
+}
+add("verdict_answers", """SELECT entry_id, domain, fails < 3 AS valid, least(fails + 1, 3) AS attempts,
+  CASE WHEN fails < 3 THEN ('0x' || substr(h, 2, 1))::BIGINT % 10 / 10.0 ELSE 0 END::DOUBLE AS score FROM pf""", **_AGAIN)
+add("verdict_calls", """SELECT least(fails + 1, 3) AS attempts, fails < 3 AS valid, count(*) AS prompts, CAST(sum(least(fails + 1, 3)) AS BIGINT) AS calls,
+  (SELECT count(*) FROM pf) AS prompts_wanted FROM (SELECT DISTINCT h, fails FROM pf) GROUP BY 1, 2""", **_AGAIN)
+
 # --- deduplication -------------------------------------------------------------------------
 
 _KEY = f"lower({trim('text')})"
@@ -745,6 +756,12 @@ add("token_profile", "SELECT count(*) AS n_rows, " + ", ".join(
 ) + " FROM tk", **_TOK)
 add("pad_bucket", """SELECT doc_id, b AS bucket, b AS n_ids, n AS n_real, b - n AS n_ignored
 FROM (SELECT doc_id, len(t) AS n, (len(t) + 7) // 8 * 8 AS b FROM tk)""", **_TOK)
+add("token_batches", """SELECT b AS bucket, slot, (rn - 1) // r AS batch, CAST(sum(n) AS BIGINT) AS n_tokens, count(*) AS n_rows, count(*) * b AS n_padded,
+  true AS one_width, string_agg(doc_id, ',' ORDER BY doc_id) AS ids
+FROM (SELECT *, row_number() OVER (PARTITION BY b, slot ORDER BY doc_id) AS rn, greatest(1, 2048 // greatest(b, 1)) AS r
+  FROM (SELECT doc_id, len(t) AS n, (len(t) + 7) // 8 * 8 AS b,
+    CAST(floor(('0x' || substr(md5(doc_id || '|slot'), 1, 8))::BIGINT / 4294967296.0 * greatest(1, ceil((SELECT count(*) FROM tk) / 100))) AS BIGINT) AS slot FROM tk))
+GROUP BY b, slot, r, (rn - 1) // r""", **_TOK)
 add("eval_subset", "SELECT doc_id, source FROM v_training ORDER BY doc_id LIMIT 50")
 add("eval_subset_disjoint", """SELECT doc_id, source, CASE WHEN row_number() OVER (ORDER BY doc_id) <= 50 THEN 'eval' ELSE 'train' END AS split
 FROM v_training""")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from brandsieve.functions.candidates import keyword_fallback
+from brandsieve.operators.answer_table import answer_table, with_answers
 from brandsieve.operators.inference import add_model_output, load_stub, predict_stub
 from brandsieve.operators.training import add_tokens
 from brandsieve.plans.generation import generate
@@ -46,6 +47,35 @@ def test_whole_job(spark):
     assert got[1]["error"] == "down" and got[2]["error"] is None
 
 
+def test_prompts_are_asked_once_and_again_until_valid(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def predict(model, prompts, *, attempt, mark):
+        with log.open("a") as f:
+            f.writelines(f"{attempt}{p}\n" for p in prompts)
+        if "down" in prompts:
+            raise RuntimeError("down")
+        return [p + mark if attempt >= len(p) else None for p in prompts]
+
+    def check(df):
+        return df.withColumn("valid", F.col("answer").endswith("!"))
+
+    rows = [(i, p) for i, p in enumerate(["a", "a", "bb", "cccc", None, "a"])]
+    df = spark.createDataFrame(rows, "i int, p string")
+    asked = answer_table(df, "p", load=load_stub, predict=predict, check=check, attempts=3, options={"mark": "!"})
+    got = {r["i"]: r for r in with_answers(df, "p", asked, spread_by="i").collect()}
+    assert len(got) == len(rows) and asked.count() == 3
+    assert [(got[i]["answer"], got[i]["valid"], got[i]["attempts"]) for i in (0, 1, 2, 3, 4)] == [
+        ("a!", True, 1), ("a!", True, 1), ("bb!", True, 2), (None, False, 3), (None, None, None),
+    ]
+    calls = log.read_text().split()
+    assert calls.count("1a") == 1 and "2a" not in calls and calls.count("3cccc") == 1 and "3bb" not in calls
+    down = answer_table(spark.createDataFrame([("down",)], "p string"), "p", load=load_stub, predict=predict, check=check, options={"mark": "!"})
+    assert [tuple(r)[1:] for r in down.collect()] == [(None, "down", False, 3)]
+    none = answer_table(df.limit(0), "p", load=load_stub, predict=predict, check=check, options={"mark": "!"})
+    assert none.count() == 0
+
+
 def test_failed_generator_can_fall_back(spark):
     df = spark.createDataFrame([("Organic coffee",)], "t string")
     assert df.select(keyword_fallback(F.col("t"))).first()[0] == ["organic.com", "coffee.co", "startup2.com"]

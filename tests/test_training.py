@@ -73,6 +73,23 @@ def test_padding(spark):
     assert (empty["bucket"], empty["input_ids"]) == (0, [])
 
 
+def test_batches_are_bounded_and_padded_to_their_longest(spark):
+    words = F.array_join(F.array_repeat(F.lit("w"), (F.col("id") * 7 % 30).cast("int")), " ")
+    df = training.add_tokens(spark.range(400).withColumn("t", words), training.token_ids(F.col("t"), 24), max_length=24)
+    made = training.token_batches(df, "id", max_tokens=64, slot_rows=100)
+    rows = made.collect()
+    assert sorted(i for r in rows for i in r["ids"]) == list(range(400)) and len({r["slot"] for r in rows}) == 4
+    for r in rows:
+        lengths = [min(24, i * 7 % 30) for i in r["ids"]]
+        assert r["n_tokens"] == sum(lengths) and r["ids"] == sorted(r["ids"])
+        assert {len(x) for c in ("input_ids", "attention_mask", "labels") for x in r[c]} == {-(-max(lengths) // 8) * 8}
+        assert [sum(m) for m in r["attention_mask"]] == lengths and len(r["ids"]) * r["bucket"] <= 64
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    alone = training.token_batches(df, "id", max_tokens=10).where("bucket = 24").collect()
+    assert {len(r["ids"]) for r in alone} == {1}
+
+
 def test_first_and_last(spark):
     assert [r["id"] for r in sampling.head(spark.range(100), "id", 3, last=True).collect()] == [99, 98, 97]
 
