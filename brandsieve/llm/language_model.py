@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import pickle
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -66,21 +67,24 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _pair_counts(batches: Iterator[pd.DataFrame], hot: set[int]) -> Iterator[pd.DataFrame]:
     """Counts of those pairs both of whose words are in ``hot``."""
-    known: dict[bytes, int] = {}
+    order = np.array(sorted(hot), np.uint64)
+    index, known = {int(h): i for i, h in enumerate(order)}, {}
+    start, end = index.get(START, -1), index.get(END, -1)
     for batch in (rows for batch in batches for _, rows in batch.groupby("held_out")):
-        counts: Counter[tuple[int, int]] = Counter()
+        places = array("q")
         for text in batch["text"]:
             words = split_words(text)
             for w in set(words).difference(known):
-                h = word_hash(w)
-                known[w] = h if h in hot else -1
-            hashes = [START, *map(known.__getitem__, words), END]
-            counts.update(zip(hashes, hashes[1:]))
+                known[w] = index.get(word_hash(w), -1)
+            places.append(start)
+            places.extend(map(known.__getitem__, words))
+            places.extend((end, -1))  # no pair goes over the end of a document
             if len(known) > 1_000_000:
                 known.clear()
-        found = [(v, w, n) for (v, w), n in counts.items() if v in hot and w in hot]
-        before, word = np.array([x[:2] for x in found], np.uint64).reshape(-1, 2).T.copy()
-        n = np.array([x[2] for x in found], np.int64)
+        flat = np.frombuffer(places, np.int64)
+        both = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+        pairs, n = np.unique(flat[both] * len(order) + flat[both + 1], return_counts=True)
+        before, word = order[pairs // len(order)], order[pairs % len(order)]
         train = n * (not batch["held_out"].iloc[0])
         yield pd.DataFrame({"before": _signed(before), "word": _signed(word), "n": n, "train": train})
 
