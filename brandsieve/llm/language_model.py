@@ -39,7 +39,7 @@ SHARD = 4_000_000
 #: m, in words.
 PRIOR = 100.0
 #: Characters of text that are routed together.
-_CHUNK = 16_000_000
+_CHUNK = 8_000_000
 
 
 def word_hash(word: bytes) -> int:
@@ -79,7 +79,7 @@ def _pair_counts(batches: Iterator[pd.DataFrame], hot: set[int]) -> Iterator[pd.
             places.append(start)
             places.extend(map(known.__getitem__, words))
             places.extend((end, -1))  # no pair goes over the end of a document
-            if len(known) > 1_000_000:
+            if len(known) > 250_000:
                 known.clear()
         flat = np.frombuffer(places, np.int64)
         both = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
