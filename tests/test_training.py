@@ -84,7 +84,8 @@ def test_batches_are_bounded_and_padded_to_their_longest(spark):
         assert r["n_tokens"] == sum(lengths) and r["ids"] == sorted(r["ids"])
         assert {len(x) for c in ("input_ids", "attention_mask", "labels") for x in r[c]} == {-(-max(lengths) // 8) * 8}
         assert [sum(m) for m in r["attention_mask"]] == lengths and len(r["ids"]) * r["bucket"] <= 64
-    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    fresh = training.token_batches(df, "id", max_tokens=64, slot_rows=100)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     alone = training.token_batches(df, "id", max_tokens=10).where("bucket = 24").collect()
     assert {len(r["ids"]) for r in alone} == {1}
