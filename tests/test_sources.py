@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +255,35 @@ def test_late_new_texts_are_kept_apart_over_a_restart(spark, tmp_path):
     got = sorted((r["t"], r["late"]) for r in spark.read.parquet(out).collect())
     # "old" was forgotten in the meantime: it comes again, marked
     assert got == [("Old ", False), ("far", False), ("late new", True), ("new", False), ("no time", False), ("old", True)]
+
+
+def test_texts_share_the_states_of_few_buckets(spark, tmp_path):
+    """Days of random texts against a dictionary of texts; a state is that of a bucket, not of a text."""
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    (tmp_path / "in").mkdir()
+    rng, last, wanted, states = random.Random(3), {}, [], []
+    for day in range(1, 6):
+        rows = []
+        for _ in range(60):
+            age = rng.choice([0, 0, 1, 5, None])
+            time = None if age is None else f"2024-01-{10 + day - age:02d}T00:00:{rng.randrange(60):02d}"
+            rows.append({"t": rng.choice(["Text ", "text"]) + str(rng.randrange(80)), "ts": time, "at": f"2024-01-{10 + day}T00:00:00"})
+        rows += [{"t": None, "ts": None, "at": f"2024-01-{10 + day}T00:00:00"}]
+        first = {}
+        for number, row in enumerate(rows):
+            key = (row["t"] or "").lower()
+            late = row["ts"] is not None and row["ts"] < f"2024-01-{9 + day:02d}T00:00:00"
+            first[key] = min(first.get(key, (True, "9")), (late, row["ts"] or "9", number, row["t"]))
+        for key, (late, time, _, text) in first.items():
+            if day - last.get(key, -9) > 2:  # not known: the clock is a day and an hour behind, a text is kept for a day
+                wanted.append((day, text or "", time, late))
+            last[key] = day
+        write(tmp_path / "in" / f"{day}.json", *map(json.dumps, rows))
+        arriving = read_request_stream(spark, source, "t string, ts timestamp, at timestamp")
+        found = first_and_late(arriving, "t", time_col="ts", arrival_col="at", keep_for_seconds=86_400, buckets=8)
+        run = append_to(found.withColumn("day", F.lit(day)), out, mark, once=True)
+        run.awaitTermination()
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    got = spark.read.parquet(out).collect()
+    assert sorted((r["day"], r["t"] or "", r["ts"].isoformat() if r["ts"] else "9", r["late"]) for r in got) == sorted(wanted)
+    assert any(r["late"] for r in got) and len(got) > 100 and 0 < max(states) <= 8
