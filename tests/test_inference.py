@@ -1,6 +1,9 @@
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from brandsieve.functions.candidates import keyword_fallback
+from brandsieve.functions.text import text_key
+from brandsieve.operators import answer_table as answer_table_module
 from brandsieve.operators.answer_table import answer_table, with_answers
 from brandsieve.operators.inference import add_model_output, load_stub, predict_stub
 from brandsieve.operators.training import add_tokens
@@ -76,6 +79,29 @@ def test_prompts_are_asked_once_and_again_until_valid(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_long_prompts_are_not_sorted(spark, monkeypatch):
+    """Of 30,000 prompts of 2,000 characters, each of them twice, only digests and numbers are grouped."""
+    prompt = F.concat(F.repeat(F.lit("p"), 2000), (F.col("id") % 15_000).cast("string"))
+    df = spark.range(0, 30_000, 1, 2).select("id", prompt.alias("p"))
+    plans, write = [], DataFrameWriter.parquet
+
+    def seen(writer, path, *args, **kwargs):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return write(writer, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+
+    def check(rows):
+        return rows.withColumn("valid", F.col("answer").isNotNull())
+
+    for limit in (answer_table_module.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(answer_table_module, "BROADCAST_BYTES", limit)
+        asked = answer_table(df, "p", load=load_stub, predict=lambda model, prompts, attempt: prompts, check=check)
+        assert asked.count() == 15_000 == asked.where(text_key(F.col("answer")) == F.col("prompt_key")).count()
+    assert len(plans) == 4 and not any("Sort" in p for p in plans)
+    assert "BroadcastHashJoin" in plans[1] and "ShuffledHashJoin" in plans[3]
+
+
 def test_failed_generator_can_fall_back(spark):
     df = spark.createDataFrame([("Organic coffee",)], "t string")
     assert df.select(keyword_fallback(F.col("t"))).first()[0] == ["organic.com", "coffee.co", "startup2.com"]
