@@ -3,8 +3,9 @@
 Candidates come from MinHash: ``BANDS`` keys a document, each over ``ROWS`` minima of its set of
 shingles. Two sets of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS, which
 is above 0.999996 at 0.8. A bucket of up to ``SMALL`` documents gives all its pairs; a larger one
-links each document to one of its own, another in each of four orders of the ids, so that the
-pairs grow with the documents only. A pair counts if the sets themselves, not their minima,
+links each document to one of its own, the first in an order of the ids that each key has for
+itself, so that the pairs grow with the documents only and a document of a large group meets many
+others of it. Links that SimHash found come to these pairs. A pair counts if the sets themselves, not their minima,
 reach the similarity.
 
 Copies of one text are one component after that. Where a large bucket still holds several
@@ -122,6 +123,12 @@ def _candidates(met: DataFrame) -> DataFrame:
     return small.unionByName(large.select(*ordered(F.col("rep"), F.col("first")))).distinct()
 
 
+def _linked_pairs(linked: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of representatives and the smallest doc_id of their component."""
+    pairs = linked.where("component_id < doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    return pairs.join(reps.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b").distinct()
+
+
 def _sets_of(texts: DataFrame, reps: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
     """rep, shingles of the representatives in ``asked`` (rep, distinct)."""
     # repeated doc_ids may have several texts; the digest tells which set is meant
@@ -205,13 +212,17 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, similarity: float) -> DataF
     )
 
 
-def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def similar_groups(
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, linked: DataFrame | None = None
+) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over similar pairs) per row.
 
     Similarity is that of the sets of word shingles; a text of fewer words is one shingle, and
     null and empty texts have none and are alike. Every row comes back, repeated ones too; sets
     with the same smallest doc_id count as linked. Rows with a null doc_id link nothing: they
-    get the component of an equal set, null if no document with an id has it.
+    get the component of an equal set, null if no document with an id has it. ``linked``: doc_id and
+    component_id by another method (:func:`~brandsieve.llm.simhash.near_duplicates`), whose pairs
+    count if their sets are similar.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(texts.mapInPandas(lambda it: _sketched(it, shingle), "doc_id long, digest binary, bands array<long>"))
@@ -221,7 +232,10 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     )
     met = _buckets(reps)
-    pairs = cut(_candidates(met))
+    pairs = _candidates(met)
+    if linked is not None:
+        pairs = pairs.unionByName(_linked_pairs(linked, reps)).distinct()
+    pairs = cut(pairs)
     asked = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     edges = _similar_pairs(pairs, _sets_of(texts, reps, asked, shingle), similarity)
     groups = components(edges)

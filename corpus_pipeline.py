@@ -22,8 +22,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are similar at 0.8 or more: the one
-    with the smallest id."""
-    return simhash.keep_one(docs, similar.similar_groups(docs))
+    with the smallest id. Pairs come from SimHash, and from MinHash beyond its three bits; each is
+    checked on the whole sets."""
+    return simhash.keep_one(docs, similar.similar_groups(docs, linked=simhash.near_duplicates(docs)))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

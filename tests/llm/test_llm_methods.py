@@ -628,6 +628,25 @@ def test_pairs_among_pages_of_one_template(spark):
     assert [got[i] for i in range(len(texts))] == wanted.tolist()
 
 
+def test_the_stage_takes_the_links_of_simhash(spark, monkeypatch):
+    """Near copies that SimHash links are found without the keys of MinHash; other links need the check."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(6):
+        words = rng.choices([f"w{i}" for i in range(5000)], k=4000)
+        texts += [" ".join(words), " ".join([*words[:2000], "other", *words[2001:]])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fingerprints = [simhash.fingerprint(t) for t in texts]
+    wanted = [i for i in range(12) if i % 2 == 0 or (fingerprints[i] ^ fingerprints[i - 1]).bit_count() > 3]
+    candidates = similar._candidates
+    monkeypatch.setattr(similar, "_candidates", lambda met: candidates(met).where("false"))
+    kept = corpus_pipeline.near_duplicates(spark, table, "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == wanted and len(wanted) < 12
+    unlike = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "doc_id long, component_id long")
+    got = similar.similar_groups(table.where("doc_id < 3"), linked=unlike).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 2}
+
+
 def test_pipeline_stages(spark, docs, sf_dir, tmp_path):
     """Each stage against a direct version of its decision, on all that the one before kept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
