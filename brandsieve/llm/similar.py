@@ -3,9 +3,8 @@
 Candidates come from MinHash: ``BANDS`` keys a document, each over ``ROWS`` minima of its set of
 shingles. Two sets of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS, which
 is above 0.999996 at 0.8. A bucket of up to ``SMALL`` documents gives all its pairs; a larger one
-links each document to one of its own, the first in an order of the ids that each key has for
-itself, so that the pairs grow with the documents only and a document of a large group meets many
-others of it. Links that SimHash found come to these pairs. A pair counts if the sets themselves, not their minima,
+links each document to one of its own, another in each of four orders of the ids, so that the
+pairs grow with the documents only. Links that SimHash found come to these pairs. A pair counts if the sets themselves, not their minima,
 reach the similarity.
 
 Copies of one text are one component after that. Where a large bucket still holds several
