@@ -1018,7 +1018,7 @@ def stream_dedup_late(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
-def _predict_or_fail(model: None, asked: list[str]) -> list[str]:
+def _predict_or_break_down(model: None, asked: list[str]) -> list[str]:
     """The stub, which breaks down at a sixteenth of the prompts."""
     if any(hashlib.md5(p.encode()).hexdigest()[0] == "0" for p in asked):
         raise RuntimeError("down")
@@ -1031,5 +1031,5 @@ def stream_answers(spark: SparkSession, sf: str) -> DataFrame:
     root = new_path(spark, "stream-answers")
     _bodies(spark, sf).write.json(f"{root}/in")
     arriving = read_request_stream(spark, f"{root}/in", "event_id bigint, body string")
-    serve(arriving, "body", f"{root}/out", f"{root}/checkpoint", load=load_stub, predict=_predict_or_fail, once=True).awaitTermination()
+    serve(arriving, "body", f"{root}/out", f"{root}/checkpoint", load=load_stub, predict=_predict_or_break_down, once=True).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", "route", F.col("http_code").cast("bigint").alias("http_code"))
