@@ -34,7 +34,7 @@ END = 2
 GROUP = 8192
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters of text numbered together, and words tokenised as one text.
-_CHUNK, _JOINED = 8 << 20, 5000
+_CHUNK, _JOINED = 2 << 20, 5000
 _ODD = re.compile(r"\s "), re.compile(r" \s")
 #: Bytes: marks; ASCII letters; first bytes of letters from U+00C0 to U+023F; and the second bytes
 #: of the two signs among these.

@@ -6,6 +6,7 @@ import math
 import mmap
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -480,6 +481,19 @@ def test_packing(docs, texts, tokenizer):
     assert rows["sequence_id"].nunique() <= math.ceil(1.03 * rows["length"].sum() / 1024) + 1
 
 
+def test_packing_holds_little_beside_the_texts():
+    """What a worker takes for the ids of 12 MB of text in one batch, next to the batch itself."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(3000)]
+    rows = pd.DataFrame({"doc_id": range(800), "text": [" ".join(rng.choices(words, k=2300)) for _ in range(800)]})
+    packing._word_ids(packing.VOCABULARY)
+    tracemalloc.start()
+    found = sum(x["length"].sum() for x in packing._pieces(iter([rows]), packing.VOCABULARY, 1024, 2, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 800 * 2300 and peak < 96 << 20
+
+
 def test_best_two_fit():
     bins = packing.best_two_fit([6, 5, 2, 2, 1], 10)
     assert sorted(sum(bins, [])) == list(range(5))
