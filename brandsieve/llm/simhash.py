@@ -176,23 +176,29 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     )
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links (a, b), a > b, are stars: a node with a link to a smaller one has no other."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 0 AND up + down > 1").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root: the smallest reachable node.
 
-    Large-star and small-star rounds until nothing changes. Minima are written before they are
+    Large-star and small-star rounds until only stars are left. Minima are written before they are
     joined, so that adaptive execution can split the links of a hub.
     """
     edges = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    state = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        if _settled(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
-        state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))

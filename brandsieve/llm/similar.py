@@ -242,7 +242,7 @@ def similar_groups(
     if open_.limit(1).count():
         sets = _sets_of(texts, reps, open_.select("rep"), shingle)
         more = _similar_pairs(_prefix_pairs(open_, sets, similarity), sets, similarity)
-        groups = components(edges.unionByName(more))
+        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     classes = cut(
         reps.join(groups, F.col("rep") == F.col("node"), "left").select(
             "digest", F.coalesce("root", "rep").alias("component_id")

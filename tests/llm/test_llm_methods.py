@@ -112,6 +112,20 @@ def test_links_of_dense_groups(spark, bucket):
     assert [roots.get(i, i) for i in range(len(codes))] == slow_components(np.array(codes, np.uint64)).tolist()
 
 
+def test_components_end_with_the_last_round_that_changes_links(spark, monkeypatch):
+    """A round writes four tables; before the first one the links are written once."""
+    written = []
+    monkeypatch.setattr(simhash, "cut", lambda df, cut=simhash.cut: written.append(df) or cut(df))
+    for edges, tables, roots in (
+        ([(1, 2), (3, 1), (5, 4), (4, 4)], 1, {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}),
+        ([(1, 2), (2, 3), (9, 8)], 5, {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}),
+        ([(1, 3), (2, 3)], 5, {1: 1, 2: 1, 3: 1}),
+    ):
+        written.clear()
+        found = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted(map(tuple, found)) == sorted(roots.items()) and len(written) == tables
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     order = random.Random(3).sample(range(1, 400), 399)
     edges = [(a, b) for a, b in zip(order, order[1:])] + [(1000, 1000 + i) for i in range(1, 500)]
